@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -43,3 +47,24 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+
+
+def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], fields: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of df as they are, and ``fields`` (a DDL string) computed batch by batch.
+
+    ``make`` is called once a task and returns the function from a record batch to lists by name, so
+    tables and caches live as long as the task. Kept columns stay Arrow: nulls and 64-bit ids survive.
+    """
+    added = T.StructType.fromDDL(fields)
+    schema = T.StructType([df.schema[c] for c in keep] + added.fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            made = work(batch)
+            columns = [batch.column(c).cast(arrow.field(c).type) for c in keep]
+            columns += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, arrow.field(f.name).type) for f in added]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
