@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat_format, feistel, fm_index
+from tracemill.llm import chat_format, feistel, fm_index, piece_bpe, rans
 from tracemill.llm.common import table
 
 SHARDS, SHARD_SEED = 24, 20_240_601
+END_ID, WORD_VOCABULARY = 2, 49_408
+
+
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as rANS-coded token files, read back."""
+    path = rans.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, WORD_VOCABULARY)
+    return rans.with_starts(rans.read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +30,12 @@ def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digests(fm_index.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the multilingual byte-level vocabulary."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts are control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,8 +82,10 @@ FROM dw d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 def queries() -> dict:
     return {
+        "op2_rans": op2_rans,
         "op4_feistel_shards": op4_feistel_shards,
         "op5_fm_index": op5_fm_index,
+        "op6_piece_bpe": op6_piece_bpe,
         "op10_chat_format": op10_chat_format,
     }
 
