@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat_format, feistel, fm_index, piece_bpe, rans
+from tracemill.llm import chat_format, feistel, fm_index, gif_frames, ordinal, piece_bpe, rans, wrapper
 from tracemill.llm.common import table
 
 SHARDS, SHARD_SEED = 24, 20_240_601
 END_ID, WORD_VOCABULARY = 2, 49_408
+#: Documents whose probability of the best grade is lower are rejected.
+KEEP_PROBABILITY = 0.5
 
 
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.with_starts(rans.read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrapper.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law `rows`."""
     placed = feistel.feistel_shards(table(spark, sf_dir, "documents"), SHARDS, SHARD_SEED)
@@ -36,6 +43,23 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as GIF samples, read back and described."""
+    return gif_frames.digests(gif_frames.store_texts(table(spark, sf_dir, "documents")))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """Documents with expected_grade, tail_probability and keep, by a model fitted on the labels."""
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    scored = ordinal.score(docs, ordinal.train(docs, ratings), keep)
+    return scored.withColumn("keep", F.col("tail_probability") >= KEEP_PROBABILITY)
+
+
+def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the best grade for all documents."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts are control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -83,9 +107,12 @@ FROM dw d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 def queries() -> dict:
     return {
         "op2_rans": op2_rans,
+        "op3_wrapper": op3_wrapper,
         "op4_feistel_shards": op4_feistel_shards,
         "op5_fm_index": op5_fm_index,
         "op6_piece_bpe": op6_piece_bpe,
+        "op7_gif_frames": op7_gif_frames,
+        "op8_ordinal": op8_ordinal,
         "op10_chat_format": op10_chat_format,
     }
 
