@@ -19,55 +19,100 @@ must fit in one row. Ids are range-shuffled once, compressed; texts are not shuf
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.common import derive, id_and_text, scratch_path, stored
+from tracemill.llm.piece_bpe import byte_characters
 
 SCALE = 20
 LOW = 1 << 31
 LANES, BLOCK_IDS, CHUNK_IDS = 2048, 1 << 18, 1 << 20
-#: Distinct words a task remembers before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 1_000_000
+#: Distinct words a worker remembers before it starts anew (about 200 bytes each).
+CACHE_ENTRIES = 400_000
 DIRECTORY = struct.Struct("<QQIIIII")
+#: Every 16-bit id as bytes.
+SHORT = [struct.pack("<H", i) for i in range(1 << 16)]
 
 
 class WordTokenizer:
-    """Encodes by a tokenizers file, remembering white-space separated words.
+    """Encodes by a tokenizers file, word by word, each distinct word of a batch once.
 
-    Only for tokenizers that drop white space and let no token cross it, so that a text's ids are its
-    words' ids in a row.
+    Only for byte-level tokenizers that lower-case, compose (NFC), drop white space, let no token cross it
+    and cut letters from all else, so that a text's ids are its words' ids in a row.
     """
 
+    shared: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers."""
-        raw = text.encode()
-        if b"\xcc" not in raw and b"\xcd" not in raw:  # no combining mark that composes with a small letter only
-            raw = raw.lower()
-        words = raw.split()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            missing = list({w for w, x in zip(words, found, strict=True) if x is None})
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-            for w, e in zip(missing, self.library.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-            found = [self.cache[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+        self.tokenize = self.library.model.tokenize
+        self.map = dict(enumerate(byte_characters()))
+        self.cache: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """One a worker process, so that what it has learnt serves the next task too."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's ids end)."""
+        raw = texts.buffers()[2].to_pybytes() if len(texts) and texts.buffers()[2] else b""
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            texts = pc.ascii_lower(texts)  # no combining mark that composes with a small letter only
+        # A run of punctuation without apostrophe between a letter or digit and white space is cut off
+        # there by the tokenizer too; without it there are fewer distinct words.
+        texts = pc.replace_substring_regex(texts, r"([0-9A-Za-z])([!-&(-/:-@\[-`{-~]+)([ \n])", r"\1 \2 ")
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.cache.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        room = len(self.cache) < CACHE_ENTRIES
+        if len(self.cache) > 2 * CACHE_ENTRIES:
+            self.cache.clear()
+        often = np.bincount(code, minlength=len(distinct)) > 1
+        rest = []
+        for i in missing:
+            w = distinct[i]
+            if w.isascii():
+                plain = w.isalpha() and w.islower()
+            elif plain := w.isalpha() and w == w.lower() and is_normalized("NFC", w):
+                w = w.encode().decode("latin-1").translate(self.map)
+            if plain:  # one pre-token that normalisation leaves alone: the model alone decides
+                found[i] = b"".join([SHORT[t.id] for t in self.tokenize(w)])
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            for i, e in zip(some, self.library.encode_batch_fast([distinct[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = b"".join([SHORT[t] for t in e.ids])
+        self.cache.update((distinct[i], found[i]) for i in missing if room or often[i])
+        flat = np.frombuffer(b"".join(found), "<u2")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        start = np.concatenate(([0], np.cumsum(size)))[:-1]
+        n = size[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else flat
+        return ids, ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
 
 def quantise(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -162,24 +207,31 @@ class Coder:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, packed (zstd of 16-bit ids with the end id), stored in ascending doc_id order."""
+    """doc_id, n_tokens, packed (zstd of 16-bit ids with the end id), part, in_part, stored by (part, in_part).
+
+    Parts are ranges of doc_id, cut at quantiles of the ids alone, so that nothing is tokenised twice.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = [i / (4 * parts) for i in range(1, 4 * parts)]
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", wanted, 40 * parts)).first()[0] or []))
 
     def make():
         import zstandard
 
-        tokenizer, pack, end = WordTokenizer(vocabulary), zstandard.ZstdCompressor(level=3), struct.pack("<H", end_id)
+        tokenizer, pack, end = WordTokenizer.of(vocabulary), zstandard.ZstdCompressor(level=3), struct.pack("<H", end_id)
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids = [tokenizer.encode(t.as_py()) + end for t in batch.column("text")]
-            return {"n_tokens": [len(x) // 2 for x in ids], "packed": [pack.compress(x) for x in ids]}
+            ids, ends = tokenizer.encode(batch.column("text"))
+            own = [x.tobytes() + end for x in np.split(ids, ends[:-1])] if len(batch) else []
+            buckets = np.array([-1 if d is None else bisect_right(cuts, d) for d in batch.column("doc_id").to_pylist()])
+            return {"n_tokens": [len(x) // 2 for x in own], "packed": [pack.compress(x) for x in own], "part": (buckets + 1).tolist()}
 
         return work
 
-    rows = derive(docs, make, "n_tokens long, packed binary", ["doc_id"])
-    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("packed")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order[:1]).sortWithinPartitions(*order)
-    return stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "tokens")
+    rows = derive(docs, make, "n_tokens long, packed binary, part int", ["doc_id"])
+    order = ["part", F.col("doc_id").asc_nulls_first(), "n_tokens", "packed"]
+    dealt = rows.repartition(parts, "part").sortWithinPartitions(*order)
+    return stored(dealt.withColumn("in_part", F.monotonically_increasing_id()), "tokens")
 
 
 def symbol_counts(tokens: DataFrame, size: int) -> np.ndarray:
