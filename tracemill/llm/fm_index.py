@@ -227,9 +227,10 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, spans (merged word spans that are hit), item_ids; with keep_text also text."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: str | None = None) -> DataFrame:
+    """doc_id, n_words, spans (merged word spans that are hit), item_ids; ``carry`` names a column to keep, with the text."""
+    kept = ["doc_id", "text", *([carry] if carry else [])]
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept[2:])
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<long>")})
     blocks = 0
     for items in item_blocks(benchmark):
@@ -252,10 +253,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
             return scan
 
-        out = derive(out, scanner, FIELDS, ["doc_id", "text"])
+        out = derive(out, scanner, FIELDS, kept)
     if not blocks:
-        out = derive(out, lambda: lambda b: {"n_words": [len(plain_words(t or "")) for t in b.column("text").to_pylist()], "spans": [[]] * len(b), "item_ids": [[]] * len(b)}, FIELDS, ["doc_id", "text"])
-    return out if keep_text else out.drop("text")
+        out = derive(out, lambda: lambda b: {"n_words": [len(plain_words(t or "")) for t in b.column("text").to_pylist()], "spans": [[]] * len(b), "item_ids": [[]] * len(b)}, FIELDS, kept)
+    return out if carry else out.drop("text")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -283,3 +284,15 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
         last = at[e - 1][1]
     out.append(raw[last:])
     return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def without_passages(found: DataFrame, carry: str, most: float = 0.5) -> DataFrame:
+    """``carry`` and clean_text of the documents that keep more than ``most`` of their words once their spans are cut."""
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    kept = found.filter((hit == 0) | (hit < most * F.col("n_words")))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        rows = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
+        return {"clean_text": [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in rows]}
+
+    return derive(kept, lambda: work, "clean_text string", [carry])

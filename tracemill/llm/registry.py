@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat_format, feistel, fm_index, gif_frames, jaccard_join, ordinal, piece_bpe, rans, wrapper
+from tracemill.llm import chat_format, feistel, fm_index, gif_frames, jaccard_join, ordinal, pii, piece_bpe, rans, wrapper
 from tracemill.llm.common import table
 
 SHARDS, SHARD_SEED = 24, 20_240_601
@@ -15,6 +15,11 @@ END_ID, WORD_VOCABULARY = 2, 49_408
 KEEP_PROBABILITY = 0.5
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS-coded token files, read back."""
     path = rans.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, WORD_VOCABULARY)
@@ -128,6 +133,7 @@ FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT a, min(b) AS m FR
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_rans": op2_rans,
         "op3_wrapper": op3_wrapper,
         "op4_feistel_shards": op4_feistel_shards,
