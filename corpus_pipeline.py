@@ -1,8 +1,81 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through five of the training-data operators, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; what it returns is
+written as Parquet and read again for the next one. A row travels as one struct beside the columns that a
+stage needs, so added columns cannot clash with the row's own.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.llm import fm_index, jaccard_join, ordinal, pii, piece_bpe
+from tracemill.llm.common import stored, table
+from tracemill.llm.registry import KEEP_PROBABILITY
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
+def _with_text(rows: DataFrame, text, columns: list[str]) -> DataFrame:
+    """The rows with another text, and its length."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the classifier does not reject."""
+    labels = table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    scored = ordinal.score(_rows(docs), ordinal.train(docs, ratings), ["row"])
+    return scored.filter(F.col("tail_probability") >= KEEP_PROBABILITY).select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies; rows without an id stay."""
+    groups = jaccard_join.near_duplicates(docs)
+    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut benchmark passages out; documents that are mostly passages go."""
+    found = fm_index.find_contamination(_rows(docs), table(spark, sf_dir, "benchmark"), carry="row")
+    return _with_text(fm_index.without_passages(found, "row"), F.col("clean_text"), docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the name of its kind."""
+    found = stored(pii.candidates(_rows(docs), carry="row"), "candidates")
+    marked = pii.spans(found, pii.train(found))
+    return _with_text(marked, pii.redacted(F.col("text"), F.col("spans")), docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, as little-endian unsigned 32-bit integers."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = piece_bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
