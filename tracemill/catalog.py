@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tracemill.plans import dashboard
+
+MODULES = (dashboard,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
