@@ -49,7 +49,18 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], fields: str, keep: list[str]) -> DataFrame:
+#: Bytes of a record batch that an operator works on at a time.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes, one row at least."""
+    step = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], fields: str, keep: list[str], limit: int = PIECE_BYTES) -> DataFrame:
     """Columns ``keep`` of df as they are, and ``fields`` (a DDL string) computed batch by batch.
 
     ``make`` is called once a task and returns the function from a record batch to lists by name, so
@@ -61,7 +72,7 @@ def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (piece for b in batches for piece in pieces(b, limit)):
             made = work(batch)
             columns = [batch.column(c).cast(arrow.field(c).type) for c in keep]
             columns += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, arrow.field(f.name).type) for f in added]

@@ -8,14 +8,14 @@ prefix as long as the estimated cost of postings and verifications falls, and a
 the smaller l of both before it is verified.
 
 Steps: (1) one pass gives set sizes, class keys and the sketch; (2) prefix shingles are grouped and classes
-that share none with another class are done; (3) for the others, prefixes, sets and bitmaps are stored;
+that share none with another class are done; (3) for the others, sizes and bitmaps are stored;
 (4) every shingle links its classes to the smallest one, verified exactly, which gives first components;
-(5) pairs of classes in different components are found by their first common prefix shingle, under the
-length bound, the bitmap bound on overlap and the multi-match count, and verified exactly. Pairs inside a
+(5) pairs of classes in different components that meet at prefix shingles are counted, under the length
+bound and the bitmap bound on overlap; those that meet often enough are verified exactly. Pairs inside a
 component need no test for the result, so a large group of near copies costs a star, not all its pairs.
 
-Skew: classes take exact copies; a shingle found in many documents is not grouped at all (its documents go
-to step 3 directly); in (5) the most common component of a shingle is only met by the others, and Spark
+Verification fetches only the sets of the pairs at hand, in a scan that skips other ids. Skew: classes take
+exact copies; a shingle found in many documents is not grouped in (2), it counts as shared; in (5) the most common component of a shingle is only met by the others, and Spark
 splits hot keys of these joins. Nothing grows with the corpus on the driver but the sketch's frequent
 buckets (at most 2**SKETCH_BITS numbers) and the filter of ids (FILTER_BITS bits).
 
@@ -31,13 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import stored
+from tracemill.llm.common import pieces, stored
 from tracemill.llm.components import components
-from tracemill.llm.words import spaced_words
 
 WORDS, PERCENT = 5, 80
 MAX_MATCH = 4
@@ -47,8 +47,10 @@ SKETCH_BITS = 20
 #: From this sketch count on, a prefix shingle is not grouped: its documents are candidates at once.
 FREQUENT = 1_000
 FILTER_BITS = 1 << 23
-BITMAP_LONGS = 8
-CACHE_ENTRIES = 300_000
+#: Bitmaps: a short one that travels with postings, a wide one for pairs.
+BITMAP_LONGS, WIDE_LONGS = 4, 32
+#: Classes that a task remembers having posted.
+SEEN_CLASSES = 300_000
 #: Odd multipliers of the shingle hash, one for each word place.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 OFFSETS = PLACES * np.arange(1, 6, dtype=np.uint64)
@@ -61,32 +63,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Shingles:
-    """Sorted distinct 64-bit shingle hashes of texts; remembers words."""
-
-    def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self.words, self.digest, self.cache = words, xxhash.xxh64_intdigest, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = spaced_words(text or "")
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.cache[words[i]] = self.digest(words[i])
-        h = np.array(found, np.uint64)
-        if not len(h):
-            return h
-        k = min(self.words, len(h))
-        n = len(h) - k + 1
-        out = np.full(n, np.uint64(k))
-        for i in range(k):
-            out += mix(h[i : i + n] + OFFSETS[i % 5]) * PLACES[(i + 1) % 5]
-        return np.unique(mix(out))
+def _hash(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every run of k word hashes."""
+    n = len(words) - k + 1
+    out = np.full(n, np.uint64(k))
+    for i in range(k):
+        out += mix(words[i : i + n] + OFFSETS[i % 5]) * PLACES[(i + 1) % 5]
+    return mix(out)
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text; each distinct word of the batch is hashed once."""
+    from xxhash import xxh64_intdigest
+
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    hashes = np.array([xxh64_intdigest(w) for w in distinct], np.uint64)
+    real = np.array([bool(w) for w in distinct], bool)[code] if len(code) else np.empty(0, bool)
+    doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    lengths = np.bincount(doc[real], minlength=len(texts))
+    flat = hashes[code[real]] if len(code) else np.empty(0, np.uint64)
+    runs = _hash(flat, words) if len(flat) >= words else np.empty(0, np.uint64)
+    out, at = [], 0
+    for n in lengths.tolist():
+        if n >= words:
+            out.append(np.unique(runs[at : at + n - words + 1]))
+        else:
+            out.append(_hash(flat[at : at + n], n) if n else np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 def class_key(shingles: np.ndarray) -> int:
@@ -111,9 +117,9 @@ def prefix_of(shingles: np.ndarray, counts: Callable[[np.ndarray], np.ndarray],
     return shingles[chosen], f[chosen], matches
 
 
-def bitmap(shingles: np.ndarray) -> list[int]:
-    """Parity of the shingles in 64 * BITMAP_LONGS cells: cells that differ bound the symmetric difference."""
-    cells = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_LONGS), minlength=64 * BITMAP_LONGS) & 1
+def bitmap(shingles: np.ndarray, longs: int) -> list[int]:
+    """Parity of the shingles in 64 * longs cells: cells that differ bound the symmetric difference."""
+    cells = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(cells.astype(np.uint8)).view(">i8").tolist()
 
 
@@ -125,7 +131,7 @@ def _mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterato
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, work = to_arrow_schema(schema), make()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             for columns in work(b):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[c], arrow.field(c).type) for c in names], schema=arrow)
         for columns in getattr(work, "last", list)():
@@ -138,12 +144,11 @@ class _Describe:
     """Pass 1: (doc_id, n, key) rows, and at the end the sketch cells that stand out in this task."""
 
     def __init__(self, words: int):
-        self.sets, self.cells = Shingles(words), np.zeros(1 << SKETCH_BITS, np.int32)
+        self.words, self.cells = words, np.zeros(1 << SKETCH_BITS, np.int32)
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[dict]:
         n, keys = [], []
-        for t in batch.column("text"):
-            s = self.sets(t.as_py())
+        for s in shingle_sets(batch.column("text"), self.words):
             n.append(len(s))
             keys.append(class_key(s) if len(s) else None)
             if len(s):
@@ -166,52 +171,64 @@ def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int) -> DataFrame:
-    """Pass 2: (shingle, key). A class with a frequent prefix shingle is a candidate at once: it posts itself
-    and a stand-in that no class has under a shingle of its own."""
+    """Pass 2: (shingle, key, matches, alone) for each prefix shingle; alone marks a frequent one by the key."""
 
     def make():
-        sets, counts, seen = Shingles(words), _counter(table), set()
+        counts, seen = _counter(table), set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            shingles, keys = [], []
-            for t in batch.column("text"):
-                s = sets(t.as_py())
+            shingles, keys, needed, alone = [], [], [], []
+            for s in shingle_sets(batch.column("text"), words):
                 if not len(s):
                     continue
                 key = class_key(s)
                 if key in seen:  # a copy in the same task has the same postings
                     continue
-                if len(seen) > CACHE_ENTRIES:
+                if len(seen) > SEEN_CLASSES:
                     seen.clear()
                 seen.add(key)
-                p, f, _ = prefix_of(s, counts, percent)
-                if (f >= FREQUENT).any():
-                    shingles.append(np.full(2, key, np.int64).view(np.uint64))
-                    keys.append(np.array([key, ~key]))
-                    p = p[f < FREQUENT]
+                p, f, matches = prefix_of(s, counts, percent)
                 shingles.append(p)
                 keys.append(np.full(len(p), key, np.int64))
+                needed.append(np.full(len(p), matches, np.int32))
+                alone.append(np.where(f >= FREQUENT, key, 0))
             if keys:
-                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys)}
+                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "matches": np.concatenate(needed), "alone": np.concatenate(alone)}
 
         return work
 
-    return _mapped(docs.select("text"), make, "shingle long, key long")
+    return _mapped(docs.select("text"), make, "shingle long, key long, matches int, alone long")
+
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """(shingle, key, matches) for the prefix shingles that several classes have, of classes that have enough.
+
+    Frequent shingles are not grouped: each posting of one stands for itself and counts as shared.
+    """
+    same = Window.partitionBy("shingle", "alone")
+    seen = posts.select("*", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high"), F.min("matches").over(same).alias("least"))
+    kept = seen.filter("low <> high OR alone <> 0").select("shingle", "key", "matches", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
+    kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.min("least").alias("least")), "shared")
+    enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
+    return stored(kept.select("shingle", "key", "matches").join(enough, "key", "left_semi"), "postings")
 
 
 def _id_filter(ids: DataFrame) -> dict[int, int]:
-    """FILTER_BITS bits as words: which remainders the ids have."""
+    """FILTER_BITS bits as words: which remainders the doc_ids have."""
     bit = F.pmod("doc_id", F.lit(FILTER_BITS))
     words = ids.select(F.floor(bit / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
     return {r["word"]: r["bits"] for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
 
 
-def _candidates(docs: DataFrame, words_of: dict[int, int], table: dict[int, int], words: int, percent: int) -> DataFrame:
-    """Pass 3: the sets, bitmaps and prefixes of the documents that pass the filter of ids."""
-    longs = [f"b{i}" for i in range(BITMAP_LONGS)]
+def _of_some(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int, fields: str, values: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """key and values for the first documents of the classes in keys; a few others come along.
+
+    One scan of the texts; a task computes shingles only for ids that the filter lets through.
+    """
+    words_of = _id_filter(classes.join(keys, "key", "left_semi").select(F.col("first").alias("doc_id")))
+    names = ["key", *[f.split()[0] for f in fields.split(", ")]]
 
     def make():
-        sets, counts = Shingles(words), _counter(table)
         bits = np.zeros(FILTER_BITS // 64, np.int64)
         if words_of:
             bits[list(words_of)] = list(words_of.values())
@@ -219,23 +236,22 @@ def _candidates(docs: DataFrame, words_of: dict[int, int], table: dict[int, int]
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False) % FILTER_BITS
             keep = np.flatnonzero((bits[ids // 64] >> (ids % 64)) & 1)
-            rows = []
-            for t in batch.column("text").take(pa.array(keep)):
-                s = sets(t.as_py())
-                if len(s):
-                    p, _, matches = prefix_of(s, counts, percent)
-                    rows.append((class_key(s), len(s), matches, p.view(np.int64), s.tobytes(), *bitmap(s)))
+            found = shingle_sets(batch.column("text").take(pa.array(keep)), words)
+            rows = [(class_key(s), *values(s)) for s in found if len(s)]
             if rows:
-                yield dict(zip(("key", "n", "matches", "prefix", "shingles", *longs), map(list, zip(*rows, strict=True)), strict=True))
+                yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
         return work
 
-    ddl = "key long, n int, matches int, prefix array<long>, shingles binary, " + ", ".join(f"{c} long" for c in longs)
-    return _mapped(docs.filter(F.col("doc_id").isNotNull()), make, ddl).dropDuplicates(["key"])
+    return _mapped(docs.filter(F.col("doc_id").isNotNull()), make, f"key long, {fields}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, tested exactly."""
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _of_some(docs, classes, ends, words, "shingles binary", lambda s: (s.tobytes(),)).join(ends, "key", "left_semi").dropDuplicates(["key"])
+    sets = stored(sets, "sets")
     one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
 
@@ -251,39 +267,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    return _mapped(both.select("a", "b", "set_a", "set_b"), make, "a long, b long")
+    return stored(_mapped(both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links")
+
+
+def _most_different(percent: int) -> Column:
+    """How many shingles the symmetric difference of similar sets x_* and y_* can have at most."""
+    total = F.col("x_n") + F.col("y_n")
+    return total - 2 * F.ceil(total * percent / (100 + percent))
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether columns x_* and y_* pass the length bound and the short bitmap's bound."""
+    differ: Column = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(BITMAP_LONGS)), F.lit(0))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differ <= _most_different(percent))
+
+
+def _narrowed(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x_key, y_key) that pass the length bound and the wide bitmap's bound, as (a, b)."""
+    own = meta.select("key", "n", "wide")
+    known = pairs.join(_sided(own, "x"), "x_key").join(_sided(own, "y"), "y_key")
+    differ = F.aggregate(F.zip_with("x_wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
+    close = (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent) & (differ <= _most_different(percent))
+    return known.filter(close).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
+
 
+def _sided(df: DataFrame, side: str, but: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*but, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in but])
 
-def _first_pairs(posts: DataFrame) -> DataFrame:
-    """Each shingle's classes with the smallest of them."""
-    hubs = posts.groupBy("shingle").agg(F.min("key").alias("a"), F.max("key").alias("top")).filter("a <> top").drop("top")
-    return posts.select("shingle", F.col("key").alias("b")).join(hubs, "shingle").filter("a <> b").select("a", "b").distinct()
+
+def _first_pairs(posts: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """Each shingle's classes with the smallest of them, where the bounds hold."""
+    hubs = posts.groupBy("shingle").agg(F.min("key").alias("x_key"), F.max("key").alias("top")).filter("x_key <> top").drop("top")
+    pairs = posts.select("shingle", F.col("key").alias("y_key")).join(hubs, "shingle").filter("x_key <> y_key").select("x_key", "y_key").distinct()
+    return _narrowed(pairs, meta, percent)
 
 
 def _cross_pairs(posts: DataFrame, labels: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that pass all bounds, each once."""
+    """Pairs of classes of different components that pass the bounds and share enough prefix shingles."""
     placed = posts.join(labels.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     placed = stored(placed, "placed")
     shares = placed.groupBy("shingle", "label").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    of = stored(placed.join(mixed, "shingle").join(meta, "key"), "mixed")
-    left, right = (of.select("shingle", "main", *[F.col(c).alias(f"{s}_{c}") for c in of.columns if c not in ("shingle", "main")]) for s in "xy")
-    left, right = left.filter("x_label <> main"), right.drop("main")
-    total = F.col("x_n") + F.col("y_n")
-    least = F.ceil(total * percent / (100 + percent))  # overlap of similar sets
-    differ: Column = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(BITMAP_LONGS)), F.lit(0))
-    common = F.array_intersect("x_prefix", "y_prefix")
+    of = stored(placed.join(mixed, "shingle").join(meta.drop("wide"), "key"), "mixed")
+    # A pair meets at each common prefix shingle, from the side that is outside its main component.
+    left = _sided(of, "x", ("shingle", "main")).filter("x_label <> main")
+    right = _sided(of.drop("main"), "y", ("shingle",))
     match = (
         (left["shingle"] == right["shingle"])
         & (F.col("x_label") != F.col("y_label"))
         & ((F.col("y_label") == F.col("main")) | (F.col("x_key") < F.col("y_key")))
-        & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-        & (differ <= total - 2 * least)
-        & (F.element_at(common, 1) == left["shingle"])
-        & (F.size(common) >= F.least("x_matches", "y_matches"))
+        & _may_be_similar(percent)
     )
-    # By its first common shingle a pair comes once; if that shingle has x in its main component, y finds x.
-    return left.join(right, match).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+    met = left.join(right, match).select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y"), F.least("x_matches", "y_matches").alias("needed"))
+    often = met.groupBy(F.col("x").alias("x_key"), F.col("y").alias("y_key")).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
+    return _narrowed(often.filter("n >= needed").select("x_key", "y_key"), meta, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -295,17 +332,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = described.filter("cell IS NULL").select("doc_id", "n", "key")
     classes = stored(rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
 
-    posts = _postings(source, table, words, percent).repartition("shingle")
-    span = posts.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    wanted = posts.join(span.filter("low <> high"), "shingle").select("key").distinct()
-    wanted = stored(classes.join(wanted, "key", "left_semi"), "wanted")
-    found = stored(_candidates(source, _id_filter(wanted.select(F.col("first").alias("doc_id"))), table, words, percent), "candidates")
-
-    meta = found.drop("shingles")
-    posts = stored(meta.select("key", F.explode("prefix").alias("shingle")), "postings")
-    first = stored(_verified(_first_pairs(posts), found, percent), "links")
+    posts = _shared(_postings(source, table, words, percent))
+    longs = [f"b{i}" for i in range(BITMAP_LONGS)]
+    meta = _of_some(source, classes, posts.select("key").distinct(), words, "n int, wide array<long>, " + ", ".join(f"{c} long" for c in longs), lambda s: (len(s), bitmap(s, WIDE_LONGS), *bitmap(s, BITMAP_LONGS)))
+    meta = stored(meta.dropDuplicates(["key"]), "bitmaps")
+    first = _verified(_first_pairs(posts, meta, percent), source, classes, words, percent)
     labels = components(first)
-    cross = stored(_verified(_cross_pairs(posts, labels, meta, percent), found, percent), "links")
+    cross = _verified(_cross_pairs(posts, labels, meta, percent), source, classes, words, percent)
     ends = [cross.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), c, "left").select("a", "b", F.coalesce(f"l{c}", c).alias(c + c)) for c in "ab"]
     joined = components(ends[0].join(ends[1], ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b")))
     last = labels.select("id", "label").union(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
