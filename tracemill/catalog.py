@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.plans import dashboard
+from tracemill.plans import dashboard, traces
 
-MODULES = (dashboard,)
+MODULES = (dashboard, traces)
 
 
 def queries() -> dict:

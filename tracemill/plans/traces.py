@@ -1,0 +1,388 @@
+"""Queries of the mapping language, normalisation, merging, profiles and redaction over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.bindings import read
+from tracemill.functions import paths, redact, values
+from tracemill.functions.values import Value
+from tracemill.operators import merge, normalize, profile
+from tracemill.plans.mapping import Entity, Field, Mapping
+from tracemill.sources import readers
+
+# -- operators over event properties and order columns -----------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, and v: a record with values of every JSON type."""
+    e = read(spark, sf_dir, "events")
+    third = F.col("event_id") % 3
+    made = F.concat(
+        F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"),
+        F.lit(',"mixed":'), F.when(third == 0, F.col("user_id").cast("string")).when(third == 1, F.concat(F.lit('" '), F.col("user_id").cast("string"), F.lit(' "'))).otherwise(F.lit('"n/a"')),
+        F.lit(',"flag":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"),
+        F.lit(',"word":"'), F.when(third == 0, "yes").when(third == 1, "No").otherwise("maybe"),
+        F.lit('","blank":"'), F.when(third == 0, "  ").otherwise("x"),
+        F.lit('","at":"2024-02-'), F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0"), F.lit('T10:00:00+02:00","s":'), (F.col("event_id") + 1_700_000_000).cast("string"),
+        F.lit(',"none":null,"list":'), F.when(third == 2, F.lit('"oops"')).otherwise(F.concat(F.lit('[{"k":[1,2]},{"k":['), F.col("user_id").cast("string"), F.lit("]},{}]"))), F.lit("}"),
+    )
+    return e.select("event_id", F.try_parse_json(made).alias("v"))
+
+
+def _get(path: str) -> Value:
+    return Value("variant", paths.resolve(F.col("v"), paths.parse(path).groups[0]))
+
+
+def _value(make, *, error: bool = True):
+    """A query of one operator: event_id, value and error."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = make()
+        column = values.text(made) if made.kind == "variant" else made.column
+        code = made.error if made.error is not None else F.lit(None).cast("string")
+        return _events(spark, sf_dir).select("event_id", column.alias("value"), *([code.alias("error")] if error else []))
+
+    return query
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type gate: a number on a text field, text on a whole field, a fraction on a whole field."""
+    text, bad_text = values.gate(_get("$.props.k"), "string")
+    whole, bad_whole = values.gate(_get("$.mixed"), "long")
+    half, bad_half = values.gate(values.unit_convert(_get("$.id"), "ms", "s"), "long")
+    return _events(spark, sf_dir).select("event_id", text.column.alias("text"), bad_text.alias("bad_text"), whole.column.alias("whole"), bad_whole.alias("bad_whole"), half.column.alias("half"), bad_half.alias("bad_half"))
+
+
+def _iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, wrong = paths.iterate(F.col("v"), paths.iterate_path("$.list[].k[]"))
+    own = _events(spark, sf_dir).select("event_id", wrong.alias("wrong"), F.posexplode_outer(rows).alias("source_index", "item"))
+    return own.select("event_id", "wrong", "source_index", F.try_variant_get("item", "$", "long").alias("item"))
+
+
+# -- records made of orders and their lines ----------------------------------------------------------
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, raw, v): one record per order, with its lines as a list; some orders are broken in known ways."""
+    l = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.struct(
+            F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("kind"),
+            F.when(F.col("l_returnflag") != "N", F.floor("l_quantity")).alias("tokens"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").cast("string").alias("at"),
+        ).alias("item"),
+    )
+    items = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    o = read(spark, sf_dir, "orders")
+    joined = o.join(items, o["o_orderkey"] == F.col("l_orderkey"), "left")
+    calls = lambda k: F.filter(F.coalesce("items", F.array().cast(items.schema["items"].dataType)), lambda x: x["kind"] == k)
+    key = F.col("o_orderkey")
+    raw = F.to_json(
+        F.struct(
+            F.when(key % 11 != 0, key).alias("key"),
+            F.when(key % 13 == 0, F.lit("  ")).otherwise(F.col("o_orderpriority")).alias("agent"),
+            F.col("o_orderdate").cast("string").alias("start"),
+            (F.col("o_totalprice") / 1000).alias("seconds"),
+            F.when(key % 17 == 0, F.lit("weird")).otherwise(F.col("o_orderstatus")).alias("status"),
+            calls("F").alias("models"),
+            F.struct(calls("O").alias("tools")).alias("inner"),
+        )
+    )
+    return joined.select(key.alias("line"), raw.alias("raw"), F.try_parse_json(raw).alias("v"))
+
+
+ORDER_MAPPING = Mapping(
+    "orders",
+    "jsonl",
+    (
+        Entity(
+            "session",
+            ("external_id",),
+            (
+                Field("external_id", "$.key", True),
+                Field("agent_name", "$.agent"),
+                Field("started_at", "$.start", False, ({"op": "parse_datetime", "format": "iso8601"},)),
+                Field("duration_ms", "$.seconds", False, ({"op": "unit_convert", "from": "s", "to": "ms"},)),
+                Field("outcome", "$.status", False, ({"op": "map_values", "table": {"F": "completed", "P": "aborted", "O": None}, "on_unknown": "passthrough"},)),
+            ),
+        ),
+        Entity(
+            "model_call",
+            ("sequence_index",),
+            (
+                Field("model_name", "$.models[].supp", False, ({"op": "concat", "sources": ["$.supp", "$.flag"], "separator": "-"},)),
+                Field("input_tokens", "$.tokens"),
+                Field("output_tokens", "$.price", False, ({"op": "cast", "to": "integer"},)),
+                Field("started_at", "$.at", False, ({"op": "parse_datetime", "format": "iso8601"},)),
+                Field("status", "$.none", False, ({"op": "default", "value": "ok"},)),
+            ),
+            iterate="$.models[]",
+        ),
+        Entity(
+            "tool_call",
+            ("sequence_index",),
+            (
+                Field("sequence_index", "$.n", True),
+                Field("tool_name", "$.part", True, ({"op": "cast", "to": "string"},)),
+                Field("status", "$.flag", False, ({"op": "map_values", "table": {"A": "ok", "R": "error"}, "on_unknown": "null"},)),
+            ),
+            iterate="$.inner.tools",
+        ),
+    ),
+)
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> normalize.Normalised:
+    return normalize.normalise(order_records(spark, sf_dir), ORDER_MAPPING)
+
+
+def _sessions(spark, sf_dir):
+    return _normalised(spark, sf_dir).session.select("line", "external_id", "agent_name", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "duration_ms", "outcome")
+
+
+def _model_calls(spark, sf_dir):
+    return _normalised(spark, sf_dir).model_call.select("line", "session_key", "sequence_index", "model_name", "input_tokens", "output_tokens", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "status")
+
+
+def _tool_calls(spark, sf_dir):
+    return _normalised(spark, sf_dir).tool_call.select("line", "session_key", "sequence_index", "tool_name", "status")
+
+
+def _issues(spark, sf_dir):
+    i = _normalised(spark, sf_dir).issues
+    return i.groupBy("target", "severity", "code").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.count_distinct("line").alias("lines"))
+
+
+def _report(spark, sf_dir):
+    records = order_records(spark, sf_dir)
+    return normalize.report(records, normalize.normalise(records, ORDER_MAPPING))
+
+
+def _fields_missing(spark, sf_dir):
+    return normalize.fields_missing(_normalised(spark, sf_dir)).filter("field IN ('session.outcome', 'model_call.input_tokens', 'tool_call.status', 'session.ended_at')")
+
+
+def _references(spark, sf_dir):
+    return normalize.reference_requests(_normalised(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _preview(spark, sf_dir):
+    counts, _ = normalize.preview(order_records(spark, sf_dir), ORDER_MAPPING)
+    return counts
+
+
+# -- merging -----------------------------------------------------------------------------------------
+
+
+def _line_calls(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("sequence_index"), "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"))
+
+
+def _merge_accounting(spark, sf_dir):
+    """The lines of even parts are stored already; all lines are loaded."""
+    rows = _line_calls(spark, sf_dir)
+    keys, order = ["session_id", "sequence_index"], ["l_partkey", "l_suppkey", "price"]
+    stored, _ = merge.first_of_key(rows.filter("l_partkey % 2 = 0"), keys, order)
+    stored = stored.withColumn("id", F.col("session_id") * 10 + F.col("sequence_index"))
+    return merge.outcome_counts(*merge.merge(rows, stored, keys, order), repeats_count=True)
+
+
+def _merge_again(spark, sf_dir):
+    """Loading the same rows twice adds nothing the second time."""
+    rows = _line_calls(spark, sf_dir)
+    keys, order = ["session_id", "sequence_index"], ["l_partkey", "l_suppkey", "price"]
+    new, _, _ = merge.merge(rows, rows.limit(0).withColumn("id", F.lit(0).cast("long")), keys, order)
+    stored = new.withColumn("id", F.xxhash64(*keys))
+    return merge.outcome_counts(*merge.merge(rows, stored, keys, order), repeats_count=False)
+
+
+def _merge_first(spark, sf_dir):
+    first, _ = merge.first_of_key(_line_calls(spark, sf_dir), ["session_id", "sequence_index"], ["l_partkey", "l_suppkey", "price"])
+    return first
+
+
+def _references_resolved(spark, sf_dir):
+    """Part brands and types as a two-key dimension, of which the even keys are stored."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("version"))
+    stored, _ = merge.first_of_key(p.filter("version IS NULL"), ["name", "version"], ["name"])
+    stored = stored.withColumn("id", F.abs(F.xxhash64("name")) % 1000)
+    return merge.get_or_create(p, stored, ["name", "version"]).groupBy("name").agg(F.count("*").alias("versions"), F.count_if(F.col("version").isNull()).alias("unversioned"))
+
+
+# -- profile and redaction ---------------------------------------------------------------------------
+
+
+def _profile(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("sparse"), F.struct(F.col("c_nationkey").alias("in ner")).alias("nest"))
+    return profile.profile(c, order="c_custkey").select("path", "types", "null_ratio", "min", "max", "distinct_ratio")
+
+
+def _redacted(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.col("text")).alias("text"))
+
+
+def _bounded(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", redact.bounded(F.col("text"), 40).alias("text"))
+
+
+def _as_records(spark, sf_dir):
+    own = readers.as_records(read(spark, sf_dir, "nation").withColumn("line", F.col("n_nationkey") + 1))
+    return own.select("line", F.try_variant_get("v", "$.n_name", "string").alias("name"), F.try_variant_get("v", "$.n_regionkey", "int").alias("region"))
+
+
+_EV = """WITH ev AS (SELECT event_id, user_id, event_type, event_id % 3 AS m, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) """
+_ORD = """
+WITH o AS (SELECT *, o_orderkey % 11 = 0 AS no_key, o_orderkey % 17 = 0 AS weird FROM orders),
+good AS (SELECT * FROM o WHERE NOT no_key AND NOT weird),
+mc AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, t NULLS FIRST, l_extendedprice, l_shipdate) - 1 AS idx
+  FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity) AS BIGINT) END AS t FROM lineitem) WHERE l_linestatus = 'F'),
+tc AS (SELECT * FROM lineitem WHERE l_linestatus = 'O')
+"""
+
+QUERIES = {
+    "path_resolve": _value(lambda: _get("$.props.k"), error=False),
+    "path_null": _value(lambda: _get("$.none.deeper"), error=False),
+    "path_iterate_nested": _iterate,
+    "op_cast_string": _value(lambda: values.cast(_get("$.flag"), "string")),
+    "op_cast_blank": _value(lambda: values.cast(_get("$.blank"), "string")),
+    "op_cast_integer": _value(lambda: values.cast(_get("$.mixed"), "integer")),
+    "op_cast_integer_or_null": _value(lambda: values.cast(_get("$.mixed"), "integer", "null")),
+    "op_cast_float": _value(lambda: values.cast(_get("$.mixed"), "float")),
+    "op_cast_boolean": _value(lambda: values.cast(_get("$.word"), "boolean")),
+    "op_parse_iso8601": _value(lambda: (lambda v: Value("timestamp_ntz", v.column.cast("timestamp_ntz"), v.error))(values.parse_datetime(_get("$.at"), "iso8601"))),
+    "op_parse_unix_seconds": _value(lambda: (lambda v: Value("timestamp_ntz", v.column.cast("timestamp_ntz"), v.error))(values.parse_datetime(_get("$.s"), "unix_seconds"))),
+    "op_parse_unix_millis": _value(lambda: (lambda v: Value("timestamp_ntz", v.column.cast("timestamp_ntz"), v.error))(values.parse_datetime(_get("$.s"), "unix_millis"))),
+    "op_parse_strptime": _value(lambda: (lambda v: Value("timestamp_ntz", v.column.cast("timestamp_ntz"), v.error))(values.parse_datetime(Value("string", F.substring(values.text(_get("$.at")), 1, 10)), "%Y-%m-%d"))),
+    "op_default": _value(lambda: values.default(_get("$.none"), 7)),
+    "op_coalesce": _value(lambda: values.first_of([_get("$.none"), _get("$.nothing"), _get("$.type")])),
+    "op_concat": _value(lambda: values.concat([_get("$.type"), _get("$.none"), _get("$.id")], "/")),
+    "op_concat_nothing": _value(lambda: values.concat([_get("$.none"), _get("$.nothing")], "/")),
+    "op_hash": _value(lambda: values.sha256_of({"$.type": _get("$.type"), "$.none": _get("$.none"), "$.id": _get("$.id")})),
+    "op_unit_convert": _value(lambda: values.unit_convert(_get("$.mixed"), "min", "ms")),
+    "op_unit_convert_half": _value(lambda: values.unit_convert(values.unit_convert(_get("$.id"), "ms", "s"), "s", "ms")),
+    "op_map_values_passthrough": _value(lambda: values.map_values(_get("$.type"), {"click": "ok", "error": "error"}, "passthrough")),
+    "op_map_values_null": _value(lambda: values.map_values(_get("$.flag"), {"True": "on"}, "null")),
+    "op_map_values_constant": _value(lambda: values.map_values(_get("$.none"), {"null": "absent"}, "constant", "other")),
+    "op_map_values_reject": _value(lambda: values.map_values(_get("$.type"), {"click": "ok"}, "reject")),
+    "op_trim_lower_upper": _value(lambda: values.upper(values.trim(values.lower(_get("$.mixed"))))),
+    "op_regex_extract": _value(lambda: values.regex_extract(_get("$.at"), r"(\d+)-(\d+)-(\d+)T", 3)),
+    "op_json_passthrough": _value(lambda: _get("$.props")),
+    "type_gate": _fields,
+    "normalised_sessions": _sessions,
+    "normalised_model_calls": _model_calls,
+    "normalised_tool_calls": _tool_calls,
+    "normalisation_issues": _issues,
+    "import_report": _report,
+    "fields_missing": _fields_missing,
+    "reference_requests": _references,
+    "import_preview": _preview,
+    "merge_accounting": _merge_accounting,
+    "merge_again": _merge_again,
+    "merge_first_wins": _merge_first,
+    "references_resolved": _references_resolved,
+    "file_profile": _profile,
+    "redacted_documents": _redacted,
+    "bounded_documents": _bounded,
+    "records_of_table": _as_records,
+}
+
+_NO = "CAST(NULL AS VARCHAR) AS error"
+_PRICE = "CAST(trunc(CAST(l_extendedprice AS DOUBLE)) AS BIGINT)"
+_MIXED = "CASE WHEN m = 2 THEN NULL ELSE user_id END"
+_MERGE = """WITH r AS (SELECT l_orderkey AS session_id, l_linenumber AS sequence_index, l_partkey, l_suppkey, l_extendedprice AS price,
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+  s AS (SELECT DISTINCT session_id, sequence_index FROM r WHERE l_partkey % 2 = 0) """
+
+
+def _redaction_sql() -> str:
+    """The rules as nested calls; look-ahead rules have no match in these documents and are left out."""
+    sql = "text"
+    quoted = lambda x: x.replace("'", "''")
+    for i, (pattern, to) in enumerate(redact.RULES):
+        if i == redact._MAIL_AT:
+            sql = f"replace(replace(regexp_replace({sql}, '({quoted(redact._REMOTE)})|{quoted(redact._MAIL)}', '\\1' || chr(1), 'g'), '.git' || chr(1), '.git'), chr(1), '[REDACTED_EMAIL]')"
+        if "(?=" not in pattern:
+            sql = f"regexp_replace({sql}, '{quoted(pattern)}', '{to.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    return f"SELECT doc_id, {sql} AS text FROM documents"
+
+
+ORACLES = {
+    "path_resolve": _EV + "SELECT event_id, CAST(k AS VARCHAR) AS value FROM ev",
+    "path_null": _EV + "SELECT event_id, CAST(NULL AS VARCHAR) AS value FROM ev",
+    "path_iterate_nested": _EV
+    + """SELECT event_id, TRUE AS wrong, CAST(NULL AS INTEGER) AS source_index, CAST(NULL AS BIGINT) AS item FROM ev WHERE m = 2
+  UNION ALL SELECT event_id, FALSE, i, CASE i WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE user_id END FROM ev, (SELECT unnest([0, 1, 2]) AS i) WHERE m <> 2""",
+    "op_cast_string": _EV + f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS value, {_NO} FROM ev",
+    "op_cast_blank": _EV + f"SELECT event_id, CASE WHEN m <> 0 THEN 'x' END AS value, {_NO} FROM ev",
+    "op_cast_integer": _EV + f"SELECT event_id, {_MIXED} AS value, CASE WHEN m = 2 THEN 'CAST_FAILED' END AS error FROM ev",
+    "op_cast_integer_or_null": _EV + f"SELECT event_id, {_MIXED} AS value, {_NO} FROM ev",
+    "op_cast_float": _EV + f"SELECT event_id, CAST({_MIXED} AS DOUBLE) AS value, CASE WHEN m = 2 THEN 'CAST_FAILED' END AS error FROM ev",
+    "op_cast_boolean": _EV + "SELECT event_id, CASE m WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS value, CASE WHEN m = 2 THEN 'CAST_FAILED' END AS error FROM ev",
+    "op_parse_iso8601": _EV + f"SELECT event_id, TIMESTAMP '2024-02-01 08:00:00' + to_days(CAST(event_id % 28 AS INTEGER)) AS value, {_NO} FROM ev",
+    "op_parse_unix_seconds": _EV + f"SELECT event_id, make_timestamp((event_id + 1700000000) * 1000000) AS value, {_NO} FROM ev",
+    "op_parse_unix_millis": _EV + f"SELECT event_id, make_timestamp((event_id + 1700000000) * 1000) AS value, {_NO} FROM ev",
+    "op_parse_strptime": _EV + f"SELECT event_id, TIMESTAMP '2024-02-01 00:00:00' + to_days(CAST(event_id % 28 AS INTEGER)) AS value, {_NO} FROM ev",
+    "op_default": _EV + f"SELECT event_id, '7' AS value, {_NO} FROM ev",
+    "op_coalesce": _EV + f"SELECT event_id, event_type AS value, {_NO} FROM ev",
+    "op_concat": _EV + f"SELECT event_id, event_type || '/' || event_id AS value, {_NO} FROM ev",
+    "op_concat_nothing": _EV + f"SELECT event_id, CAST(NULL AS VARCHAR) AS value, {_NO} FROM ev",
+    "op_hash": _EV + f"""SELECT event_id, sha256('{{"$.id": ' || event_id || ', "$.none": null, "$.type": "' || event_type || '"}}') AS value, {_NO} FROM ev""",
+    "op_unit_convert": _EV + f"SELECT event_id, {_MIXED} * 60000 AS value, CASE WHEN m = 2 THEN 'OPERATOR_FAILED' END AS error FROM ev",
+    "op_unit_convert_half": _EV + f"SELECT event_id, CAST(round_even(event_id * 0.001::DOUBLE * 1000::DOUBLE, 0) AS BIGINT) AS value, {_NO} FROM ev",
+    "op_map_values_passthrough": _EV + f"SELECT event_id, CASE event_type WHEN 'click' THEN 'ok' ELSE event_type END AS value, {_NO} FROM ev",
+    "op_map_values_null": _EV + f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'on' END AS value, {_NO} FROM ev",
+    "op_map_values_constant": _EV + f"SELECT event_id, 'absent' AS value, {_NO} FROM ev",
+    "op_map_values_reject": _EV + "SELECT event_id, CASE event_type WHEN 'click' THEN 'ok' END AS value, CASE WHEN event_type <> 'click' THEN 'OPERATOR_FAILED' END AS error FROM ev",
+    "op_trim_lower_upper": _EV + f"SELECT event_id, CASE WHEN m = 2 THEN 'N/A' ELSE CAST(user_id AS VARCHAR) END AS value, {_NO} FROM ev",
+    "op_regex_extract": _EV + f"SELECT event_id, lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') AS value, {_NO} FROM ev",
+    "op_json_passthrough": _EV + f"""SELECT event_id, '{{"k":' || k || '}}' AS value, {_NO} FROM ev""",
+    "type_gate": _EV
+    + """SELECT event_id, CAST(k AS VARCHAR) AS text, FALSE AS bad_text, CASE WHEN m = 0 THEN user_id END AS whole, m <> 0 AS bad_whole,
+  CAST(round_even(event_id * 0.001::DOUBLE, 0) AS BIGINT) AS half, FALSE AS bad_half FROM ev""",
+    "normalised_sessions": _ORD
+    + """SELECT o_orderkey AS line, CAST(o_orderkey AS VARCHAR) AS external_id, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS agent_name, o_orderdate AS started_at,
+  CAST(round_even(o_totalprice / 1000 * 1000, 0) AS BIGINT) AS duration_ms, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'aborted' END AS outcome FROM good""",
+    "normalised_model_calls": _ORD
+    + f"""SELECT l_orderkey AS line, CAST(l_orderkey AS VARCHAR) AS session_key, idx AS sequence_index, l_suppkey || '-' || l_returnflag AS model_name, t AS input_tokens, {_PRICE} AS output_tokens,
+  l_shipdate AS started_at, 'ok' AS status FROM mc JOIN good ON o_orderkey = l_orderkey""",
+    "normalised_tool_calls": _ORD
+    + """SELECT l_orderkey AS line, CAST(l_orderkey AS VARCHAR) AS session_key, l_linenumber AS sequence_index, CAST(l_partkey AS VARCHAR) AS tool_name,
+  CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'R' THEN 'error' ELSE 'unknown' END AS status FROM tc JOIN good ON o_orderkey = l_orderkey""",
+    "normalisation_issues": _ORD
+    + """SELECT 'session' AS target, 'rejected' AS severity, 'MISSING_REQUIRED_FIELD' AS code, count(*) AS n, count(*) AS rows, count(*) AS lines FROM o WHERE no_key
+  UNION ALL SELECT 'session', 'rejected', 'ENTITY_CONSTRUCTION_FAILED', count(*), count(*), count(*) FROM o WHERE weird AND NOT no_key
+  UNION ALL SELECT 'model_call', 'rejected', 'PARENT_SESSION_MISSING', count(DISTINCT l_orderkey), count(*), count(DISTINCT l_orderkey) FROM mc JOIN o ON o_orderkey = l_orderkey WHERE no_key OR weird
+  UNION ALL SELECT 'tool_call', 'rejected', 'PARENT_SESSION_MISSING', count(DISTINCT l_orderkey), count(*), count(DISTINCT l_orderkey) FROM tc JOIN o ON o_orderkey = l_orderkey WHERE no_key OR weird""",
+    "import_report": _ORD
+    + """SELECT (SELECT count(*) FROM o) AS records_read, (SELECT count(*) FROM good) AS records_imported, 0 AS records_duplicate,
+  (SELECT count(*) FROM o WHERE no_key OR weird) AS records_rejected, 'partial' AS status""",
+    "fields_missing": _ORD
+    + """SELECT 'session.outcome' AS field, count(*) AS n FROM good WHERE o_orderstatus = 'O' UNION ALL SELECT 'session.ended_at', count(*) FROM good
+  UNION ALL SELECT 'model_call.input_tokens', count(*) FROM mc JOIN good ON o_orderkey = l_orderkey WHERE t IS NULL""",
+    "reference_requests": _ORD
+    + """SELECT 'agent' AS kind, count(DISTINCT o_orderpriority) AS n FROM good WHERE o_orderkey % 13 <> 0
+  UNION ALL SELECT 'model', count(DISTINCT l_suppkey || '-' || l_returnflag) FROM mc JOIN good ON o_orderkey = l_orderkey UNION ALL SELECT 'tool', count(DISTINCT l_partkey) FROM tc JOIN good ON o_orderkey = l_orderkey""",
+    "import_preview": _ORD
+    + """, h AS (SELECT o_orderkey AS k FROM o ORDER BY o_orderkey LIMIT 20)
+  SELECT 'session' AS target, count(*) AS n FROM good WHERE o_orderkey IN (SELECT k FROM h)
+  UNION ALL SELECT 'model_call', count(*) FROM mc JOIN good ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT k FROM h)
+  UNION ALL SELECT 'tool_call', count(*) FROM tc JOIN good ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT k FROM h)""",
+    "merge_accounting": _MERGE
+    + """, f AS (SELECT r.*, s.session_id IS NOT NULL AS known FROM r LEFT JOIN s USING (session_id, sequence_index))
+  SELECT 'new' AS outcome, count(*) AS n FROM f WHERE n = 1 AND NOT known UNION ALL SELECT 'existing', count(*) FROM f WHERE n = 1 AND known
+  UNION ALL SELECT 'duplicate', count(*) FROM f WHERE n > 1 OR known""",
+    "merge_again": _MERGE + "SELECT 'new' AS outcome, 0 AS n UNION ALL SELECT 'existing', count(*) FROM r WHERE n = 1 UNION ALL SELECT 'duplicate', count(*) FROM r WHERE n = 1",
+    "merge_first_wins": _MERGE + "SELECT session_id, sequence_index, l_partkey, l_suppkey, price FROM r WHERE n = 1",
+    "references_resolved": """WITH p AS (SELECT DISTINCT p_brand AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS version FROM part)
+  SELECT name, count(*) AS versions, count(*) FILTER (version IS NULL) AS unversioned FROM p GROUP BY 1""",
+    "file_profile": """WITH c AS (SELECT *, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS sparse FROM customer)
+  SELECT '$.c_mktsegment' AS path, ['string'] AS types, 0.0::DOUBLE AS null_ratio, CAST(NULL AS VARCHAR) AS min, CAST(NULL AS VARCHAR) AS max, count(DISTINCT c_mktsegment) / count(*) AS distinct_ratio FROM c
+  UNION ALL SELECT '$.c_nationkey', ['integer'], 0.0, CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR), count(DISTINCT c_nationkey) / count(*) FROM c
+  UNION ALL SELECT '$.sparse', ['integer', 'null'], 1 - count(sparse) / count(*), CAST(min(sparse) AS VARCHAR), CAST(max(sparse) AS VARCHAR), count(DISTINCT sparse) / count(sparse) FROM c
+  UNION ALL SELECT '$.nest["in ner"]', ['integer'], 0.0, CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR), count(DISTINCT c_nationkey) / count(*) FROM c""",
+    "redacted_documents": _redaction_sql(),
+    "bounded_documents": "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 40 - 12) || '…[truncated]' END AS text FROM documents",
+    "records_of_table": "SELECT n_nationkey + 1 AS line, n_name AS name, n_regionkey AS region FROM nation",
+}
