@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tracemill.llm.common import derive
 
 #: Distinct pre-tokens kept by a task before its cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_characters() -> list[str]:

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import derive, id_and_text, scratch_path, stored
+from tracemill.llm.common import derive, id_and_text, pieces, scratch_path, stored
 from tracemill.llm.piece_bpe import byte_characters
 
 SCALE = 20
 LOW = 1 << 31
 LANES, BLOCK_IDS, CHUNK_IDS = 2048, 1 << 18, 1 << 20
 #: Distinct words a worker remembers before it starts anew (about 200 bytes each).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 DIRECTORY = struct.Struct("<QQIIIII")
 #: Every 16-bit id as bytes.
 SHORT = [struct.pack("<H", i) for i in range(1 << 16)]
@@ -74,8 +74,8 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's ids end)."""
-        raw = texts.buffers()[2].to_pybytes() if len(texts) and texts.buffers()[2] else b""
-        if b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = texts.cast(pa.binary())
+        if not any(pc.any(pc.match_substring(raw, mark)).as_py() for mark in (b"\xcc", b"\xcd")):
             texts = pc.ascii_lower(texts)  # no combining mark that composes with a small letter only
         # A run of punctuation without apostrophe between a letter or digit and white space is cut off
         # there by the tokenizer too; without it there are fewer distinct words.
@@ -241,7 +241,7 @@ def symbol_counts(tokens: DataFrame, size: int) -> np.ndarray:
         import zstandard
 
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(size, np.int64)
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             joined = b"".join(unpack.decompress(x.as_py()) for x in b.column("packed"))
             total += np.bincount(np.frombuffer(joined, "<u2"), minlength=size)
         seen = np.flatnonzero(total)
