@@ -290,8 +290,6 @@ def _first_group(values: pd.Series, pattern: pd.Series) -> pd.Series:
 
 def named_group(pattern: str, group: int) -> str:
     """The pattern with the wanted group named g and no other group captured by name."""
-    if group == 0:
-        return f"(?P<g>{pattern})"
     seen, out, at, in_class = 0, [], 0, False
     while at < len(pattern):
         c = pattern[at]
@@ -310,7 +308,7 @@ def named_group(pattern: str, group: int) -> str:
             continue
         out.append(c)
         at += 1
-    return "".join(out)
+    return "".join(out) if group else f"(?P<g>{''.join(out)})"
 
 
 def regex_extract(value: Value, pattern: str, group: int = 0) -> Value:
