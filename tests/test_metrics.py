@@ -92,3 +92,13 @@ def test_client_rollups(spark, t):
 def test_survivors_treat_missing_versions_as_one(spark):
     agents = spark.createDataFrame([(1, "x", None), (2, "x", None), (3, "x", "1")], "id long, name string, version string")
     assert [(r["id"], r["survivor_id"]) for r in explore.survivors(agents).collect()] == [(2, 1)]
+
+
+def test_views_and_preview_keys(spark, t):
+    from tracemill.plans import views
+
+    names = views.register(t)
+    assert names == ["v_session_metrics", "v_daily_activity", "v_tool_usage", "v_model_usage"]
+    assert spark.sql("SELECT sum(call_count) FROM v_tool_usage").first()[0] == 6
+    rows = spark.createDataFrame([(1, '{"b":1,"a":2}'), (2, '{"c":1,"a":2}')], "line long, row string")
+    assert rollups.row_keys(rows).first()["keys"] == ["b", "a", "c"]

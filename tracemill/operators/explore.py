@@ -18,15 +18,18 @@ def page(df: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
 
 
 def sessions(t: Tables, f: Filters = Filters(), limit: int = PAGE, offset: int = 0) -> DataFrame:  # noqa: B008
-    """A page of sessions, latest first, undated last. The page is cut before any child is aggregated."""
+    """A page of sessions, latest first, undated last.
+
+    The page's ids (at most MAX_PAGE) are fetched first; the children are then read with an id filter that
+    reaches their scans, instead of being aggregated or joined whole.
+    """
     order = [F.desc_nulls_last("started_at"), F.desc("id")]
-    own = page(filtered_sessions(t, f).orderBy(*order), limit, offset)
-    few = Tables(own, t.model_call, t.tool_call)
-    ids = F.broadcast(own.select(F.col("id").alias("session_id")))  # at most MAX_PAGE rows
-    few = Tables(own, t.model_call.join(ids, "session_id", "left_semi"), t.tool_call.join(ids, "session_id", "left_semi"))
-    metrics = session_metrics(few)
-    named = metrics.join(F.broadcast(own.select(F.col("id").alias("session_id"), "external_id", "outcome")), "session_id")
-    return named.orderBy(F.desc_nulls_last("started_at"), F.desc("session_id"))
+    ids = [r["id"] for r in page(filtered_sessions(t, f).select("id", "started_at").orderBy(*order), limit, offset).collect()]
+    chosen = lambda c: F.col(c).isin(ids) if ids else F.lit(False)
+    own = t.session.filter(chosen("id"))
+    few = Tables(own, t.model_call.filter(chosen("session_id")), t.tool_call.filter(chosen("session_id")))
+    named = own.select(F.col("id").alias("session_id"), "external_id", "outcome")
+    return session_metrics(few).join(named, "session_id").orderBy(F.desc_nulls_last("started_at"), F.desc("session_id"))
 
 
 def session_total(t: Tables, f: Filters = Filters()) -> DataFrame:  # noqa: B008

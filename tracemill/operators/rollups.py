@@ -72,3 +72,10 @@ def map_total(df: DataFrame, column: str, to: str = "total") -> DataFrame:
 def distinct_warnings(df: DataFrame, column: str) -> DataFrame:
     """All warnings of a list column once, in order within their row."""
     return df.select(F.array_distinct(F.flatten(column)).alias("warnings"))
+
+
+def row_keys(rows: DataFrame, column: str = "row", order: str = "line") -> DataFrame:
+    """All member names of JSON rows, in the order in which they are first seen (a preview: bounded rows)."""
+    keys = rows.select(order, F.posexplode(F.json_object_keys(column)).alias("at", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct(order, "at")).alias("first"))
+    return first.agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "key"))), lambda x: x["key"]).alias("keys"))
