@@ -538,3 +538,10 @@ def test_pieces_keep_every_row():
     for limit in (1, 100, 10**9):
         got = [v for p in pieces(iter(b), limit) for v in p.column("x").to_pylist()]
         assert got == [v for x in b for v in x.column("x").to_pylist()]
+
+
+def test_names_that_do_not_speak_against_content(spark):
+    html = page('<div class="header"><p>Site</p></div><div class="content with-sidebar"><article class="post ad-free"><header class="entry-header"><h1>T</h1></header><p>text</p><div class="cookie-notice">c</div><form><p>f</p></form></article></div><div role="contentinfo">z</div>')
+    df = spark.createDataFrame([(1, "http://h/a", html), (2, "http://i/a", html.replace("article", "section"))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(df).collect()}
+    assert got == {1: "T\ntext", 2: "text"}  # without an article, a header element is the page's
