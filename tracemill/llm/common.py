@@ -49,15 +49,41 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-#: Bytes of a record batch that an operator works on at a time.
-PIECE_BYTES = 4 << 20
+#: Bytes of texts that an operator works on at a time, and rows that Spark hands to Python at a time.
+PIECE_BYTES, BATCH_ROWS = 4 << 20, 1_000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``limit`` bytes, one row at least."""
-    step = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to BATCH_ROWS rows where they were longer.
+
+    Ten thousand long texts in a batch are held several times over, in the JVM and in Python.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, BATCH_ROWS)
+    return df
+
+
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again in batches of about ``limit`` bytes, one row at least."""
+    held: list[pa.RecordBatch] = []
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        for b in pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else list(held):
+            step = max(1, int(b.num_rows * limit / max(b.nbytes, 1)))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+        held.clear()
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= limit:
+                yield from cut()
+    if held:
+        yield from cut()
+    pa.default_memory_pool().release_unused()
 
 
 def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], fields: str, keep: list[str], limit: int = PIECE_BYTES) -> DataFrame:
@@ -72,10 +98,10 @@ def derive(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in (piece for b in batches for piece in pieces(b, limit)):
+        for batch in pieces(batches, limit):
             made = work(batch)
             columns = [batch.column(c).cast(arrow.field(c).type) for c in keep]
             columns += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, arrow.field(f.name).type) for f in added]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)

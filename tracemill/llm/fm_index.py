@@ -1,6 +1,6 @@
 """Benchmark decontamination by one FM-index per training shard.
 
-A shard is the run of documents that one task holds at a time. Its words become symbols: each word of
+A shard is the run of documents, SHARD_BYTES in all, that a task holds at a time. Its words become symbols: each word of
 the test phrases has its own, all other words cannot match and cut the shard into runs. Runs shorter
 than the shortest phrase cannot hold one and are left out; what remains is indexed: suffix array by
 prefix doubling, Burrows-Wheeler transform in a wavelet matrix with rank tables, and the suffix
@@ -34,6 +34,8 @@ SAMPLE = 8
 #: Words of phrases per block, as bytes; symbols indexed at once.
 BLOCK_BYTES = 8 << 20
 SHARD_SYMBOLS = 1 << 20
+#: Texts of one shard, as bytes.
+SHARD_BYTES = 16 << 20
 
 SPANS = "array<struct<start:long,end:long>>"
 FIELDS = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<long>"
@@ -253,9 +255,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
             return scan
 
-        out = derive(out, scanner, FIELDS, kept)
+        out = derive(out, scanner, FIELDS, kept, SHARD_BYTES)
     if not blocks:
-        out = derive(out, lambda: lambda b: {"n_words": [len(plain_words(t or "")) for t in b.column("text").to_pylist()], "spans": [[]] * len(b), "item_ids": [[]] * len(b)}, FIELDS, kept)
+        out = derive(out, lambda: lambda b: {"n_words": [len(plain_words(t or "")) for t in b.column("text").to_pylist()], "spans": [[]] * len(b), "item_ids": [[]] * len(b)}, FIELDS, kept, SHARD_BYTES)
     return out if carry else out.drop("text")
 
 
@@ -286,8 +288,8 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def without_passages(found: DataFrame, carry: str, most: float = 0.5) -> DataFrame:
-    """``carry`` and clean_text of the documents that keep more than ``most`` of their words once their spans are cut."""
+def without_passages(found: DataFrame, keep: list[str], most: float = 0.5) -> DataFrame:
+    """The columns ``keep`` and clean_text of the documents that keep more than ``most`` of their words once their spans are cut."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     kept = found.filter((hit == 0) | (hit < most * F.col("n_words")))
 
@@ -295,4 +297,4 @@ def without_passages(found: DataFrame, carry: str, most: float = 0.5) -> DataFra
         rows = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
         return {"clean_text": [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in rows]}
 
-    return derive(kept, lambda: work, "clean_text string", [carry])
+    return derive(kept, lambda: work, "clean_text string", keep)

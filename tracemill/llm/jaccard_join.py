@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import pieces, stored
+from tracemill.llm.common import bound_batches, pieces, stored
 from tracemill.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -131,13 +131,13 @@ def _mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterato
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, work = to_arrow_schema(schema), make()
-        for b in (piece for batch in batches for piece in pieces(batch)):
+        for b in pieces(batches):
             for columns in work(b):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[c], arrow.field(c).type) for c in names], schema=arrow)
         for columns in getattr(work, "last", list)():
             yield pa.RecordBatch.from_arrays([pa.array(columns[c], arrow.field(c).type) for c in names], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 class _Describe:

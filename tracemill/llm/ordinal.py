@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import derive, stored
+from tracemill.llm.common import bound_batches, derive, stored
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 12_000
 #: Features seen in fewer rated texts carry no weight.
 MIN_TEXTS = 5
-STEPS, STEP, DECAY = 160, 0.15, 2e-4
+STEPS, STEP = 160, 0.15
+#: Strength of the Gaussian prior on weights, against one text each.
+PRIOR = 2.4
 #: Word beginnings of these lengths (bytes) are features too: inflected words share them.
 STEMS = (4, 5)
 GRADES = 3
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 _TAIL = re.compile(rb"[^\w\s]+$")
 
 
@@ -101,33 +103,52 @@ def _cumulative(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.hstack((np.zeros((len(score), 1)), inner, np.ones((len(score), 1))))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> Model:
-    """Maximum likelihood by full-batch Adam on weights and ordered thresholds."""
-    if not len(rows):
+def fit(flat: np.ndarray, lengths: np.ndarray, grades: np.ndarray, n_grades: int = GRADES) -> Model:
+    """Maximum likelihood by full-batch Adam on weights and ordered thresholds.
+
+    flat: the features of all texts in a row, lengths: how many each text has. The sparse matrix is held by
+    rows and by columns as 32-bit numbers, about 16 bytes a feature with what a step needs.
+    """
+    if not len(lengths):
         return Model(np.empty(0, np.int64), np.empty(0), np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
-    flat = np.concatenate(rows)
-    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = len(lengths)
     index = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= MIN_TEXTS)
-    at = np.searchsorted(index, flat)
-    kept = (at < len(index)) & (index[np.minimum(at, max(len(index) - 1, 0))] == flat) if len(index) else np.zeros(len(flat), bool)
-    col, row = at[kept].astype(np.int32), row_of[kept].astype(np.int32)
-    del flat, at, row_of, kept
-    share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (len(grades) + n_grades)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[index] = np.arange(len(index), dtype=np.int32)
+    col = place[flat]
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[col >= 0]
+    col = col[col >= 0]
+    per_row = np.bincount(row, minlength=n)
+    by_col = row[np.argsort(col, kind="stable")]
+    per_col = np.bincount(col, minlength=len(index))
+    del row
+
+    def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of consecutive groups, some of which may be empty."""
+        out = np.zeros(len(counts))
+        some = counts > 0
+        if len(values):
+            starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
+            out[some] = np.add.reduceat(values, starts[some])
+        return out
+
+    share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (n + n_grades)
     base = np.log(share / (1 - share))
     # thresholds: the first one free, then positive gaps (as logarithms), so they stay ordered
     params = np.concatenate((np.zeros(len(index)), base[:1], np.log(np.maximum(np.diff(base), 1e-2))))
     first, second, w = np.zeros(len(params)), np.zeros(len(params)), len(index)
+    every = np.arange(n)
     for t in range(1, STEPS + 1):
         cuts = np.cumsum(np.concatenate((params[w : w + 1], np.exp(params[w + 1 :]))))
-        score = np.bincount(row, params[:w][col], minlength=len(rows))
-        cum = _cumulative(score, cuts)
-        low, high = cum[np.arange(len(rows)), grades], cum[np.arange(len(rows)), grades + 1]
+        cum = _cumulative(sums(params[:w].astype(np.float32)[col], per_row), cuts)
+        low, high = cum[every, grades], cum[every, grades + 1]
         p = np.maximum(high - low, 1e-9)
         d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
         g_score = d_high - d_low  # of the negative log likelihood
-        g_cuts = np.array([(-d_high[grades == k].sum() + d_low[grades == k + 1].sum()) for k in range(n_grades - 1)]) / len(rows)
+        g_cuts = np.array([(-d_high[grades == k].sum() + d_low[grades == k + 1].sum()) for k in range(n_grades - 1)]) / n
         gaps = np.cumsum(g_cuts[::-1])[::-1]  # a gap moves every threshold after it
-        g = np.concatenate((np.bincount(col, g_score[row], minlength=w) / len(rows) + DECAY * params[:w], gaps[:1], gaps[1:] * np.exp(params[w + 1 :])))
+        g_weight = sums(g_score.astype(np.float32)[by_col], per_col) / n + PRIOR / n * params[:w]
+        g = np.concatenate((g_weight, gaps[:1], gaps[1:] * np.exp(params[w + 1 :])))
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         params -= STEP * (1 - t / (STEPS + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -145,16 +166,18 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     featured = stored(derive(joined, _featuring, "features array<int>", ["doc_id", "grade"]), "rated").orderBy("doc_id", "grade").coalesce(1)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, grades = [], []
+        flat, lengths, grades = [np.empty(0, np.int32)], [np.empty(0, np.int64)], []
         for b in batches:
-            rows += [np.asarray(x.as_py(), np.int64) for x in b.column("features")]
+            lists = b.column("features")
+            flat.append(lists.flatten().to_numpy().copy())
+            lengths.append(np.diff(lists.offsets.to_numpy()))
             grades += b.column("grade").to_pylist()
-        m = fit(rows, np.array(grades, np.int64))
+        m = fit(np.concatenate(flat), np.concatenate(lengths), np.array(grades, np.int64))
         yield pa.RecordBatch.from_pydict({"index": [m.index.astype(np.int32)], "weight": [m.weight], "thresholds": [m.thresholds]}, schema=pa.schema([("index", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))]))
 
-    solved = featured.mapInArrow(solve, "index array<int>, weight array<double>, thresholds array<double>").collect()
+    solved = bound_batches(featured).mapInArrow(solve, "index array<int>, weight array<double>, thresholds array<double>").collect()
     if not solved:
-        return fit([], np.empty(0, np.int64))
+        return fit(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
     return Model(np.array(solved[0]["index"], np.int64), np.array(solved[0]["weight"]), np.array(solved[0]["thresholds"]))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import derive, id_and_text, pieces, scratch_path, stored
+from tracemill.llm.common import bound_batches, derive, id_and_text, pieces, scratch_path, stored
 from tracemill.llm.piece_bpe import byte_characters
 
 SCALE = 20
@@ -241,14 +241,14 @@ def symbol_counts(tokens: DataFrame, size: int) -> np.ndarray:
         import zstandard
 
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(size, np.int64)
-        for b in (piece for batch in batches for piece in pieces(batch)):
+        for b in pieces(batches):
             joined = b"".join(unpack.decompress(x.as_py()) for x in b.column("packed"))
             total += np.bincount(np.frombuffer(joined, "<u2"), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"symbol": seen, "n": total[seen]})
 
     counts = np.zeros(size, np.int64)
-    for r in tokens.select("packed").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in bound_batches(tokens.select("packed")).mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]
     return counts
 
@@ -281,7 +281,7 @@ def write_chunks(tokens: DataFrame, freq: np.ndarray, path: str) -> None:
         if held:
             yield flush()
 
-    tokens.select("part", "in_part", "doc_id", "packed").mapInArrow(encode, schema).write.option("compression", "none").parquet(f"{path}/chunks")
+    bound_batches(tokens.select("part", "in_part", "doc_id", "packed")).mapInArrow(encode, schema).write.option("compression", "none").parquet(f"{path}/chunks")
     spark = tokens.sparkSession
     spark.createDataFrame([(int(s), int(freq[s])) for s in np.flatnonzero(freq)], "symbol int, freq int").coalesce(1).write.parquet(f"{path}/table")
 
