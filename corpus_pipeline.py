@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through five of the training-data operators, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; what it returns is
-written as Parquet and read again for the next one. A row travels as one struct beside the columns that a
-stage needs, so added columns cannot clash with the row's own.
+written as Parquet and read again for the next one. Where an operator carries rows along, their columns
+travel as fields of one struct, so added columns cannot clash with the rows' own.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ ORACLE_SQL = None
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    """doc_id and text, and row: all other columns."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
 
 
 def _with_text(rows: DataFrame, text, columns: list[str]) -> DataFrame:
     """The rows with another text, and its length."""
-    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.char_length(text).cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in columns])
 
 
@@ -32,8 +33,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier does not reject."""
     labels = table(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    scored = ordinal.score(_rows(docs), ordinal.train(docs, ratings), ["row"])
-    return scored.filter(F.col("tail_probability") >= KEEP_PROBABILITY).select("row.*")
+    named = docs.select(*[F.col(c).alias(f"row_{c}") for c in docs.columns])
+    scored = ordinal.score(named, ordinal.train(docs, ratings), named.columns, text_col="row_text")
+    return scored.filter(F.col("tail_probability") >= KEEP_PROBABILITY).select(*[F.col(f"row_{c}").alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out; documents that are mostly passages go."""
     found = fm_index.find_contamination(_rows(docs), table(spark, sf_dir, "benchmark"), carry="row")
-    return _with_text(fm_index.without_passages(found, "row"), F.col("clean_text"), docs.columns)
+    return _with_text(fm_index.without_passages(found, ["doc_id", "row"]), F.col("clean_text"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
