@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.sources.readers import numbered
+from tracemill.sources.readers import numbered, settled
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -23,7 +23,7 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Data
 def with_ids(new: DataFrame, stored: DataFrame, to: str = "id") -> DataFrame:
     """Number rows after the largest stored id, without a global sort."""
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    return numbered(new, to).withColumn(to, F.col(to) + F.lit(top))
+    return numbered(settled(new), to).withColumn(to, F.col(to) + F.lit(top))
 
 
 def merge(incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,24 @@ def read_head(spark: SparkSession, path: str, fmt: str | None = None, limit: int
     return scan_file(spark, path, fmt).limit(limit)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that every later read sees the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="tracemill-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def numbered(lines: DataFrame, to: str = "line") -> DataFrame:
     """Dense line numbers from 1 in input order.
 
-    Counts per input partition are collected (one number a partition); no global sort and no single task.
+    The rows are read twice and must come in the same partitions both times: files do, other frames need
+    settled(). Counts per partition are collected (one number each); no global sort and no single task.
     """
     tagged = lines.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
