@@ -6,7 +6,7 @@ the one issue per record and entity for calls whose session was rejected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,16 +16,6 @@ from tracemill.plans.mapping import Entity, Mapping, validate
 from tracemill.schema import OUTCOMES, STATUSES, TARGET_FIELDS
 
 
-@dataclass(frozen=True)
-class Normalised:
-    """Entities by line, and issues of (line, target, severity, code, field_path, rows)."""
-
-    session: DataFrame
-    model_call: DataFrame
-    tool_call: DataFrame
-    issues: DataFrame
-
-
 def _flag(when: Column, code: str, at: str | None = None) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), issue("rejected", code, at))
 
@@ -65,57 +55,98 @@ def _issue_rows(df: DataFrame, target: str, issues: Column, rows: Column | None
     return df.select("line", F.lit(target).alias("target"), count, F.explode(issues).alias("i")).select("line", "target", "i.severity", "i.code", "i.field_path", "rows")
 
 
-def normalise(records: DataFrame, mapping: Mapping) -> Normalised:
-    """records: (line, v). The mapping must be valid."""
-    if problems := validate(mapping):
-        raise ValueError(f"invalid mapping: {problems}")
-    by = {e.target: e for e in mapping.entities}
-    found: list[DataFrame] = []
-    none = lambda target: records.select("line", F.lit(0).alias("source_index"), *[F.lit(None).cast({"long": "bigint"}.get(k, k)).alias(f) for f, k in TARGET_FIELDS[target].items()]).limit(0)
-
-    session = by.get("session")
-    if session is None:
-        good = none("session")
-    else:
-        rows, odd = entity_rows(records, session)
-        found.append(_issue_rows(odd, "session", F.array(issue("rejected", "ITERATE_NOT_A_LIST", "entities[target=session].iterate"))))
+class Normalised:
+    """Entities by line, and issues of (line, target, severity, code, field_path, rows); each is built when asked for."""
+
+    def __init__(self, records: DataFrame, mapping: Mapping):
+        self.records = records
+        self.entities = {e.target: e for e in mapping.entities}
+
+    def _nothing(self, target: str) -> DataFrame:
+        fields = [F.lit(None).cast({"long": "bigint"}.get(k, k)).alias(f) for f, k in TARGET_FIELDS[target].items()]
+        return self.records.select("line", F.lit(0).alias("source_index"), *fields).limit(0)
+
+    @cached_property
+    def _sessions(self) -> tuple[DataFrame, DataFrame]:
+        """(all session rows with their verdict and the record, records whose path holds no list)."""
+        session = self.entities["session"]
+        rows, odd = entity_rows(self.records, session, ("line",) if session.iterate else ("line", "v"))
         judged = _judged(rows, session)
         if session.iterate:
             line = Window.partitionBy("line")
-            judged = judged.withColumn("n", F.count_if(~F.col("rejected")).over(line)).withColumn("rank", F.row_number().over(line.orderBy("rejected", "source_index")))
+            judged = judged.withColumns({"n": F.count_if(~F.col("rejected")).over(line), "rank": F.row_number().over(line.orderBy("rejected", "source_index"))})
             judged = judged.withColumn("refusal", F.when(F.col("rank") == 1, F.col("refusal")))
-            found.append(_issue_rows(judged.filter("rank = 1 AND n > 1"), "session", F.array(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None)), F.col("n")))
-        found.append(_issue_rows(judged, "session", _all_issues()))
-        good = judged.filter("NOT rejected AND refusal IS NULL").drop("issues", "rejected", "refusal")
-        if session.iterate:
-            good = good.filter("rank = 1").drop("rank", "n")
-
-    # Calls of one record: the session's verdict travels with the record where that needs no join.
-    if session is not None and session.iterate is None:
-        told = _judged(entity_rows(records, session, ("line", "v"))[0], session)
-        whole = told.select("line", "v", (~F.col("rejected") & F.col("refusal").isNull()).alias("has_session"), F.col("external_id").alias("session_key"))
-    else:
-        whole = records.join(good.select("line", F.lit(True).alias("has_session"), F.col("external_id").alias("session_key")), "line", "left").withColumn("has_session", F.coalesce("has_session", F.lit(False)))
-
-    calls = {}
-    for target in ("model_call", "tool_call"):
-        entity = by.get(target)
-        if entity is None:
-            calls[target] = none(target).withColumn("session_key", F.lit(None).cast("string"))
-            continue
-        rows, odd = entity_rows(whole, entity, ("line", "has_session", "session_key"))
-        found.append(_issue_rows(odd, target, F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))))
-        judged = _judged(_with_defaults(rows, target), entity).withColumn("refusal", F.when(F.col("has_session"), F.col("refusal")))
-        found.append(_issue_rows(judged, target, _all_issues()))
-        orphans = rows.filter(~F.col("rejected") & ~F.col("has_session")).groupBy("line").agg(F.count("*").alias("n"))
-        found.append(_issue_rows(orphans, target, F.array(issue("rejected", "PARENT_SESSION_MISSING", None)), F.col("n")))
-        calls[target] = judged.filter("NOT rejected AND has_session AND refusal IS NULL").drop("issues", "rejected", "has_session", "refusal")
-
-    empty = records.select("line", F.lit("").alias("target"), F.array().cast(f"array<{ISSUE}>").alias("i"))
-    issues = _issue_rows(empty, "", F.col("i"))
-    for f in found:
-        issues = issues.unionByName(f)
-    return Normalised(good, calls["model_call"], calls["tool_call"], issues)
+        return judged, odd
+
+    @cached_property
+    def session(self) -> DataFrame:
+        if "session" not in self.entities:
+            return self._nothing("session")
+        good = self._sessions[0].filter("NOT rejected AND refusal IS NULL").drop("issues", "rejected", "refusal", "v")
+        return good.filter("rank = 1").drop("rank", "n") if self.entities["session"].iterate else good
+
+    @cached_property
+    def _whole(self) -> DataFrame:
+        """Records with has_session and session_key; the verdict travels with the record where that needs no join."""
+        session = self.entities.get("session")
+        if session is not None and session.iterate is None:
+            return self._sessions[0].select("line", "v", (~F.col("rejected") & F.col("refusal").isNull()).alias("has_session"), F.col("external_id").alias("session_key"))
+        known = self.session.select("line", F.lit(True).alias("has_session"), F.col("external_id").alias("session_key"))
+        return self.records.join(known, "line", "left").withColumn("has_session", F.coalesce("has_session", F.lit(False)))
+
+    def _calls(self, target: str) -> tuple[DataFrame, DataFrame]:
+        entity = self.entities[target]
+        rows, odd = entity_rows(self._whole, entity, ("line", "has_session", "session_key"))
+        judged = _judged(_with_defaults(rows, target), entity)
+        return judged.withColumn("refusal", F.when(F.col("has_session"), F.col("refusal"))), odd
+
+    @cached_property
+    def _judged_calls(self) -> dict[str, tuple[DataFrame, DataFrame]]:
+        return {}
+
+    def _call(self, target: str) -> tuple[DataFrame, DataFrame]:
+        if target not in self._judged_calls:
+            self._judged_calls[target] = self._calls(target)
+        return self._judged_calls[target]
+
+    def _kept(self, target: str) -> DataFrame:
+        if target not in self.entities:
+            return self._nothing(target).withColumn("session_key", F.lit(None).cast("string"))
+        return self._call(target)[0].filter("NOT rejected AND has_session AND refusal IS NULL").drop("issues", "rejected", "has_session", "refusal")
+
+    @cached_property
+    def model_call(self) -> DataFrame:
+        return self._kept("model_call")
+
+    @cached_property
+    def tool_call(self) -> DataFrame:
+        return self._kept("tool_call")
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        found = []
+        for target, entity in self.entities.items():
+            judged, odd = self._sessions if target == "session" else self._call(target)
+            found.append(_issue_rows(judged, target, _all_issues()))
+            if entity.iterate:
+                found.append(_issue_rows(odd, target, F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))))
+            if target == "session":
+                if entity.iterate:
+                    several = judged.filter("rank = 1 AND n > 1")
+                    found.append(_issue_rows(several, target, F.array(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None)), F.col("n")))
+                continue
+            orphans = judged.filter("NOT rejected AND NOT has_session").groupBy("line").agg(F.count("*").alias("n"))
+            found.append(_issue_rows(orphans, target, F.array(issue("rejected", "PARENT_SESSION_MISSING", None)), F.col("n")))
+        while len(found) > 1:  # pairs of pairs, so no plan is analysed again for each part
+            found = [a.unionByName(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) - len(found) % 2 :]
+        return found[0] if found else _issue_rows(self.records, "", F.array().cast(f"array<{ISSUE}>"))
+
+
+def normalise(records: DataFrame, mapping: Mapping) -> Normalised:
+    """records: (line, v). The mapping must be valid."""
+    if problems := validate(mapping):
+        raise ValueError(f"invalid mapping: {problems}")
+    return Normalised(records, mapping)
 
 
 def reference_requests(n: Normalised) -> DataFrame:
