@@ -73,10 +73,19 @@ def _variant_path(names: tuple[str, ...]) -> str:
     return "$" + "".join(f".{n}" if _PLAIN.match(n) else f'["{n}"]' for n in names)
 
 
+def at(row: Column, names: tuple[str, ...]) -> Column:
+    """The variant at a path, JSON null included; null where a step is absent or no object."""
+    return F.try_variant_get(row, _variant_path(names), "variant") if names else row
+
+
+def known(value: Column) -> Column:
+    """The variant, null for JSON null."""
+    return F.when(~F.is_variant_null(value), value)
+
+
 def resolve(row: Column, names: tuple[str, ...]) -> Column:
     """The variant at a path; absent, JSON null and steps into non-objects are all null."""
-    value = F.try_variant_get(row, _variant_path(names), "variant") if names else row
-    return F.when(~F.is_variant_null(value), value)
+    return known(at(row, names))
 
 
 def is_list(value: Column) -> Column:

@@ -29,33 +29,46 @@ WHOLE_UNITS = ("ms", "b")
 STRPTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "z": "xx", "Z": "z", "b": "MMM", "B": "MMMM", "j": "DDD", "y": "yy", "a": "E", "A": "EEEE", "%": "%"}
 
 
+@dataclass(frozen=True)
+class Views:
+    """What is asked of a variant again and again, best held in columns of their own."""
+
+    type: Column  # STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, OBJECT<...>, ARRAY<...>
+    string: Column
+    double: Column
+    long: Column
+
+
+def views_of(v: Column) -> Views:
+    return Views(F.schema_of_variant(v), *[F.try_variant_get(v, "$", k) for k in ("string", "double", "long")])
+
+
 @dataclass(frozen=True)
 class Value:
     kind: str  # variant, string, long, double, boolean, timestamp
     column: Column
     error: Column | None = None  # code of the first failure, null if none
+    held: Views | None = None  # of a variant
+
+    @property
+    def views(self) -> Views:
+        return self.held or views_of(self.column)
 
     def failed(self, when: Column, code: str) -> Value:
         """Null, with a code, where ``when`` holds."""
         own = F.when(when, F.lit(code))
         error = own if self.error is None else F.coalesce(self.error, own)
-        return replace(self, error=error, column=F.when(error.isNull(), self.column))
+        return replace(self, error=error, column=F.when(error.isNull(), self.column), held=None)
 
     def then(self, kind: str, column: Column) -> Value:
         return Value(kind, column, self.error)
 
 
-def variant_type(v: Column) -> Column:
-    """STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, OBJECT<...>, ARRAY<...>, VOID."""
-    return F.schema_of_variant(v)
-
-
-def _is(v: Column, *names: str) -> Column:
-    return F.coalesce(variant_type(v).rlike(f"^(?:{'|'.join(names)})"), F.lit(False))
+NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
-def is_number(v: Column) -> Column:
-    return _is(v, "BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
+def _is(views: Views, *names: str) -> Column:
+    return F.coalesce(views.type.rlike(f"^(?:{'|'.join(names)})"), F.lit(False))
 
 
 def text(value: Value) -> Column:
@@ -66,9 +79,8 @@ def text(value: Value) -> Column:
     if value.kind == "boolean":
         return F.initcap(c.cast("string"))
     if value.kind == "variant":
-        plain = F.try_variant_get(c, "$", "string")
-        shape = F.when(_is(c, "OBJECT", "ARRAY"), F.to_json(c)).otherwise(plain)
-        return F.when(_is(c, "BOOLEAN"), F.initcap(plain)).otherwise(shape)
+        v = value.views
+        return F.when(_is(v, "BOOLEAN"), F.initcap(v.string)).when(_is(v, "OBJECT", "ARRAY"), F.to_json(c)).otherwise(v.string)
     return c.cast("string")
 
 
@@ -77,7 +89,7 @@ def is_blank(value: Value) -> Column:
     if value.kind == "string":
         return value.column.rlike(_BLANK)
     if value.kind == "variant":
-        return _is(value.column, "STRING") & F.coalesce(F.try_variant_get(value.column, "$", "string").rlike(_BLANK), F.lit(False))
+        return _is(value.views, "STRING") & F.coalesce(value.views.string.rlike(_BLANK), F.lit(False))
     return F.lit(False)
 
 
@@ -88,9 +100,9 @@ def _trimmed(c: Column) -> Column:
 def _number(value: Value) -> Column:
     """As double: numbers, booleans and numeric strings."""
     if value.kind == "variant":
-        own = F.try_variant_get(value.column, "$", "double")
-        spelt = _trimmed(F.try_variant_get(value.column, "$", "string")).try_cast("double")
-        return F.when(is_number(value.column), own).when(_is(value.column, "BOOLEAN"), F.try_variant_get(value.column, "$", "int").cast("double")).when(_is(value.column, "STRING"), spelt)
+        v = value.views
+        whole = F.when(_is(v, "BOOLEAN"), (v.string == "true").cast("double"))
+        return F.when(_is(v, *NUMBERS), v.double).when(_is(v, "STRING"), _trimmed(v.string).try_cast("double")).otherwise(whole)
     if value.kind == "string":
         return _trimmed(value.column).try_cast("double")
     if value.kind == "timestamp":
@@ -100,16 +112,16 @@ def _number(value: Value) -> Column:
 
 def cast(value: Value, to: str, on_error: str = "reject") -> Value:
     """Blank strings are unknown for every target."""
-    v = value.then(value.kind, F.when(~is_blank(value), value.column))
-    spelt = _trimmed(text(v))
     if to == "string":
-        return v.then("string", text(v))
+        return value.then("string", F.when(~is_blank(value), text(value)))
+    v, there = value, value.column.isNotNull() & ~is_blank(value)
+    spelt = _trimmed(text(v))
     if to == "integer":
         whole = F.when(spelt.rlike(r"^[+-]?[0-9]+$"), spelt.try_cast("long"))
         number = _number(v)
         cut = F.when(F.abs(number) < 9.3e18, number.cast("long"))  # toward zero
         if v.kind == "variant":
-            out = F.when(_is(v.column, "STRING"), whole).when(_is(v.column, "BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v.column, "$", "long")).otherwise(cut)
+            out = F.when(_is(v.views, "STRING"), whole).when(_is(v.views, *NUMBERS[:4]), v.views.long).otherwise(cut)
         else:
             out = {"string": whole, "long": v.column}.get(v.kind, cut)
         made = v.then("long", out)
@@ -122,7 +134,7 @@ def cast(value: Value, to: str, on_error: str = "reject") -> Value:
         raise ValueError(f"unknown cast target {to!r}")
     if on_error == "null":
         return made
-    return made.failed(v.column.isNotNull() & made.column.isNull(), "CAST_FAILED")
+    return made.failed(there & made.column.isNull(), "CAST_FAILED")
 
 
 def java_pattern(fmt: str) -> str:
@@ -257,7 +269,7 @@ def json_text(value: Value) -> Column:
     elif value.kind == "boolean":
         own = c.cast("string")
     elif value.kind == "variant":
-        own = F.when(_is(c, "OBJECT", "ARRAY"), spaced_json(F.to_json(c))).otherwise(F.to_json(c))
+        own = F.when(_is(value.views, "OBJECT", "ARRAY"), spaced_json(F.to_json(c))).otherwise(F.to_json(c))
     else:
         own = F.concat(F.lit('"'), F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return F.coalesce(own, F.lit("null"))
@@ -328,15 +340,15 @@ def gate(value: Value, target: str | None) -> tuple[Value, Column]:
         if value.kind in ("long", "double"):
             return value.then("string", c.cast("string")), F.lit(False)
         if value.kind == "variant":
-            fits = _is(c, "STRING") | is_number(c)
-            return value.then("string", F.when(fits, text(value))), c.isNotNull() & ~fits
+            fits = _is(value.views, "STRING", *NUMBERS)
+            return value.then("string", F.when(fits, value.views.string)), c.isNotNull() & ~fits
     elif target == "long":
         if value.kind == "double":
             fits = F.abs(c) < 9.2e18
             return value.then("long", F.when(fits, F.rint(c).cast("long"))), c.isNotNull() & ~F.coalesce(fits, F.lit(False))
         if value.kind == "variant":
-            whole = _is(c, "BIGINT", "INT", "SMALLINT", "TINYINT")
-            number = F.try_variant_get(c, "$", "double")
-            fraction = _is(c, "DECIMAL", "DOUBLE", "FLOAT") & F.coalesce(F.abs(number) < 9.2e18, F.lit(False))
-            return value.then("long", F.when(whole, F.try_variant_get(c, "$", "long")).when(fraction, F.rint(number).cast("long"))), c.isNotNull() & ~(whole | fraction)
+            v = value.views
+            whole = _is(v, *NUMBERS[:4])
+            fraction = _is(v, *NUMBERS[4:]) & F.coalesce(F.abs(v.double) < 9.2e18, F.lit(False))
+            return value.then("long", F.when(whole, v.long).when(fraction, F.rint(v.double).cast("long"))), c.isNotNull() & ~(whole | fraction)
     return value.then(target, none.cast(target)), c.isNotNull()

@@ -74,9 +74,17 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
     Sources, each round of operators and the type gate are projections of their own, so no value is
     computed twice however often the next round refers to it.
     """
-    at = {p: f"__p{i}" for i, p in enumerate(_sources(entity))}
-    df = rows.withColumns({c: paths.resolve(F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, c in at.items()}) if at else rows
-    lookup = lambda path: Value("variant", F.col(at[path]))
+    sources = {p: i for i, p in enumerate(_sources(entity))}
+    df = rows
+    if sources:
+        df = df.withColumns({f"__r{i}": paths.at(F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, i in sources.items()})
+        df = df.withColumns({f"__p{i}": paths.known(F.col(f"__r{i}")) for i in sources.values()})
+        df = df.withColumns({f"__{k}{i}": c for i in sources.values() for k, c in vars(values.views_of(F.col(f"__p{i}"))).items()})
+
+    def lookup(path: str) -> Value:
+        i = sources[path]
+        return Value("variant", F.col(f"__p{i}"), held=values.Views(*[F.col(f"__{k}{i}") for k in ("type", "string", "double", "long")]))
+
     states = [lookup(f.source) for f in entity.fields]
     for depth in range(max((len(f.operators) for f in entity.fields), default=0)):
         made = {}
