@@ -156,8 +156,8 @@ class _Describe:
         yield {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "cell": [None] * len(n), "count": [None] * len(n)}
 
     def last(self) -> Iterator[dict]:
-        mean = self.cells.mean()
-        out = np.flatnonzero(self.cells >= 4 * mean + 12)
+        mean = self.cells.mean()  # cells of rare shingles only are about Poisson
+        out = np.flatnonzero(self.cells >= mean + 6 * np.sqrt(mean) + 6)
         if len(out):
             none = [None] * len(out)
             yield {"doc_id": none, "n": none, "key": none, "cell": out, "count": self.cells[out]}
@@ -344,7 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = labels.select("id", "label").union(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
     last = last.join(joined.select(F.col("id").alias("label"), F.col("label").alias("final")), "label", "left").select(F.col("id").alias("key"), F.coalesce("final", "label").alias("label"))
 
-    smallest = last.join(classes, "key").groupBy("label").agg(F.min("first").alias("component_id"))
+    last = stored(last, "last")
+    smallest = stored(last.join(classes, "key").groupBy("label").agg(F.min("first").alias("component_id")), "smallest")
     linked = last.join(smallest, "label").select("key", "component_id")
     named = stored(classes.join(linked, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")), "named")
     return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

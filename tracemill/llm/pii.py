@@ -18,6 +18,7 @@ table gives no rows (and an untrained classifier that adds nothing); other colum
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,7 @@ BLOCK = 256
 # -- candidates --------------------------------------------------------------------------------------
 
 
-def _prefix_sums(values: str) -> tuple[Column, callable]:
+def _prefix_sums(values: str) -> tuple[Column, Callable[[Column, Column], Column]]:
     """(block sums, i -> sum of the first i values), linear but for one term a block."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK), F.lit(0)).cast("int")),
