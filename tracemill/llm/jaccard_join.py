@@ -171,13 +171,14 @@ def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int) -> DataFrame:
-    """Pass 2: (shingle, key, matches, alone) for each prefix shingle; alone marks a frequent one by the key."""
+    """Pass 2: (shingle, key, size, alone) for each prefix shingle; size is 8 n + matches, alone marks a frequent
+    shingle by the key."""
 
     def make():
         counts, seen = _counter(table), set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            shingles, keys, needed, alone = [], [], [], []
+            shingles, keys, sizes, alone = [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 if not len(s):
                     continue
@@ -190,24 +191,37 @@ def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int)
                 p, f, matches = prefix_of(s, counts, percent)
                 shingles.append(p)
                 keys.append(np.full(len(p), key, np.int64))
-                needed.append(np.full(len(p), matches, np.int32))
+                sizes.append(np.full(len(p), 8 * len(s) + matches, np.int64))
                 alone.append(np.where(f >= FREQUENT, key, 0))
             if keys:
-                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "matches": np.concatenate(needed), "alone": np.concatenate(alone)}
+                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "size": np.concatenate(sizes), "alone": np.concatenate(alone)}
 
         return work
 
-    return _mapped(docs.select("text"), make, "shingle long, key long, matches int, alone long")
+    return _mapped(docs.select("text"), make, "shingle long, key long, size long, alone long")
 
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """(shingle, key, matches) for the prefix shingles that several classes have, of classes that have enough.
+def _shared(posts: DataFrame, percent: int) -> DataFrame:
+    """(shingle, key, matches) for the prefix shingles that a class has in common with another one of fitting size,
+    of classes that have enough of them.
 
-    Frequent shingles are not grouped: each posting of one stands for itself and counts as shared.
+    In the order of sizes, a class has a fitting partner only if the next or the previous one fits. Frequent
+    shingles are not grouped: each posting of one stands for itself and counts as shared.
     """
     same = Window.partitionBy("shingle", "alone")
-    seen = posts.select("*", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high"), F.min("matches").over(same).alias("least"))
-    kept = seen.filter("low <> high OR alone <> 0").select("shingle", "key", "matches", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
+    by_size = same.orderBy("size", "key")
+    n = lambda c: F.floor(c / 8)
+    seen = posts.select(
+        "*",
+        F.min("key").over(same).alias("low"),
+        F.max("key").over(same).alias("high"),
+        F.min(F.col("size") % 8).over(same).alias("least"),
+        F.lag("size").over(by_size).alias("smaller"),
+        F.lead("size").over(by_size).alias("larger"),
+    )
+    fits = (n(F.col("smaller")) * 100 >= n(F.col("size")) * percent) | (n(F.col("size")) * 100 >= n(F.col("larger")) * percent)
+    kept = seen.filter((F.col("alone") != 0) | ((F.col("low") != F.col("high")) & F.coalesce(fits, F.lit(False))))
+    kept = kept.select("shingle", "key", (F.col("size") % 8).cast("int").alias("matches"), F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
     kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.min("least").alias("least")), "shared")
     enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
     return stored(kept.select("shingle", "key", "matches").join(enough, "key", "left_semi"), "postings")
@@ -332,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = described.filter("cell IS NULL").select("doc_id", "n", "key")
     classes = stored(rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
 
-    posts = _shared(_postings(source, table, words, percent))
+    posts = _shared(_postings(source, table, words, percent), percent)
     longs = [f"b{i}" for i in range(BITMAP_LONGS)]
     meta = _of_some(source, classes, posts.select("key").distinct(), words, "n int, wide array<long>, " + ", ".join(f"{c} long" for c in longs), lambda s: (len(s), bitmap(s, WIDE_LONGS), *bitmap(s, BITMAP_LONGS)))
     meta = stored(meta.dropDuplicates(["key"]), "bitmaps")
