@@ -221,10 +221,12 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
     )
     fits = (n(F.col("smaller")) * 100 >= n(F.col("size")) * percent) | (n(F.col("size")) * 100 >= n(F.col("larger")) * percent)
     kept = seen.filter((F.col("alone") != 0) | ((F.col("low") != F.col("high")) & F.coalesce(fits, F.lit(False))))
-    kept = kept.select("shingle", "key", (F.col("size") % 8).cast("int").alias("matches"), F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
-    kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.min("least").alias("least")), "shared")
-    enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
-    return stored(kept.select("shingle", "key", "matches").join(enough, "key", "left_semi"), "postings")
+    kept = kept.select("shingle", "alone", "key", (F.col("size") % 8).cast("int").alias("matches"), F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
+    # Copies from several tasks; grouped by what the rows are dealt by already.
+    kept = kept.groupBy("shingle", "alone", "key").agg(F.min("matches").alias("matches"), F.min("least").alias("least"))
+    own = Window.partitionBy("key")  # at most a prefix long
+    counted = kept.select("shingle", "key", "matches", F.count("*").over(own).alias("n"), F.min("least").over(own).alias("enough"))
+    return stored(counted.filter("n >= enough").select("shingle", "key", "matches"), "postings")
 
 
 def _id_filter(ids: DataFrame) -> dict[int, int]:
