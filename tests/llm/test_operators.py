@@ -182,6 +182,14 @@ def test_constant_blocks_become_template(spark):
     assert all(got[i]["text"] == f"story {i} begins\nand number {i * 7} ends" and got[i]["n_template"] == 2 for i in range(60))
 
 
+def test_alignment_decides_within_articles_too(spark):
+    body = "<article><p>Read our terms first</p><p>story {i} begins</p></article><div><p>long part {i} that is not in the teaser</p></div>"
+    rows = [(i, f"http://host/p{i}", page(body.format(i=i))) for i in range(30)] + [(30, "http://alone/", page(body.format(i=30)))]
+    got = {r["page_id"]: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == f"story {i} begins\nlong part {i} that is not in the teaser" and got[i]["n_template"] == 1 for i in range(30))
+    assert got[30]["text"].startswith("Read our terms first\nstory 30 begins") and got[30]["n_template"] == 0
+
+
 def test_matching_is_the_largest_mapping():
     rng = random.Random(4)
 

@@ -3,16 +3,15 @@
 Pages are parsed into block trees (containers, and text blocks as leaves). Pages of a host are aligned in
 chunks of at most CHUNK pages: the tree of the chunk's first page is matched with every other one by simple
 tree matching (the largest order-preserving mapping between trees with equal roots). Blocks that are mapped
-to the same block with the same text on most different pages of the chunk are template; the other, varying
-slots are content. Slots in navigation, notices, adverts, forms, page headers and footers, sidebars and
-comments are recognised by element and class and are not content; where a page has an article or main
-element, its slots are exactly the content, so repeated paragraphs of an article are kept.
+to the same block with the same text on most different pages of the chunk are template, within article and
+main too; the other, varying slots are content. A later check takes out slots in navigation, notices, adverts,
+forms, page headers and footers, sidebars and comments, recognised by element and class.
 
 Pages go to tasks by (host, salt) in one shuffle of parsed text; hosts that hold a large share of the pages
 are salted over several tasks. A task streams its rows, holding one chunk at a time.
 
-Defined results: null or empty html gives an empty text; a page alone on its host has no template and is
-judged by elements only; exact copies count as one page as evidence; null urls share one host; an empty
+Defined results: null or empty html gives an empty text; a page of a host with fewer than three
+different pages has no template and is judged by elements only; exact copies count as one page as evidence; null urls share one host; an empty
 table gives no rows; repeated rows are answered each; other columns are ignored.
 """
 
@@ -243,13 +242,13 @@ def _in_order(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
     return out
 
 
-def template_blocks(pages: list[tuple[Node, list[Node]]]) -> list[set[int]]:
-    """For each page the numbers of its text blocks that are template."""
+def template_blocks(pages: list[tuple[Node, list[Node]]]) -> list[set[int] | None]:
+    """For each page the numbers of its text blocks that are template, None without evidence."""
     distinct: dict[tuple[str, ...], list[int]] = {}
     for i, (_, leaves) in enumerate(pages):
         distinct.setdefault(tuple(n.text for n in leaves), []).append(i)
     if len(distinct) < 3:  # two pages may just share a passage
-        return [set() for _ in pages]
+        return [None for _ in pages]
     firsts = [own[0] for own in distinct.values()]
     root, leaves = pages[firsts[0]]
     equal: Counter[int] = Counter()
@@ -259,7 +258,7 @@ def template_blocks(pages: list[tuple[Node, list[Node]]]) -> list[set[int]]:
         Alignment().pairs(root, pages[i][0], mapped[i])
         equal.update(a for a, b in mapped[i] if leaves[a].text == pages[i][1][b].text)
     constant = {a for a, n in equal.items() if 2 * n >= len(firsts) - 1 and n >= 2}
-    out: list[set[int]] = [set() for _ in pages]
+    out: list[set[int] | None] = [set() for _ in pages]
     for own in distinct.values():
         first = own[0]
         numbers = constant if first == firsts[0] else {b for a, b in mapped[first] if a in constant and pages[first][1][b].text == leaves[a].text}
@@ -268,12 +267,17 @@ def template_blocks(pages: list[tuple[Node, list[Node]]]) -> list[set[int]]:
     return out
 
 
-def main_text(leaves: list[Node], template: set[int]) -> str:
-    """The content slots, one line each."""
-    inside = [n for n in leaves if n.main and not n.outside]
-    if inside:
-        return "\n".join(n.text for n in inside)
-    return "\n".join(n.text for n in leaves if not n.outside and n.number not in template)
+def main_text(leaves: list[Node], template: set[int] | None) -> str:
+    """The content slots, one line each.
+
+    Without evidence (None) the blocks of article and main are the content where they hold most of the text.
+    """
+    slots = [n for n in leaves if not n.outside and n.number not in (template or ())]
+    if template is None:
+        inside = [n for n in slots if n.main]
+        if 2 * sum(len(n.text) for n in inside) > sum(len(n.text) for n in slots):
+            slots = inside
+    return "\n".join(n.text for n in slots)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -301,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             templates = template_blocks(parsed)
             texts = [main_text(leaves, t) for (_, leaves), t in zip(parsed, templates, strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in held], ids), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, templates), pa.int64())],
+                [pa.array([x[0] for x in held], ids), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([len(t or ()) for t in templates], pa.int64())],
                 names=["page_id", "url", "text", "n_chars", "n_template"],
             )
             held.clear()
