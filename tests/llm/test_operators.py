@@ -190,6 +190,15 @@ def test_alignment_decides_within_articles_too(spark):
     assert got[30]["text"].startswith("Read our terms first\nstory 30 begins") and got[30]["n_template"] == 0
 
 
+def test_names_of_an_articles_own_parts_hide_nothing():
+    kept = ['<h2 id="related-work">a</h2>', '<section id="discussion">b</section>', '<h3 id="search-trees">c</h3>', '<p class="share-price">d</p>', '<section class="reviews">e</section>', '<div data-id="ad">f</div>']
+    for around in ("article", "main"):
+        _, leaves = wrapper.parse(f'<{around}>{"".join(kept)}<div class="post share">x</div><div class="ads">y</div><div role="navigation">z</div></{around}>')
+        assert [n.text for n in leaves if not n.outside] == list("abcdef")
+    _, leaves = wrapper.parse('<h2 id="related-work">a</h2><p id="search">b</p><div data-role="nav">c</div><div id="site-nav">x</div><div class="top-menu">y</div>')
+    assert [n.text for n in leaves if not n.outside] == list("abc")
+
+
 def test_matching_is_the_largest_mapping():
     rng = random.Random(4)
 

@@ -44,20 +44,34 @@ OUTSIDE = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset"}
 OUTSIDE_NAMES = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "notice", "comment", "comments", "discussion", "share", "sharing", "social", "related", "recommended", "promo", "popup", "modal", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "pagination", "pager", "login", "signup", "widget", "disqus", "toolbar", "alert", "gdpr", "skip", "contentinfo", "complementary", "search", "replies", "reviews"}
 #: Names of page headers: they do not count inside an article, whose own header is content.
 HEADER_NAMES = {"header", "masthead", "topbar"}
+#: Names that an article may give to its own parts: they do not count inside one.
+SUBJECT_NAMES = {"alert", "comment", "discussion", "menu", "notice", "replies", "reviews", "search", "skip", "social"}
+#: Text elements, whose ids are made from their texts.
+TEXTS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: A name with one of these parts speaks about the page, not about the element.
 ABOUT_NAMES = {"has", "with", "no", "is", "without", "free", "layout", "page", "enabled", "open"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def named_outside(names: str, main: bool) -> bool:
-    """Whether classes, id or role mark an element that is no content."""
-    for name in names.split():
-        parts = set(_PARTS.split(name))
-        if not parts.isdisjoint(OUTSIDE_NAMES if main else OUTSIDE_NAMES | HEADER_NAMES) and parts.isdisjoint(ABOUT_NAMES):
-            return True
+def named_outside(tag: str, found: list[tuple[str, str]], main: bool) -> bool:
+    """Whether classes, id or role, as (attribute, names), mark an element that is no content.
+
+    Inside article and main only class and role names count all of whose parts are such names, elsewhere each
+    part of any name; ids of headings and paragraphs never do.
+    """
+    for attribute, names in found:
+        if attribute == "id" and (main or tag in TEXTS):
+            continue
+        for name in names.split():
+            parts = set(_PARTS.split(name)) - {""}
+            if main:
+                if parts and parts <= OUTSIDE_NAMES and not parts <= SUBJECT_NAMES:
+                    return True
+            elif not parts.isdisjoint(OUTSIDE_NAMES | HEADER_NAMES) and parts.isdisjoint(ABOUT_NAMES):
+                return True
     return False
 
 
@@ -136,11 +150,11 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         while stack[-1].tag == "p" or (stack[-1].tag == tag and tag in LEAF_LIKE):  # ends that may be left out
             stack.pop()
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m.group(3))).lower() if m.group(3) else ""
+        found = [(k.lower(), (a or b or c).lower()) for k, a, b, c in _NAMES.findall(m.group(3))] if m.group(3) else []
         top = stack[-1]
         main = top.main or tag in ("article", "main")
-        outside = top.outside or tag in OUTSIDE or (tag == "header" and not main) or (tag not in WHOLE and bool(names) and named_outside(names, main))
-        node = Node(tag, names, outside, main)
+        outside = top.outside or tag in OUTSIDE or (tag == "header" and not main) or (tag not in WHOLE and bool(found) and named_outside(tag, found, main))
+        node = Node(tag, " ".join(names for _, names in found), outside, main)
         top.children.append(node)
         stack.append(node)
     flush()
