@@ -160,6 +160,21 @@ def test_words_are_cut_as_the_tokenizer_cuts(spark):
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["see <|endoftext|> now", "a.<|startoftext|>b!! x", "<|ENDOFTEXT|> c", "plain, text", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n"]
+    df = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in rans.with_starts(rans.read_documents(spark, rans.encode_corpus(df, path, 2, 49_408))).collect()}
+    at = 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        at += len(ids)
+
+
 # -- pages -------------------------------------------------------------------------------------------
 
 

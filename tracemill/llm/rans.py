@@ -20,6 +20,7 @@ must fit in one row. Ids are range-shuffled once, compressed; texts are not shuf
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -50,17 +51,21 @@ class WordTokenizer:
     """Encodes by a tokenizers file, word by word, each distinct word of a batch once.
 
     Only for byte-level tokenizers that lower-case, compose (NFC), drop white space, let no token cross it
-    and cut letters from all else, so that a text's ids are its words' ids in a row.
+    and cut letters from all else, so that a text's ids are its words' ids in a row. With ``marks`` the file's
+    added tokens are found as the library finds them: texts that hold one are its own affair, whole. Without,
+    they are plain text.
     """
 
     shared: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, marks: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not marks
+        added = {t.content for t in self.library.get_added_tokens_decoder().values()} if marks else set()
+        self.added = "|".join(sorted(map(re.escape, added))) or None
         self.tokenize = self.library.model.tokenize
         self.map = dict(enumerate(byte_characters()))
         self.cache: dict[str, bytes] = {}
@@ -69,11 +74,24 @@ class WordTokenizer:
     def of(cls, path: str) -> WordTokenizer:
         """One a worker process, so that what it has learnt serves the next task too."""
         if path not in cls.shared:
-            cls.shared[path] = cls(path)
+            cls.shared[path] = cls(path, marks=True)
         return cls.shared[path]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's ids end)."""
+        if self.added is None:
+            return self._by_words(texts)
+        # Normalised added tokens match in any case, so a wider search is made than the library's own.
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return self._by_words(texts)
+        ids, ends = self._by_words(pc.if_else(pc.match_substring_regex(texts, self.added, ignore_case=True), "", texts))
+        parts = np.split(ids, ends[:-1])
+        for i in whole:
+            parts[i] = np.array(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u2")
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw = texts.cast(pa.binary())
         if not any(pc.any(pc.match_substring(raw, mark)).as_py() for mark in (b"\xcc", b"\xcd")):
             texts = pc.ascii_lower(texts)  # no combining mark that composes with a small letter only
