@@ -229,6 +229,18 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     assert (count("session"), count("model_call"), count("tool_call")) == (2, 3, 3)
 
 
+def test_stream_keeps_lines_that_are_no_json(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "1.jsonl").write_text("\n".join([json.dumps(GOOD[0]), '{"cut": ', "", json.dumps(GOOD[1]), "no json"]))
+    ingest(spark, str(source), str(target), MAPPING).awaitTermination()
+    ingest(spark, str(source), str(target), MAPPING).awaitTermination()
+    bad = spark.read.parquet(str(target / "issue")).filter("code = 'INVALID_JSON'").collect()
+    assert sorted(r["raw"] for r in bad) == ["no json", '{"cut": '] and {r["severity"] for r in bad} == {"rejected"}
+    assert all(r["file"].endswith("1.jsonl") for r in bad)
+    assert spark.read.parquet(str(target / "session")).count() == 2
+
+
 def test_stream_counts_days(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "e"))
     schema = spark.read.parquet(str(tmp_path / "e")).schema

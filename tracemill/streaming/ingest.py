@@ -2,6 +2,7 @@
 
 Spark's checkpoint remembers which files were taken; a batch that is repeated after a failure overwrites its
 own folder, so its rows are stored once. Sessions that later files extend are found by their natural key.
+Lines that are no JSON are stored as rejected issues with their text and file.
 """
 
 from __future__ import annotations
@@ -30,19 +31,21 @@ def _stored(spark: SparkSession, path: str, like: DataFrame, before: int) -> Dat
 
 def ingest(spark: SparkSession, source: str, target: str, mapping: Mapping) -> StreamingQuery:
     """Load all files of ``source`` (JSON lines) that were not loaded yet into Parquet folders under ``target``."""
-    lines = spark.readStream.option("maxFilesPerTrigger", 16).text(source)
+    lines = spark.readStream.option("maxFilesPerTrigger", 16).text(source).select("value", F.col("_metadata.file_path").alias("file"))
 
     def load(batch: DataFrame, number: int) -> None:
         v = F.try_parse_json("value")
-        records = batch.filter(F.btrim("value", F.lit(" \t\r\n")) != "").select(F.monotonically_increasing_id().alias("line"), v.alias("v"))
-        n = normalise(records.filter("v IS NOT NULL"), mapping)
+        records = batch.filter(F.btrim("value", F.lit(" \t\r\n")) != "").select(F.monotonically_increasing_id().alias("line"), v.alias("v"), "value", "file")
+        n = normalise(records.filter("v IS NOT NULL").select("line", "v"), mapping)
+        told = {"target": F.lit("record"), "severity": F.lit("rejected"), "code": F.lit("INVALID_JSON"), "field_path": F.lit(None).cast("string"), "rows": F.lit(1).cast("long")}
+        broken = records.filter("v IS NULL").select("line", *[c.alias(k) for k, c in told.items()], F.col("value").alias("raw"), "file")
         for name, df in (("session", n.session), ("model_call", n.model_call), ("tool_call", n.tool_call)):
             own = df.select("line", "source_index", *[c for c in ("session_key",) if c in df.columns], *TARGET_FIELDS[name])
             first, _ = first_of_key(own, KEYS[name], ["line", "source_index"])
             known = _stored(spark, f"{target}/{name}", own, number).select(*KEYS[name])
             new = first.join(known, KEYS[name], "left_anti")
             new.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
-        n.issues.write.mode("overwrite").parquet(f"{target}/issue/batch={number}")
+        n.issues.unionByName(broken, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/issue/batch={number}")
 
     return lines.writeStream.foreachBatch(load).option("checkpointLocation", f"{target}/_checkpoint").trigger(availableNow=True).start()
 
