@@ -61,3 +61,15 @@ def test_every_query_has_sql():
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["day", "data_source_id"] and df.count() > 0
+
+
+def test_all_missing_fields_are_counted(spark):
+    from tracemill.plans.traces import _normalised
+    from tracemill.schema import TARGET_FIELDS
+
+    n, want = _normalised(spark, SF), {}
+    for target in ("session", "model_call", "tool_call"):
+        data = getattr(n, target).select(*TARGET_FIELDS[target]).collect()
+        want |= {f"{target}.{f}": k for f in TARGET_FIELDS[target] if (k := sum(r[f] is None for r in data))}
+    got = {r["field"]: r["n"] for r in entry.queries()["fields_missing_all"](spark, SF).collect()}
+    assert got == want and len(got) > 4

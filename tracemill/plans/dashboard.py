@@ -135,6 +135,7 @@ QUERIES = {
     "sessions_page": _on(_session_page),
     "sessions_total": _on(lambda t: explore.session_total(t, WINDOW)),
     "timeline": _on(_calls_of_page),
+    "timeline_all": _on(explore.timeline),
     "session_calls": _on(lambda t: explore.calls(t.model_call, 7)),
     "issues_with_lines": _issue_lines,
     "import_run_list": _run_list,
@@ -187,6 +188,9 @@ ORACLES = {
     + """, few AS (SELECT id FROM session ORDER BY id LIMIT 100)
   SELECT 'model_call' AS type, id, session_id, sequence_index, started_at, status, model_id, CAST(NULL AS BIGINT) AS tool_id, input_tokens, output_tokens FROM model_call WHERE session_id IN (SELECT id FROM few)
   UNION ALL SELECT 'tool_call', id, session_id, sequence_index, started_at, status, NULL, tool_id, NULL, NULL FROM tool_call WHERE session_id IN (SELECT id FROM few)""",
+    "timeline_all": SQL
+    + """SELECT 'model_call' AS type, id, session_id, sequence_index, started_at, status, model_id, CAST(NULL AS BIGINT) AS tool_id, input_tokens, output_tokens FROM model_call
+  UNION ALL SELECT 'tool_call', id, session_id, sequence_index, started_at, status, NULL, tool_id, NULL, NULL FROM tool_call""",
     "session_calls": SQL + "SELECT * FROM model_call WHERE session_id = 7",
     "issues_with_lines": SQL + "SELECT i.*, o_orderkey AS line_number FROM import_issue i LEFT JOIN orders ON o_orderkey = raw_record_id WHERE severity = 'warning'",
     "import_run_list": SQL + "SELECT r.id, status, p.name AS source_name, created_at FROM import_run r LEFT JOIN provider p ON p.id = r.data_source_id WHERE status IN ('partial', 'succeeded')",

@@ -163,6 +163,10 @@ def _fields_missing(spark, sf_dir):
     return normalize.fields_missing(_normalised(spark, sf_dir)).filter("field IN ('session.outcome', 'model_call.input_tokens', 'tool_call.status', 'session.ended_at')")
 
 
+def _fields_missing_all(spark, sf_dir):
+    return normalize.fields_missing(_normalised(spark, sf_dir))
+
+
 def _references(spark, sf_dir):
     return normalize.reference_requests(_normalised(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -276,6 +280,7 @@ QUERIES = {
     "normalisation_issues": _issues,
     "import_report": _report,
     "fields_missing": _fields_missing,
+    "fields_missing_all": _fields_missing_all,
     "reference_requests": _references,
     "import_preview": _preview,
     "merge_accounting": _merge_accounting,
