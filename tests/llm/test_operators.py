@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -205,36 +206,125 @@ def test_alignment_decides_within_articles_too(spark):
     assert got[30]["text"].startswith("Read our terms first\nstory 30 begins") and got[30]["n_template"] == 0
 
 
+def shown(html):
+    p = wrapper.parse(html)
+    return [t for t, o in zip(p.texts, p.outside, strict=True) if not o]
+
+
 def test_names_of_an_articles_own_parts_hide_nothing():
     kept = ['<h2 id="related-work">a</h2>', '<section id="discussion">b</section>', '<h3 id="search-trees">c</h3>', '<p class="share-price">d</p>', '<section class="reviews">e</section>', '<div data-id="ad">f</div>']
     for around in ("article", "main"):
-        _, leaves = wrapper.parse(f'<{around}>{"".join(kept)}<div class="post share">x</div><div class="ads">y</div><div role="navigation">z</div></{around}>')
-        assert [n.text for n in leaves if not n.outside] == list("abcdef")
-    _, leaves = wrapper.parse('<h2 id="related-work">a</h2><p id="search">b</p><div data-role="nav">c</div><div id="site-nav">x</div><div class="top-menu">y</div>')
-    assert [n.text for n in leaves if not n.outside] == list("abc")
+        assert shown(f'<{around}>{"".join(kept)}<div class="post share">x</div><div class="ads">y</div><div role="navigation">z</div></{around}>') == list("abcdef")
+    assert shown('<h2 id="related-work">a</h2><p id="search">b</p><div data-role="nav">c</div><div id="site-nav">x</div><div class="top-menu">y</div>') == list("abc")
+
+
+def test_elements_without_end_and_inline_ones():
+    assert shown("<datalist><option>a<option>b</datalist><p>two<p>three") == ["two", "three"]
+    assert shown('<article><p>a <math><mi>x</mi></math> <noscript>b</noscript> <span class="ad">buy <span>x</span> y</span> c <object>d</object></p></article>') == ["a x b c d"]
+    assert shown("<div><button>Go</div><p>three<div><p>four <script>var x = '<p>';</div><p>five") == ["three", "four", "five"]
+    assert shown("<div>a<textarea>b</div>c") == ["a", "c"] and shown("a <!-- b") == ["a"] and shown("1 < 2 & 3 > 2") == ["1 < 2 & 3 > 2"]
+    assert shown('<p title="a > b">c</p><p title="d>e') == ["c", "e"]
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000, '<a title="' * 20_000, "<script>" * 20_000, "<!--" * 20_000, "<div>" * 20_000 + "x", "<" * 100_000, '<span class="ad">' * 20_000])
+def test_hostile_pages_take_linear_time(html):
+    began = time.time()
+    wrapper.Tree(wrapper.parse(html).skeleton())
+    assert time.time() - began < 5
+
+
+def tree_of(html):
+    return wrapper.Tree(wrapper.parse(html).skeleton())
 
 
 def test_matching_is_the_largest_mapping():
     rng = random.Random(4)
 
     def tree(depth=0):
-        kids = "".join(tree(depth + 1) for _ in range(rng.randrange(4))) if depth < 3 else rng.choice("xyz")
+        kids = "".join(tree(depth + 1) for _ in range(rng.randrange(5))) if depth < 3 else rng.choice("xyz")
         return f"<{(t := rng.choice(['div', 'section']))}>{kids}</{t}>"
 
-    def best(a, b):
-        if a.label != b.label:
+    def best(a, i, b, j):
+        if bool(a.sizes[i]) != bool(b.sizes[j]) or (not a.sizes[i] and a.codes[i] != b.codes[j]):
             return 0
-        if a.tag == "#":
-            return 1 + (a.text == b.text)
-        x, y = a.children, b.children
+        if a.sizes[i]:
+            return 1 + (a.codes[i] == b.codes[j])
+        x, y = a.children[i], b.children[j]
         m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, j in itertools.product(range(len(x)), range(len(y))):
-            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + best(x[i], y[j]))
+        for p, q in itertools.product(range(len(x)), range(len(y))):
+            m[p + 1][q + 1] = max(m[p][q + 1], m[p + 1][q], m[p][q] + best(a, x[p], b, y[q]))
         return 1 + m[-1][-1]
 
-    for _ in range(60):
-        (a, _), (b, _) = wrapper.parse(tree()), wrapper.parse(tree())
-        assert wrapper.Alignment().size(a, b) == best(a, b)
+    for _ in range(200):
+        a, b = tree_of(tree()), tree_of(tree())
+        m = wrapper.Matching(a, b, set(a.texts) & set(b.texts))
+        assert m.size(m.signs[0][0], m.signs[1][0]) == best(a, 0, b, 0)
+        assert all(a.texts[x] == b.texts[y] for x, y in m.equal_blocks())
+
+
+def test_deep_and_long_pages_are_aligned():
+    deep = lambda i: "<div>" * 3_000 + f"<p>same</p><p>own {i}</p>" + "</div>" * 3_000
+    assert wrapper.constant_votes(tree_of(deep(1)), tree_of(deep(2))) == [0]
+    cards = lambda k, n: "".join(f"<li><p>t{k}-{i}</p><p>Read more</p></li>" for i in range(n)) + "<div>the end</div>"
+    votes = wrapper.constant_votes(tree_of(cards(1, 1_500)), tree_of(cards(2, 2_000)))
+    assert sorted(votes) == [*range(1, 3_000, 2), 3_000]
+
+
+def placed(html):
+    """(labels of the containers, text) of every block."""
+    p, path, out, texts = wrapper.parse(html), [], [], iter(wrapper.parse(html).texts)
+    for depth, label in zip(p.depths, p.labels, strict=True):
+        del path[depth - 1 :]
+        if label is None:
+            out.append((tuple(path), next(texts)))
+        path.append(label)
+    return out
+
+
+def brute_template(htmls):
+    """Blocks that half of the pages with their container have, all pages against all."""
+    pages = [set(placed(h)) for h in htmls]
+    could = Counter(c for p in pages for c in {c for c, _ in p})
+    return {b for b, n in Counter(b for p in pages for b in p).items() if n > 3 and 2 * (n - 1) >= could[b[0]] - 1}
+
+
+def test_every_page_is_judged_by_its_whole_host(spark):
+    """200 pages of one host in two layouts, whatever the partitions; blocks in articles and outside, one of them on most pages only."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+
+    def body(i):
+        own = [f"<p>story {i} {' '.join(word() for _ in range(9))}</p>" for _ in range(rng.randrange(1, 5))]
+        own.insert(rng.randrange(len(own) + 1), "<p>Read our terms first</p>") if i % 6 else None
+        around = rng.choice(["<div><div>{}</div></div>", "<article>{}<div>Filed by staff</div></article>"])
+        return around.format("".join(own)) + "<div><p>All rights kept</p></div>"
+
+    htmls = [page(body(i)) for i in range(200)]
+    rows = [(i, "http://host/p", h) for i, h in enumerate(htmls)] + [(1_000 + i, "http://host/p", htmls[0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    template, results = brute_template(htmls), []
+    for parts in (2, 8, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(tuple(r) for r in wrapper.extract(df.repartition(parts)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert results[0] == results[1] == results[2]
+    assert {t for _, t in template} == {"Read our terms first", "All rights kept", "Filed by staff"}
+    decided = 0
+    for page_id, _, text, _, n in results[0]:
+        own = placed(htmls[page_id if page_id < 1_000 else 0])
+        assert text == "\n".join(b[1] for b in own if b not in template) and n == sum(b in template for b in own)
+        decided += n > 0 and "<article>" in htmls[page_id if page_id < 1_000 else 0]
+    assert decided > 50  # the template decides pages with an article too
+
+
+def test_near_copies_do_not_vote_on_each_other(spark):
+    rng = random.Random(13)
+    text = lambda: "".join(f"<p>{' '.join(str(rng.randrange(10**6)) for _ in range(12))}</p>" for _ in range(8))
+    copied = text()
+    htmls = [page(f"<article>{copied}<p>copy {i}</p></article>") for i in range(6)] + [page(f"<article>{text()}</article>") for _ in range(3)]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(df).collect()}
+    assert all(got[i] == "\n".join(wrapper.parse(h).texts) for i, h in enumerate(htmls))
 
 
 # -- shards ------------------------------------------------------------------------------------------
