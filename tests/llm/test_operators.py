@@ -248,7 +248,7 @@ def test_matching_is_the_largest_mapping():
         if bool(a.sizes[i]) != bool(b.sizes[j]) or (not a.sizes[i] and a.codes[i] != b.codes[j]):
             return 0
         if a.sizes[i]:
-            return 1 + (a.codes[i] == b.codes[j])
+            return 1 + wrapper.EQUAL * (a.codes[i] == b.codes[j])
         x, y = a.children[i], b.children[j]
         m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for p, q in itertools.product(range(len(x)), range(len(y))):

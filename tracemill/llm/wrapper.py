@@ -280,12 +280,14 @@ class Tree:
 # -- simple tree matching ----------------------------------------------------------------------------
 
 TEXT = -1  # label of every text block
+#: What two text blocks of one text count beyond their node: constant blocks hold an alignment, wherever they stand in a list.
+EQUAL = 100
 
 
 class Matching:
     """Simple tree matching of two trees, of which texts outside ``common`` equal nothing.
 
-    A mapping counts its nodes, and the text blocks of one text once more. Subtrees are told apart by
+    A mapping counts its nodes, and EQUAL for two text blocks of one text. Subtrees are told apart by
     signature: labels, and texts in ``common``; each pair of signatures is solved once, so lists of many alike
     items cost one solution. A subtree with one text block has a shape as well, its signature without the
     text; two such subtrees are compared by shape and text, whole rows at a time. No recursion: deep trees
@@ -314,7 +316,7 @@ class Matching:
             single = label == TEXT or (len(kids) == 1 and self.single[kids[0]])
             self.single.append(single)
             self.text.append(text if label == TEXT else self.text[kids[0]] if single else 0)
-            self.full.append(1 + (label == TEXT and text != 0) + sum(self.full[k] for k in kids))
+            self.full.append(1 + EQUAL * (label == TEXT and text != 0) + sum(self.full[k] for k in kids))
             self.shape.append(found)
             if self.text[found]:
                 self.shape[found] = self._intern(TEXT, (), 0) if label == TEXT else self._intern(label, (self.shape[kids[0]],), 0)
@@ -340,7 +342,7 @@ class Matching:
         if self.single[a] and self.single[b]:
             x, y = self.shape[a], self.shape[b]
             if x == y:
-                return self.full[x] + (self.text[a] == self.text[b] != 0)
+                return self.full[x] + EQUAL * (self.text[a] == self.text[b] != 0)
             a, b = x, y
         return self.best.get((a, b))
 
@@ -418,7 +420,7 @@ class Matching:
                     cached[p] = base
             if not self.single[p]:
                 return base
-            out = base + ((shape == self.shape[p]) & (text == self.text[p])) if self.text[p] else base
+            out = base + EQUAL * ((shape == self.shape[p]) & (text == self.text[p])) if self.text[p] else base
             if others:
                 out = out.copy()
                 for k, places in others.items():
