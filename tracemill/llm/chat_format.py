@@ -5,7 +5,8 @@ parts become a placeholder, an attachment record and a count of the tokens that
 expands to. Turns are framed as ``<|im_start|>role\\nbody<|im_end|>\\n``.
 
 Escaping is reversible and leaves no control string inside a text: ``<!`` gains one more ``!``, then
-``<|`` becomes ``<!|``; in role names a line break becomes ``<!n``.
+``<|`` becomes ``<!|``; in role names a line break becomes ``<!n``. Parts of other types than text, image,
+audio and document get the placeholder ``<|part:type|>``, so no type can pass for a control string.
 
 Defined results: null texts, roles and part lists are empty; an empty table gives an empty result;
 turns are ordered by (turn, role, body), nulls first, so repeated rows are kept and ties cannot
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Attachments with a placeholder of their own.
+KNOWN = ("image", "audio", "document")
 #: Pixels a side of one image patch, audio milliseconds a token, tokens a document page.
 PATCH, MS_PER_TOKEN, PAGE_TOKENS = 14, 40, 256
 PARTS_TYPE = "array<struct<type:string,text:string,ref:string,width:long,height:long,duration_ms:long,pages:long>>"
@@ -54,9 +57,15 @@ def is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
+def placeholder(kind: Column) -> Column:
+    """``<|kind|>``; kinds beyond KNOWN, which may be named like a control string, become ``<|part:kind|>``, escaped."""
+    own = F.when(kind.isin(*KNOWN), kind).otherwise(F.concat(F.lit("part:"), _replace(escape(kind), "|>", "!|>")))
+    return F.concat(F.lit("<|"), own, F.lit("|>"))
+
+
 def visit(part: Column) -> Column:
     """The string that stands for a part. Types not known are attachments of their own name."""
-    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(part["type"]), F.lit("|>")))
+    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder(part["type"]))
 
 
 def expanded_tokens(part: Column) -> Column:

@@ -5,6 +5,9 @@ transparent indices, delays, deferred clear codes. ``frames`` turns a binary col
 colour-histogram columns. ``encode_samples`` stores any bytes losslessly as 8-bit samples: 64 samples a row,
 at most 1,024 rows a frame, grey palette, LZW with a clear code when the table is full.
 
+Sizes of a file are checked before memory is taken for them: a canvas or sub-image of more than MAX_PIXELS, or
+a sub-image that its code stream cannot fill, is damage.
+
 Defined results: a null or empty blob has no frames; a damaged stream keeps the frames before the damage and
 sets ``damaged``; missing pixels keep what the canvas had; an empty table gives no rows; repeated rows are
 decoded each; other columns are ignored. Work is row by row: nothing is shuffled, one blob is held at a time.
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import derive
 
 WIDTH, ROWS = 64, 1024
+#: Pixels of the largest canvas or sub-image that is decoded; files that ask for more count as damaged.
+MAX_PIXELS = 1 << 24
 BINS = 4  # per colour channel
 
 
@@ -104,6 +109,8 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
 
 def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
     """At most ``limit`` samples; raises ValueError at a code that cannot stand there."""
+    if not 1 <= bits <= 8:
+        raise ValueError("samples have 1 to 8 bits")
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8))).astype(np.uint32)
     whole = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
@@ -206,6 +213,11 @@ def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray, int]:
     return colours, at + 3 * n
 
 
+def _bounded(width: int, height: int) -> None:
+    if width * height > MAX_PIXELS:
+        raise ValueError("more pixels than are decoded")
+
+
 def _row_order(height: int) -> np.ndarray:
     """Rows in the order in which an interlaced image stores them."""
     return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -220,6 +232,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         at, shared = 13, np.zeros((256, 3), np.uint8)
         if packed & 0x80:
             shared, at = _palette(data, at, packed)
+        _bounded(width, height)
         rgb, opaque = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), bool)
         clock, delay, disposal, clear_index = 0, 0, 0, None
         while data[at] != 0x3B:
@@ -239,6 +252,9 @@ def decode(data: bytes) -> Iterator[Frame]:
                 colours, at = _palette(data, at, flags)
             bits = data[at]
             body, at = _take_blocks(data, at + 1)
+            _bounded(w, h)
+            if w * h > (8 * len(body) // (bits + 1) + 1) * 4096:  # no code stands for more samples
+                raise ValueError("the stream is too short for its image")
             samples = lzw_decode(body, bits, w * h)
             drawn = np.zeros(w * h, bool)
             drawn[: len(samples)] = True

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import chat_format, feistel, fm_index, gif_frames, jaccard_join, ordinal, pii, piece_bpe, rans, wrapper
-from tracemill.llm.common import table
+from tracemill.llm.common import stored, table
 
 SHARDS, SHARD_SEED = 24, 20_240_601
 END_ID, WORD_VOCABULARY = 2, 49_408
@@ -50,7 +50,7 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as GIF samples, read back and described."""
-    return gif_frames.digests(gif_frames.store_texts(table(spark, sf_dir, "documents")))
+    return gif_frames.digests(stored(gif_frames.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
