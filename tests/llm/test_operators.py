@@ -665,11 +665,11 @@ def near_corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, jaccard_join.FREQUENT), (2, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+@pytest.mark.parametrize(("seed", "frequent", "bits"), [(1, jaccard_join.FREQUENT, 64), (2, 3, 64), (3, jaccard_join.FREQUENT, 4)])
+def test_components_equal_brute_force(spark, seed, frequent, bits):
+    """Four bits of key make nearly all classes collide."""
     texts = [*near_corpus(seed), *ODD[:-3], None]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs_of(spark, texts).repartition(4)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs_of(spark, texts).repartition(4), key_bits=bits, frequent=frequent).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
@@ -691,6 +691,9 @@ def test_prefixes_lose_no_similar_pair():
         f = lambda s: (s % np.uint64(7)).astype(np.int64)
         (p, _, a), (q, _, b) = jaccard_join.prefix_of(x, f), jaccard_join.prefix_of(y, f)
         assert len(np.intersect1d(p, q)) >= min(a, b)
+        place = lambda s, p: jaccard_join.largest_partner(len(s), np.arange(len(p)))
+        fit = [w for w in np.intersect1d(p, q) if len(y) <= place(x, p)[p == w][0] and len(x) <= place(y, q)[q == w][0]]
+        assert len(fit) >= min(a, b)
         differ = sum(bin((u ^ v) & (1 << 64) - 1).count("1") for u, v in zip(jaccard_join.bitmap(x, 4), jaccard_join.bitmap(y, 4), strict=True))
         assert differ <= len(x) + len(y) - 2 * common
 

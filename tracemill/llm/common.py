@@ -41,6 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Empty what stored() wrote for these frames, once all that was made of them is stored itself.
+
+    Every folder is overwritten by an empty table, so any store that Spark reaches will do.
+    """
+    for df in frames:
+        nothing = df.sparkSession.createDataFrame([], df.schema)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            nothing.coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text (null: empty) under fixed names, so other columns cannot clash."""
     return df.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import stored
+from tracemill.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = own.join(near, own["id"] == near["a"], "left").join(jump, F.col("old") == F.col("of"), "left")
         step = step.select("id", "old", F.least("old", F.coalesce("near", "old"), F.coalesce("far", "old")).alias("label"))
         step = stored(step, "labels")
+        dropped(labels)
         labels = step.select("id", "label")
         if step.filter(F.col("old") != F.col("label")).isEmpty():
+            dropped(both)
             return labels

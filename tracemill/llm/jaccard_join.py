@@ -11,15 +11,23 @@ Steps: (1) one pass gives set sizes, class keys and the sketch; (2) prefix shing
 that share none with another class are done; (3) for the others, sizes and bitmaps are stored;
 (4) every shingle links its classes to the smallest one, verified exactly, which gives first components;
 (5) pairs of classes in different components that meet at prefix shingles are counted, under the length
-bound and the bitmap bound on overlap; those that meet often enough are verified exactly. Pairs inside a
-component need no test for the result, so a large group of near copies costs a star, not all its pairs.
+bound, the position bound and the bitmap bound on overlap; those that meet often enough are verified exactly.
+Pairs inside a component need no test for the result, so a large group of near copies costs a star, not all
+its pairs.
+
+Position bound: of n shingles, the i-th in the global order (from 0) can be one of the first MAX_MATCH common
+ones only if the overlap is at most n - i + MAX_MATCH - 1, which limits the partner's size. A passage that many
+documents share among rare shingles of their own stands late in each of them, so its postings fit nobody and
+are dropped with their group, before any pair is made.
 
 Verification fetches only the sets of the pairs at hand, in a scan that skips other ids. Skew: classes take
 exact copies; a shingle found in many documents is not grouped in (2), it counts as shared; in (5) the most common component of a shingle is only met by the others, and Spark
 splits hot keys of these joins. Nothing grows with the corpus on the driver but the sketch's frequent
-buckets (at most 2**SKETCH_BITS numbers) and the filter of ids (FILTER_BITS bits).
+buckets (at most 2**SKETCH_BITS numbers) and the filter of ids (FILTER_BITS bits at most; where more ids are
+wanted than it can tell apart, texts are joined with the ids). Tables in between are emptied once they are used.
 
-Class keys are 64-bit sums of mixed shingle hashes; shingles are 64-bit hashes. Defined results: null or
+Classes have 128-bit keys: where two 64-bit keys (sums of mixed shingle hashes) are equal and the other 64 bits
+are not, the others are the keys. Shingles are 64-bit hashes. Defined results: null or
 wordless texts have no set and are linked with nothing; fewer than five words are one shingle; rows with a
 null id are compared with nothing and have a null component; repeated rows are equal sets; an empty table
 gives no rows; other columns are ignored.
@@ -36,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import bound_batches, pieces, stored
+from tracemill.llm.common import bound_batches, dropped, pieces, stored
 from tracemill.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -46,7 +54,8 @@ VERIFY_COST = 20.0
 SKETCH_BITS = 20
 #: From this sketch count on, a prefix shingle is not grouped: its documents are candidates at once.
 FREQUENT = 1_000
-FILTER_BITS = 1 << 23
+#: The filter has 16 bits an id, but no more than this.
+FILTER_BITS = 1 << 26
 #: Bitmaps: a short one that travels with postings, a wide one for pairs.
 BITMAP_LONGS, WIDE_LONGS = 4, 32
 #: Classes that a task remembers having posted.
@@ -95,8 +104,23 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def class_key(shingles: np.ndarray) -> int:
-    return int(mix(shingles ^ PLACES[0]).sum(dtype=np.uint64).astype(np.int64))
+def other_key(shingles: np.ndarray) -> int:
+    return int(mix(mix(shingles) * PLACES[1] ^ PLACES[3]).sum(dtype=np.uint64).astype(np.int64))
+
+
+class Keys:
+    """64-bit class keys of shingle sets, other ones where the first are known to collide; ``bits`` makes them collide in tests."""
+
+    def __init__(self, bits: int = 64, collided: frozenset[int] = frozenset()):
+        self.bits, self.collided = bits, collided
+
+    def first(self, shingles: np.ndarray) -> int:
+        whole = mix(shingles ^ PLACES[0]).sum(dtype=np.uint64)
+        return int(whole.astype(np.int64)) if self.bits == 64 else int(whole & np.uint64((1 << self.bits) - 1))
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        key = self.first(shingles)
+        return other_key(shingles) if key in self.collided else key
 
 
 def need(n: int, percent: int) -> int:
@@ -117,6 +141,12 @@ def prefix_of(shingles: np.ndarray, counts: Callable[[np.ndarray], np.ndarray],
     return shingles[chosen], f[chosen], matches
 
 
+def largest_partner(n: int, places: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Size up to which a set can be similar to one of n shingles, if a common shingle at this place of the global order
+    is one of the first MAX_MATCH common ones."""
+    return (n - places + MAX_MATCH - 1) * (100 + percent) // percent - n
+
+
 def bitmap(shingles: np.ndarray, longs: int) -> list[int]:
     """Parity of the shingles in 64 * longs cells: cells that differ bound the symmetric difference."""
     cells = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
@@ -141,26 +171,27 @@ def _mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterato
 
 
 class _Describe:
-    """Pass 1: (doc_id, n, key) rows, and at the end the sketch cells that stand out in this task."""
+    """Pass 1: (doc_id, n, key, other) rows, and at the end the sketch cells that stand out in this task."""
 
-    def __init__(self, words: int):
-        self.words, self.cells = words, np.zeros(1 << SKETCH_BITS, np.int32)
+    def __init__(self, words: int, keys: Keys):
+        self.words, self.keys, self.cells = words, keys, np.zeros(1 << SKETCH_BITS, np.int32)
 
     def __call__(self, batch: pa.RecordBatch) -> Iterator[dict]:
-        n, keys = [], []
+        n, keys, others = [], [], []
         for s in shingle_sets(batch.column("text"), self.words):
             n.append(len(s))
-            keys.append(class_key(s) if len(s) else None)
+            keys.append(self.keys.first(s) if len(s) else None)
+            others.append(other_key(s) if len(s) else None)
             if len(s):
                 self.cells[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1  # documents, not shingles
-        yield {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "cell": [None] * len(n), "count": [None] * len(n)}
+        yield {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "other": others, "cell": [None] * len(n), "count": [None] * len(n)}
 
     def last(self) -> Iterator[dict]:
         mean = self.cells.mean()  # cells of rare shingles only are about Poisson
         out = np.flatnonzero(self.cells >= mean + 6 * np.sqrt(mean) + 6)
         if len(out):
             none = [None] * len(out)
-            yield {"doc_id": none, "n": none, "key": none, "cell": out, "count": self.cells[out]}
+            yield {"doc_id": none, "n": none, "key": none, "other": none, "cell": out, "count": self.cells[out]}
 
 
 def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
@@ -170,43 +201,47 @@ def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
     return lambda s: dense[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
 
 
-def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int) -> DataFrame:
-    """Pass 2: (shingle, key, size, alone) for each prefix shingle; size is 8 n + matches, alone marks a frequent
-    shingle by the key."""
+def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int, key_of: Keys, frequent: int) -> DataFrame:
+    """Pass 2: (shingle, key, size, most, alone) for each prefix shingle; size is 8 n + matches, most the largest partner's
+    size, alone marks a frequent shingle by the key."""
 
     def make():
         counts, seen = _counter(table), set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            shingles, keys, sizes, alone = [], [], [], []
+            shingles, keys, sizes, most, alone = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 if not len(s):
                     continue
-                key = class_key(s)
+                key = key_of(s)
                 if key in seen:  # a copy in the same task has the same postings
                     continue
                 if len(seen) > SEEN_CLASSES:
                     seen.clear()
                 seen.add(key)
                 p, f, matches = prefix_of(s, counts, percent)
-                shingles.append(p)
-                keys.append(np.full(len(p), key, np.int64))
-                sizes.append(np.full(len(p), 8 * len(s) + matches, np.int64))
-                alone.append(np.where(f >= FREQUENT, key, 0))
+                top = largest_partner(len(s), np.arange(len(p)), percent)
+                k = int(np.searchsorted(-top * 100, -percent * len(s), "right"))  # later places fit nobody
+                shingles.append(p[:k])
+                keys.append(np.full(k, key, np.int64))
+                sizes.append(np.full(k, 8 * len(s) + matches, np.int64))
+                most.append(top[:k])
+                alone.append(np.where(f[:k] >= frequent, key, 0))
             if keys:
-                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "size": np.concatenate(sizes), "alone": np.concatenate(alone)}
+                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "size": np.concatenate(sizes), "most": np.concatenate(most), "alone": np.concatenate(alone)}
 
         return work
 
-    return _mapped(docs.select("text"), make, "shingle long, key long, size long, alone long")
+    return _mapped(docs.select("text"), make, "shingle long, key long, size long, most long, alone long")
 
 
 def _shared(posts: DataFrame, percent: int) -> DataFrame:
-    """(shingle, key, matches) for the prefix shingles that a class has in common with another one of fitting size,
+    """(shingle, key, matches, most) for the prefix shingles that a class has in common with another one of fitting size,
     of classes that have enough of them.
 
-    In the order of sizes, a class has a fitting partner only if the next or the previous one fits. Frequent
-    shingles are not grouped: each posting of one stands for itself and counts as shared.
+    In the order of sizes, a class has a fitting partner only if the next or the previous one fits, and only if it is
+    no larger than the group's largest ``most``. Frequent shingles are not grouped: each posting of one stands for
+    itself and counts as shared.
     """
     same = Window.partitionBy("shingle", "alone")
     by_size = same.orderBy("size", "key")
@@ -216,55 +251,62 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
         F.min("key").over(same).alias("low"),
         F.max("key").over(same).alias("high"),
         F.min(F.col("size") % 8).over(same).alias("least"),
+        F.max("most").over(same).alias("top"),
         F.lag("size").over(by_size).alias("smaller"),
         F.lead("size").over(by_size).alias("larger"),
     )
     fits = (n(F.col("smaller")) * 100 >= n(F.col("size")) * percent) | (n(F.col("size")) * 100 >= n(F.col("larger")) * percent)
+    fits = fits & (F.col("top") >= n(F.col("size")))
     kept = seen.filter((F.col("alone") != 0) | ((F.col("low") != F.col("high")) & F.coalesce(fits, F.lit(False))))
-    kept = kept.select("shingle", "key", (F.col("size") % 8).cast("int").alias("matches"), F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
-    kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.min("least").alias("least")), "shared")
+    kept = kept.select("shingle", "key", (F.col("size") % 8).cast("int").alias("matches"), "most", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
+    kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.max("most").alias("most"), F.min("least").alias("least")), "shared")
     enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
-    return stored(kept.select("shingle", "key", "matches").join(enough, "key", "left_semi"), "postings")
+    found = stored(kept.select("shingle", "key", "matches", "most").join(enough, "key", "left_semi"), "postings")
+    dropped(kept)
+    return found
 
 
-def _id_filter(ids: DataFrame) -> dict[int, int]:
-    """FILTER_BITS bits as words: which remainders the doc_ids have."""
-    bit = F.pmod("doc_id", F.lit(FILTER_BITS))
+def _id_filter(ids: DataFrame) -> tuple[np.ndarray, bool]:
+    """(bits as 64-bit words: which remainders the doc_ids have, whether there are too many ids for it)."""
+    n = ids.count()
+    size = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    bit = F.pmod("doc_id", F.lit(size))
     words = ids.select(F.floor(bit / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
-    return {r["word"]: r["bits"] for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out, 4 * n > size
 
 
-def _of_some(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int, fields: str, values: Callable[[np.ndarray], tuple]) -> DataFrame:
+def _of_some(docs: DataFrame, classes: DataFrame, keys: DataFrame, words: int, key_of: Keys, fields: str, values: Callable[[np.ndarray], tuple]) -> DataFrame:
     """key and values for the first documents of the classes in keys; a few others come along.
 
     One scan of the texts; a task computes shingles only for ids that the filter lets through.
     """
-    words_of = _id_filter(classes.join(keys, "key", "left_semi").select(F.col("first").alias("doc_id")))
+    ids = stored(classes.join(keys, "key", "left_semi").select(F.col("first").alias("doc_id")), "ids")
+    bits, many = _id_filter(ids)
     names = ["key", *[f.split()[0] for f in fields.split(", ")]]
 
     def make():
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        if words_of:
-            bits[list(words_of)] = list(words_of.values())
-
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False) % FILTER_BITS
-            keep = np.flatnonzero((bits[ids // 64] >> (ids % 64)) & 1)
+            own = batch.column("doc_id").to_numpy(zero_copy_only=False) % (64 * len(bits))
+            keep = np.flatnonzero((bits[own // 64] >> (own % 64)) & 1)
             found = shingle_sets(batch.column("text").take(pa.array(keep)), words)
-            rows = [(class_key(s), *values(s)) for s in found if len(s)]
+            rows = [(key_of(s), *values(s)) for s in found if len(s)]
             if rows:
                 yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
         return work
 
-    return _mapped(docs.filter(F.col("doc_id").isNotNull()), make, f"key long, {fields}")
+    source = docs.filter(F.col("doc_id").isNotNull())
+    return _mapped(source.join(ids, "doc_id", "left_semi") if many else source, make, f"key long, {fields}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, key_of: Keys) -> DataFrame:
     """The pairs (a, b) whose sets are similar, tested exactly."""
     pairs = stored(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _of_some(docs, classes, ends, words, "shingles binary", lambda s: (s.tobytes(),)).join(ends, "key", "left_semi").dropDuplicates(["key"])
+    sets = _of_some(docs, classes, ends, words, key_of, "shingles binary", lambda s: (s.tobytes(),)).join(ends, "key", "left_semi").dropDuplicates(["key"])
     sets = stored(sets, "sets")
     one, two = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
@@ -281,7 +323,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
         return work
 
-    return stored(_mapped(both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links")
+    links = stored(_mapped(both.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "links")
+    dropped(pairs, sets)
+    return links
 
 
 def _most_different(percent: int) -> Column:
@@ -330,6 +374,8 @@ def _cross_pairs(posts: DataFrame, labels: DataFrame, meta: DataFrame, percent:
         (left["shingle"] == right["shingle"])
         & (F.col("x_label") != F.col("y_label"))
         & ((F.col("y_label") == F.col("main")) | (F.col("x_key") < F.col("y_key")))
+        & (F.col("y_n") <= F.col("x_most"))
+        & (F.col("x_n") <= F.col("y_most"))
         & _may_be_similar(percent)
     )
     met = left.join(right, match).select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y"), F.least("x_matches", "y_matches").alias("needed"))
@@ -337,22 +383,30 @@ def _cross_pairs(posts: DataFrame, labels: DataFrame, meta: DataFrame, percent:
     return _narrowed(often.filter("n >= needed").select("x_key", "y_key"), meta, percent)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, key_bits: int = 64, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of docs."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(_mapped(source, lambda: _Describe(words), "doc_id long, n long, key long, cell int, count long"), "described")
+    described = stored(_mapped(source, lambda: _Describe(words, Keys(key_bits)), "doc_id long, n long, key long, other long, cell int, count long"), "described")
     cells = described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).collect()
     table = {r["cell"]: r["count"] for r in cells}
-    rows = described.filter("cell IS NULL").select("doc_id", "n", "key")
-    classes = stored(rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
-
-    posts = _shared(_postings(source, table, words, percent), percent)
+    rows = described.filter("cell IS NULL").select("doc_id", "n", "key", "other")
+    known = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
+    sums = lambda df: stored(df.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high")), "classes")
+    classes = sums(known)
+    key_of = Keys(key_bits, frozenset(r["key"] for r in classes.filter("low <> high").select("key").collect()))  # n * n / 2**65 of n classes
+    if key_of.collided:
+        both = F.when(F.col("key").isin(*key_of.collided), F.col("other")).otherwise(F.col("key"))
+        rows = rows.withColumn("key", both)
+        classes = sums(known.withColumn("key", both))
+
+    posts = _shared(_postings(source, table, words, percent, key_of, frequent), percent)
     longs = [f"b{i}" for i in range(BITMAP_LONGS)]
-    meta = _of_some(source, classes, posts.select("key").distinct(), words, "n int, wide array<long>, " + ", ".join(f"{c} long" for c in longs), lambda s: (len(s), bitmap(s, WIDE_LONGS), *bitmap(s, BITMAP_LONGS)))
+    meta = _of_some(source, classes, posts.select("key").distinct(), words, key_of, "n int, wide array<long>, " + ", ".join(f"{c} long" for c in longs), lambda s: (len(s), bitmap(s, WIDE_LONGS), *bitmap(s, BITMAP_LONGS)))
     meta = stored(meta.dropDuplicates(["key"]), "bitmaps")
-    first = _verified(_first_pairs(posts, meta, percent), source, classes, words, percent)
+    first = _verified(_first_pairs(posts, meta, percent), source, classes, words, percent, key_of)
     labels = components(first)
-    cross = _verified(_cross_pairs(posts, labels, meta, percent), source, classes, words, percent)
+    cross = _verified(_cross_pairs(posts, labels, meta, percent), source, classes, words, percent, key_of)
+    dropped(posts, meta)
     ends = [cross.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), c, "left").select("a", "b", F.coalesce(f"l{c}", c).alias(c + c)) for c in "ab"]
     joined = components(ends[0].join(ends[1], ["a", "b"]).select(F.col("aa").alias("a"), F.col("bb").alias("b")))
     last = labels.select("id", "label").union(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
