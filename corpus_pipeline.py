@@ -19,8 +19,9 @@ ORACLE_SQL = None
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and row: all other columns."""
-    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+    """doc_id and text, and row: all other columns, and one of no use, as a struct must have a field."""
+    filler = F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], filler).alias("row"))
 
 
 def _with_text(rows: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -39,10 +40,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies; rows without an id stay."""
-    groups = jaccard_join.near_duplicates(docs)
-    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep the document with the smallest id of each group of near copies.
+
+    Rows are told apart by id and a hash of all columns: of several rows that share an id, each stays that is the
+    first of its own group; of those with equal shingle sets the one with the smallest hash; wordless ones all. Fully
+    equal rows count as one. Rows without an id stay.
+    """
+    whole = "_" * (1 + max(map(len, docs.columns)))
+    marked = docs.withColumn(whole, F.xxhash64(*docs.columns))
+    groups = jaccard_join.near_duplicates(marked, mark=whole).filter(F.col("doc_id") == F.col("component_id"))
+    firsts = groups.groupBy("doc_id", F.coalesce("class_key", whole).alias("class")).agg(F.min(whole).alias(whole)).select("doc_id", whole)
+    kept = marked.join(firsts, ["doc_id", whole], "left_semi").dropDuplicates(["doc_id", whole])
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -62,8 +70,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, as little-endian unsigned 32-bit integers."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = piece_bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
+    keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    coded = piece_bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=keep)
+    return coded.select(*keep, "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 
 STAGES = [

@@ -7,9 +7,10 @@ prefix doubling, Burrows-Wheeler transform in a wavelet matrix with rank tables,
 positions sampled every SAMPLE symbols. All phrases are searched backward at once, occurrences are
 located by walking to the next sample, and their spans are merged per document.
 
-Phrases go to the executors in blocks of at most BLOCK_BYTES; each further block is one more pass over
-the documents, whose spans so far are stored between passes. Nothing else is broadcast and nothing is
-shuffled: a hot source or a large group of copies is only more rows of a scan.
+Phrases go to the executors in blocks of at most BLOCK_BYTES; each further block is one more scan of the
+documents, which stores only the spans of the rows it hits; these are merged and joined to the rows at last.
+Nothing else is broadcast, and texts are not shuffled while there is one block: a hot source or a large group
+of copies is only more rows of a scan.
 
 Defined results: null or wordless texts have no words, no hits; empty tables give empty results or no
 hits; items without words are no phrases; repeated items count once per item id; repeated rows are
@@ -19,11 +20,12 @@ answered each; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import derive, stored
@@ -206,14 +208,16 @@ def scan_shard(texts: list[str], phrases: Phrases) -> Iterator[tuple[int, list[t
         yield n, spans.get(d, []), sorted(found.get(d, ()))
 
 
-def _merge(a: list, b: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+def merged_spans(spans: Column) -> Column:
+    """Spans in order, those that touch or overlap made one."""
+    one = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(one(last["start"], F.greatest(last["end"], s["end"]))))
+        return F.when(last["end"] >= s["start"], longer).otherwise(F.concat(done, F.array(one(s["start"], s["end"])))).cast(SPANS)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -221,7 +225,7 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     block, size = [], 0
     for r in benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += len(r["text"].encode("utf-8", "surrogatepass"))
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -232,32 +236,32 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: str | None = None) -> DataFrame:
     """doc_id, n_words, spans (merged word spans that are hit), item_ids; ``carry`` names a column to keep, with the text."""
     kept = ["doc_id", "text", *([carry] if carry else [])]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept[2:])
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<long>")})
-    blocks = 0
-    for items in item_blocks(benchmark):
-        if blocks:
-            out = stored(out, "decontamination")
-        blocks += 1
-
-        def scanner(items=items):
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept[2:])
+
+    def scanned(rows: DataFrame, items: list[tuple[int, str]], keep: list[str]) -> DataFrame:
+        def scanner():
             phrases = Phrases(items, window)
 
             def scan(batch: pa.RecordBatch) -> dict:
-                rows = list(scan_shard([t or "" for t in batch.column("text").to_pylist()], phrases))
-                spans, ids = batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist()
-                merged = [_merge([(x["start"], x["end"]) for x in old], r[1]) for old, r in zip(spans, rows, strict=True)]
-                return {
-                    "n_words": [r[0] for r in rows],
-                    "spans": [[{"start": s, "end": e} for s, e in x] for x in merged],
-                    "item_ids": [sorted({*old, *r[2]}) for old, r in zip(ids, rows, strict=True)],
-                }
+                found = list(scan_shard([t or "" for t in batch.column("text").to_pylist()], phrases))
+                return {"n_words": [r[0] for r in found], "spans": [[{"start": s, "end": e} for s, e in r[1]] for r in found], "item_ids": [r[2] for r in found]}
 
             return scan
 
-        out = derive(out, scanner, FIELDS, kept, SHARD_BYTES)
-    if not blocks:
-        out = derive(out, lambda: lambda b: {"n_words": [len(plain_words(t or "")) for t in b.column("text").to_pylist()], "spans": [[]] * len(b), "item_ids": [[]] * len(b)}, FIELDS, kept, SHARD_BYTES)
+        return derive(rows, scanner, FIELDS, keep, SHARD_BYTES)
+
+    blocks = item_blocks(benchmark)
+    out = scanned(source, next(blocks, []), kept)
+    marked = source.withColumn("mark", F.xxhash64("doc_id", "text"))
+    more = [stored(scanned(marked, items, ["doc_id", "mark"]).filter(F.size("spans") > 0).drop("n_words"), "spans") for items in blocks]
+    if more:
+        hits = reduce(DataFrame.unionByName, more).distinct()  # equal rows have equal spans
+        flat = lambda c: F.flatten(F.collect_list(c)).alias(f"more_{c}")
+        hits = stored(hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(flat("spans"), flat("item_ids")), "spans")
+        both = out.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("doc_id", "text") == F.col("hit_mark")), "left")
+        spans = F.when(F.col("hit_mark").isNull(), F.col("spans")).otherwise(merged_spans(F.concat("spans", F.coalesce("more_spans", F.array().cast(SPANS)))))
+        ids = F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("more_item_ids", F.array().cast("array<long>")))))
+        out = both.withColumns({"spans": spans, "item_ids": ids}).drop("hit_id", "hit_mark", "more_spans", "more_item_ids")
     return out if carry else out.drop("text")
 
 

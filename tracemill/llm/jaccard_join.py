@@ -184,14 +184,14 @@ class _Describe:
             others.append(other_key(s) if len(s) else None)
             if len(s):
                 self.cells[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1  # documents, not shingles
-        yield {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "other": others, "cell": [None] * len(n), "count": [None] * len(n)}
+        yield {"doc_id": batch.column("doc_id"), "n": n, "key": keys, "other": others, "mark": batch.column("mark"), "cell": [None] * len(n), "count": [None] * len(n)}
 
     def last(self) -> Iterator[dict]:
         mean = self.cells.mean()  # cells of rare shingles only are about Poisson
         out = np.flatnonzero(self.cells >= mean + 6 * np.sqrt(mean) + 6)
         if len(out):
             none = [None] * len(out)
-            yield {"doc_id": none, "n": none, "key": none, "other": none, "cell": out, "count": self.cells[out]}
+            yield {"doc_id": none, "n": none, "key": none, "other": none, "mark": none, "cell": out, "count": self.cells[out]}
 
 
 def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
@@ -383,13 +383,19 @@ def _cross_pairs(posts: DataFrame, labels: DataFrame, meta: DataFrame, percent:
     return _narrowed(often.filter("n >= needed").select("x_key", "y_key"), meta, percent)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, key_bits: int = 64, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of docs."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(_mapped(source, lambda: _Describe(words, Keys(key_bits)), "doc_id long, n long, key long, other long, cell int, count long"), "described")
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, key_bits: int = 64, frequent: int = FREQUENT, mark: str | None = None
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of docs.
+
+    ``mark`` names a long column that is carried along, with class_key: equal for rows of one set.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark"))
+    fields = "doc_id long, n long, key long, other long, mark long, cell int, count long"
+    described = stored(_mapped(source, lambda: _Describe(words, Keys(key_bits)), fields), "described")
     cells = described.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).collect()
     table = {r["cell"]: r["count"] for r in cells}
-    rows = described.filter("cell IS NULL").select("doc_id", "n", "key", "other")
+    rows = described.filter("cell IS NULL").select("doc_id", "n", "key", "other", "mark")
     known = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     sums = lambda df: stored(df.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("other").alias("low"), F.max("other").alias("high")), "classes")
     classes = sums(known)
@@ -416,4 +422,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = stored(last.join(classes, "key").groupBy("label").agg(F.min("first").alias("component_id")), "smallest")
     linked = last.join(smallest, "label").select("key", "component_id")
     named = stored(classes.join(linked, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")), "named")
-    return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    carried = [F.col("mark").alias(mark), F.col("key").alias("class_key")] if mark else []
+    return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), component, *carried)

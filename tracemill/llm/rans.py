@@ -25,6 +25,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from unicodedata import is_normalized
 
 import numpy as np
@@ -37,6 +38,8 @@ from pyspark.sql import types as T
 from tracemill.llm.common import bound_batches, derive, id_and_text, pieces, scratch_path, stored
 from tracemill.llm.piece_bpe import byte_characters
 
+#: Bytes of text that a part of the corpus has at most, about.
+PART_BYTES = 256 << 20
 SCALE = 20
 LOW = 1 << 31
 LANES, BLOCK_IDS, CHUNK_IDS = 2048, 1 << 18, 1 << 20
@@ -227,11 +230,14 @@ class Coder:
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, packed (zstd of 16-bit ids with the end id), part, in_part, stored by (part, in_part).
 
-    Parts are ranges of doc_id, cut at quantiles of the ids alone, so that nothing is tokenised twice.
+    Parts are ranges of doc_id, cut at quantiles of the ids alone, so that nothing is tokenised twice; there are
+    as many as the bytes of the texts ask for.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = [i / (4 * parts) for i in range(1, 4 * parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", wanted, 40 * parts)).first()[0] or []))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(4 * parts, -(-size // PART_BYTES))
+    parts = max(parts, ranges // 4)
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
 
     def make():
         import zstandard
@@ -335,14 +341,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(found: DataFrame) -> DataFrame:
     """Add start, the ids of all documents before: a running sum in each part after the parts before it."""
     found = stored(found, "decoded")
-    totals = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    bases, total = [], 0
-    for i in range(max(totals, default=0) + 1):
-        bases.append(total)
-        total += totals.get(i, 0)
-    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in bases]), F.col("part") + 1)
+    rows = found.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    ends = list(accumulate(r["n"] for r in rows))
+    bases = found.sparkSession.createDataFrame([(r["part"], e - r["n"]) for r, e in zip(rows, ends, strict=True)], "part int, base long")
     before = Window.partitionBy("part").orderBy("first", "index").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("start", base + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return found.join(bases, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("base")
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int, vocab_size: int, path: str | None = None, id_col="doc_id", text_col="text") -> str:
