@@ -29,6 +29,9 @@ WHOLE_UNITS = ("ms", "b")
 STRPTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "z": "xx", "Z": "z", "b": "MMM", "B": "MMMM", "j": "DDD", "y": "yy", "a": "E", "A": "EEEE", "%": "%"}
 
 
+NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
 @dataclass(frozen=True)
 class Views:
     """What is asked of a variant again and again, best held in columns of their own."""
@@ -39,8 +42,26 @@ class Views:
     long: Column
 
 
-def views_of(v: Column) -> Views:
-    return Views(F.schema_of_variant(v), *[F.try_variant_get(v, "$", k) for k in ("string", "double", "long")])
+def views_of(v: Column, kind: Column | None = None) -> Views:
+    """The views; ``kind`` is a column that holds the type already. Numbers are only read where numbers are held."""
+    own = F.schema_of_variant(v) if kind is None else kind
+    of = lambda names, to: F.when(own.rlike(f"^(?:{'|'.join(names)})"), F.try_variant_get(v, "$", to))
+    plain = F.when(~own.rlike("^(?:OBJECT|ARRAY)"), F.try_variant_get(v, "$", "string"))
+    return Views(own, plain, of(NUMBERS, "double"), of(NUMBERS[:4], "long"))
+
+
+class Asked(Views):
+    """Views in columns of their own, of which only those asked for need be made: names them in ``used``."""
+
+    def __init__(self, number: int):
+        object.__setattr__(self, "number", number)
+        object.__setattr__(self, "used", set())
+
+    def __getattribute__(self, name: str):
+        if name in ("type", "string", "double", "long"):
+            self.used.update((name, "type"))
+            return F.col(f"__{name}{self.number}")
+        return object.__getattribute__(self, name)
 
 
 @dataclass(frozen=True)
@@ -64,9 +85,6 @@ class Value:
         return Value(kind, column, self.error)
 
 
-NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
-
-
 def _is(views: Views, *names: str) -> Column:
     return F.coalesce(views.type.rlike(f"^(?:{'|'.join(names)})"), F.lit(False))
 
@@ -300,8 +318,12 @@ def _first_group(values: pd.Series, pattern: pd.Series) -> pd.Series:
     return found.field("g").to_pandas().where(pc.is_valid(found).to_pandas(), None) if len(found) else values
 
 
+#: The head of a group that captures.
+_GROUP = re.compile(r"\((?:\?P<\w+>|(?!\?))")
+
+
 def named_group(pattern: str, group: int) -> str:
-    """The pattern with the wanted group named g and no other group captured by name."""
+    """The pattern with the wanted group named g and no other group captured; named groups count as the others do."""
     seen, out, at, in_class = 0, [], 0, False
     while at < len(pattern):
         c = pattern[at]
@@ -313,10 +335,14 @@ def named_group(pattern: str, group: int) -> str:
             in_class = c != "]"
         elif c == "[":
             in_class = True
-        elif c == "(" and not pattern.startswith("(?", at):
+            first = re.compile(r"\[\^?\]?").match(pattern, at)[0]  # a bracket that comes first is a member
+            out.append(first.replace("]", r"\]"))
+            at += len(first)
+            continue
+        elif c == "(" and (head := _GROUP.match(pattern, at)):
             seen += 1
             out.append("(?P<g>" if seen == group else "(?:")
-            at += 1
+            at = head.end()
             continue
         out.append(c)
         at += 1

@@ -1,7 +1,8 @@
 """Records to sessions, model calls and tool calls, with an explanation for every row that is turned away.
 
 All of it is projection over a record's own row, except numbering of several session rows of one record and
-the one issue per record and entity for calls whose session was rejected.
+the one issue per record and entity for calls whose session was rejected. Issues, report and missing fields come
+from one pass over the records, in which a record's session and calls are rows of one exploded list.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.plans.compile import ISSUE, entity_rows, issue
+from tracemill.functions import paths
+from tracemill.plans.compile import ISSUE, entity_frame, entity_rows, issue
 from tracemill.plans.mapping import Entity, Mapping, validate
 from tracemill.schema import OUTCOMES, STATUSES, TARGET_FIELDS
 
 
+ITEMS = "array<struct<target:string,source_index:int,row:variant,odd:boolean>>"
+
+
 def _flag(when: Column, code: str, at: str | None = None) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), issue("rejected", code, at))
 
@@ -55,6 +60,15 @@ def _issue_rows(df: DataFrame, target: str, issues: Column, rows: Column | None
     return df.select("line", F.lit(target).alias("target"), count, F.explode(issues).alias("i")).select("line", "target", "i.severity", "i.code", "i.field_path", "rows")
 
 
+def _item(target: str, odd: bool = False):
+    """A row of the exploded list of a record: ``odd`` stands for something that is no list where one should be."""
+
+    def made(row: Column, at: Column) -> Column:
+        return F.struct(F.lit(target).alias("target"), at.cast("int").alias("source_index"), row.alias("row"), F.lit(odd).alias("odd"))
+
+    return made
+
+
 class Normalised:
     """Entities by line, and issues of (line, target, severity, code, field_path, rows); each is built when asked for."""
 
@@ -122,8 +136,55 @@ class Normalised:
     def tool_call(self) -> DataFrame:
         return self._kept("tool_call")
 
+    @cached_property
+    def _pass(self) -> DataFrame | None:
+        """Everything about the records in one pass, for mappings with at most one session a record: a row for each record
+        (target ``session``) and each call, with ``kept``, ``issues``, ``orphan`` and the fields in a struct named by target."""
+        session = self.entities.get("session")
+        if session is None or session.iterate:
+            return None
+        fields = lambda t: F.struct(*TARGET_FIELDS[t])
+        judged = self._sessions[0]
+        fine = ~F.col("rejected") & F.col("refusal").isNull()
+        whole = judged.select("line", "v", fine.alias("has_session"), F.col("external_id").alias("session_key"), F.when(fine, fields("session")).alias("session"), _all_issues().alias("session_issues"))
+        items = [F.array(_item("session")(F.lit(None).cast("variant"), F.lit(0)))]
+        for target in (t for t in self.entities if t != "session"):
+            entity = self.entities[target]
+            if entity.iterate:
+                rows, wrong = paths.iterate(F.col("v"), paths.iterate_path(entity.iterate))
+                items.append(F.transform(rows, _item(target)))
+                items.append(F.when(wrong, F.array(_item(target, odd=True)(F.lit(None).cast("variant"), F.lit(0)))).otherwise(F.array().cast(ITEMS)))
+            else:
+                items.append(F.array(_item(target)(F.col("v"), F.lit(0))))
+        df = whole.select("line", "has_session", "session_key", "session", "session_issues", F.explode(F.concat(*items)).alias("i")).select("*", "i.*").drop("i")
+        nothing = F.array().cast(f"array<{ISSUE}>")
+        issues = F.when(F.col("target") == "session", F.col("session_issues")).otherwise(nothing)
+        kept, orphan = (F.col("target") == "session") & F.col("has_session"), F.lit(False)
+        for target in (t for t in self.entities if t != "session"):
+            entity = self.entities[target]
+            carry = [c for c in df.columns if c != "row"]
+            mine = (F.col("target") == target) & ~F.col("odd")
+            rows = df.withColumn("__row", F.when(mine, F.col("row")))
+            made = entity_frame(rows, entity, "__row", paths.iterate_path(entity.iterate) if entity.iterate else None, (*carry, "row"))
+            made = _judged(_with_defaults(made, target), entity).withColumn("refusal", F.when(F.col("has_session"), F.col("refusal")))
+            good = mine & ~F.col("rejected") & F.col("has_session") & F.col("refusal").isNull()
+            df = made.select(*carry, "row", F.when(good, fields(target)).alias(target), F.when(mine, _all_issues()).otherwise(nothing).alias(f"{target}_issues"), (mine & ~F.col("rejected") & ~F.col("has_session")).alias(f"{target}_orphan"))
+            odd = F.when((F.col("target") == target) & F.col("odd"), F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))).otherwise(nothing)
+            issues, orphan, kept = F.concat(issues, f"{target}_issues", odd), orphan | F.col(f"{target}_orphan"), kept | F.col(target).isNotNull()
+        return df.select("line", "session_key", "target", "source_index", *self.entities, issues.alias("issues"), orphan.alias("orphan"), kept.alias("kept"))
+
     @cached_property
     def issues(self) -> DataFrame:
+        if self._pass is None:
+            return self._issues_by_branch()
+        missing = F.when(F.col("orphan"), F.array(issue("rejected", "PARENT_SESSION_MISSING", None))).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        found = self._pass.select("line", "target", "source_index", F.explode(F.concat("issues", missing)).alias("i")).select("line", "target", "source_index", "i.*")
+        # calls without a session are told once a record, everything else row by row
+        place = F.when(F.col("code") != "PARENT_SESSION_MISSING", F.col("source_index"))
+        return found.groupBy("line", "target", "severity", "code", "field_path", place.alias("at")).agg(F.count("*").alias("rows")).drop("at")
+
+    def _issues_by_branch(self) -> DataFrame:
+        """The same where one record can hold several sessions, which are ranked before its calls can be judged."""
         found = []
         for target, entity in self.entities.items():
             judged, odd = self._sessions if target == "session" else self._call(target)
@@ -131,9 +192,8 @@ class Normalised:
             if entity.iterate:
                 found.append(_issue_rows(odd, target, F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))))
             if target == "session":
-                if entity.iterate:
-                    several = judged.filter("rank = 1 AND n > 1")
-                    found.append(_issue_rows(several, target, F.array(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None)), F.col("n")))
+                several = judged.filter("rank = 1 AND n > 1") if entity.iterate else judged.limit(0).withColumn("n", F.lit(0))
+                found.append(_issue_rows(several, target, F.array(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None)), F.col("n")))
                 continue
             orphans = judged.filter("NOT rejected AND NOT has_session").groupBy("line").agg(F.count("*").alias("n"))
             found.append(_issue_rows(orphans, target, F.array(issue("rejected", "PARENT_SESSION_MISSING", None)), F.col("n")))
@@ -159,27 +219,39 @@ def reference_requests(n: Normalised) -> DataFrame:
 
 
 def report(records: DataFrame, n: Normalised, imported: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
-    """One row: records read, imported, duplicate and rejected (distinct lines), fields_missing, status."""
-    named = lambda df, what, name: df.agg(what.alias("n")).select(F.lit(name).alias("name"), "n")
+    """One row: records read, imported, duplicate and rejected (distinct lines), status."""
     lines = F.count_distinct("line")
-    counts = named(records, F.count("*"), "records_read")
-    counts = counts.unionByName(named(n.issues.filter("severity = 'rejected'"), lines, "records_rejected"))
-    counts = counts.unionByName(named(imported if imported is not None else n.session, lines, "records_imported"))
-    if duplicates is not None:
-        counts = counts.unionByName(named(duplicates, lines, "records_duplicate"))
     columns = ("records_read", "records_imported", "records_duplicate", "records_rejected")
-    out = counts.agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(c) for c in columns])
+    if n._pass is not None and imported is None and duplicates is None:
+        bad = F.col("orphan") | F.exists("issues", lambda i: i["severity"] == "rejected")
+        own = F.col("target") == "session"  # one row a record
+        out = n._pass.agg(
+            F.count_if(own).alias(columns[0]), F.count_if(own & F.col("kept")).alias(columns[1]), F.lit(0).cast("long").alias(columns[2]),
+            F.count_distinct(F.when(bad, F.col("line"))).alias(columns[3]),
+        )
+    else:
+        named = lambda df, what, name: df.agg(what.alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = named(records, F.count("*"), "records_read")
+        counts = counts.unionByName(named(n.issues.filter("severity = 'rejected'"), lines, "records_rejected"))
+        counts = counts.unionByName(named(imported if imported is not None else n.session, lines, "records_imported"))
+        if duplicates is not None:
+            counts = counts.unionByName(named(duplicates, lines, "records_duplicate"))
+        out = counts.agg(*[F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(c) for c in columns])
     return out.withColumn("status", F.when(F.col("records_rejected") > 0, "partial").otherwise("succeeded"))
 
 
 def fields_missing(n: Normalised) -> DataFrame:
     """(field, n): how often each field of an imported entity is unknown."""
+    pairs = lambda target, at: F.array(*[F.struct(F.lit(f"{target}.{f}").alias("field"), at(f).alias("n")) for f in TARGET_FIELDS[target]])
+    if n._pass is not None:
+        none = lambda t, f: F.count_if(F.col("kept") & (F.col("target") == t) & F.col(t)[f].isNull()).alias(f"{t}_{f}")
+        counts = n._pass.agg(*[none(t, f) for t in n.entities for f in TARGET_FIELDS[t]])
+        parts = counts.select(F.inline(F.concat(*[pairs(t, lambda f, t=t: F.col(f"{t}_{f}")) for t in n.entities])))
+        return parts.filter("n > 0")
     parts = None
     for target, df in (("session", n.session), ("model_call", n.model_call), ("tool_call", n.tool_call)):
-        names = list(TARGET_FIELDS[target])
-        counts = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in names])
-        pairs = F.array(*[F.struct(F.lit(f"{target}.{f}").alias("field"), F.col(f).alias("n")) for f in names])
-        own = counts.select(F.inline(pairs)).filter("n > 0")
+        counts = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in TARGET_FIELDS[target]])
+        own = counts.select(F.inline(pairs(target, F.col))).filter("n > 0")
         parts = own if parts is None else parts.unionByName(own)
     return parts
 

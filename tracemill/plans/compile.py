@@ -75,15 +75,12 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
     computed twice however often the next round refers to it.
     """
     sources = {p: i for i, p in enumerate(_sources(entity))}
-    df = rows
-    if sources:
-        df = df.withColumns({f"__r{i}": paths.at(F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, i in sources.items()})
-        df = df.withColumns({f"__p{i}": paths.known(F.col(f"__r{i}")) for i in sources.values()})
-        df = df.withColumns({f"__{k}{i}": c for i in sources.values() for k, c in vars(values.views_of(F.col(f"__p{i}"))).items()})
+    views = {i: values.Asked(i) for i in sources.values()}
+    rounds: list[dict[str, Column]] = []
 
     def lookup(path: str) -> Value:
         i = sources[path]
-        return Value("variant", F.col(f"__p{i}"), held=values.Views(*[F.col(f"__{k}{i}") for k in ("type", "string", "double", "long")]))
+        return Value("variant", F.col(f"__p{i}"), held=views[i])
 
     states = [lookup(f.source) for f in entity.fields]
     for depth in range(max((len(f.operators) for f in entity.fields), default=0)):
@@ -95,13 +92,23 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
                 if v.error is not None:
                     made[f"__e{i}_{depth}"] = v.error
                 states[i] = Value(v.kind, F.col(f"__v{i}_{depth}"), F.col(f"__e{i}_{depth}") if v.error is not None else None)
-        df = df.withColumns(made)
+        rounds.append(made)
     fitted = {}
     for i, f in enumerate(entity.fields):
         v, mismatch = values.gate(states[i], TARGET_FIELDS[entity.target][f.target])
         fitted[f"__g{i}"] = v.column.cast(_sql_type(TARGET_FIELDS[entity.target][f.target]))
         fitted[f"__m{i}"] = F.coalesce(mismatch, F.lit(False))
-    df = df.withColumns(fitted) if fitted else df
+    rounds.append(fitted)
+    df = rows
+    if sources:  # only now is it known which views are asked for
+        df = df.withColumns({f"__r{i}": paths.at(F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, i in sources.items()})
+        df = df.withColumns({f"__p{i}": paths.known(F.col(f"__r{i}")) for i in sources.values()})
+        typed = {f"__type{i}": F.schema_of_variant(F.col(f"__p{i}")) for i, v in views.items() if v.used}
+        df = df.withColumns(typed) if typed else df
+        made = {f"__{k}{i}": c for i, v in views.items() for k, c in vars(values.views_of(F.col(f"__p{i}"), F.col(f"__type{i}"))).items() if k in v.used and k != "type"}
+        df = df.withColumns(made) if made else df
+    for made in filter(None, rounds):
+        df = df.withColumns(made)
     out = {name: F.lit(None).cast(_sql_type(kind)) for name, kind in TARGET_FIELDS[entity.target].items()}
     issues, rejected = [], F.lit(False)
     for i, f in enumerate(entity.fields):

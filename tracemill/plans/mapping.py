@@ -127,7 +127,7 @@ def _pattern(op: dict) -> list[tuple[str, str]]:
                 compiled = re.compile(pattern)
             except re.error as e:
                 out.append(("pattern", str(e)))
-            if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
+            if re.search(r"\(\?<?[=!]|\(\?P=|\(\?\(|\\[1-9]", pattern):
                 out.append(("pattern", "look-around and back-references have no linear-time form"))
     if not isinstance(group, int) or isinstance(group, bool) or group < 0:
         out.append(("group", "must be a non-negative integer"))

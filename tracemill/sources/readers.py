@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # File name endings of each format.
@@ -65,36 +66,54 @@ def numbered(lines: DataFrame, to: str = "line") -> DataFrame:
     """Dense line numbers from 1 in input order.
 
     The rows are read twice and must come in the same partitions both times: files do, other frames need
-    settled(). Counts per partition are collected (one number each); no global sort and no single task.
+    settled(). No global sort and no single task: the starts of the partitions, one row for each, are joined
+    by broadcast, so they grow with the number of partitions only.
     """
     tagged = lines.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for i in range(max(counts, default=0) + 1):
-        starts.append(total)
-        total += counts.get(i, 0)
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), (part + 1).cast("int"))
-    within = F.col("__id").bitwiseAND((1 << 33) - 1)
-    return tagged.withColumn(to, start + within + 1).drop("__id")
+    return _started(tagged, {to: F.lit(True)}).withColumn(to, F.col(to) + F.col("__id").bitwiseAND(_WITHIN) + 1).drop("__id")
+
+
+_WITHIN = (1 << 33) - 1
+
+
+def _started(tagged: DataFrame, counted: dict[str, Column]) -> DataFrame:
+    """Add for each name how many rows of the partitions before that of __id meet its condition."""
+    part = F.shiftright("__id", 33).alias("__part")
+    counts = tagged.groupBy(part).agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in counted])
+    return tagged.withColumn("__part", part).join(F.broadcast(starts), "__part").drop("__part")
+
+
+def explained(lines: DataFrame) -> DataFrame:
+    """Lines (value, and other columns) as (line, physical, raw, v, broken): blank lines are neither kept nor counted.
+
+    ``line`` counts the kept lines and ``physical`` all, both from 1. ``broken`` says that a line holds no JSON
+    (INVALID_JSON) or none that is an object (NOT_AN_OBJECT); its v is null.
+    """
+    kept = F.btrim("value", F.lit(" \t\r\n\x0b\x0c")) != ""
+    tagged = _started(lines.withColumn("__id", F.monotonically_increasing_id()), {"physical": F.lit(True), "line": kept})
+    rows = tagged.withColumn("physical", F.col("physical") + F.col("__id").bitwiseAND(_WITHIN) + 1).filter(kept)
+    # of the rows that the filter leaves, a partition's ids are dense again
+    rows = rows.withColumn("line", F.col("line") + F.monotonically_increasing_id().bitwiseAND(_WITHIN) + 1)
+    rows = rows.withColumn("v", F.try_parse_json("value")).withColumn("type", F.schema_of_variant("v"))
+    broken = F.when(F.col("v").isNull(), "INVALID_JSON").when(~F.col("type").startswith("OBJECT"), "NOT_AN_OBJECT")
+    rows = rows.withColumn("broken", broken).withColumn("v", F.when(F.col("broken").isNull(), F.col("v")))
+    others = [c for c in lines.columns if c != "value"]
+    return rows.select("line", "physical", F.col("value").alias("raw"), "v", "broken", *others)
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """JSON lines as (line, raw, v): blank lines are neither kept nor counted.
 
     A line that holds no JSON object fails the read with its physical number where ``strict``; otherwise its
-    v is null and the caller explains it.
+    v is null and the caller explains it (see explained()).
     """
-    text = numbered(spark.read.text(path), "physical")
-    kept = text.filter(F.btrim("value", F.lit(" \t\r\n\x0b\x0c")) != "")
-    v = F.try_parse_json("value")
-    broken = v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    rows, v = explained(spark.read.text(path)), F.col("v")
     if strict:
         told = F.concat(F.lit("line "), F.col("physical").cast("string"), F.lit(": not a JSON object"))
-        v = F.when(broken, F.try_parse_json(F.raise_error(told).cast("string"))).otherwise(v)
-    else:
-        v = F.when(~broken, v)
-    return numbered(kept, "line").select("line", F.col("value").alias("raw"), v.alias("v"))
+        v = F.when(F.col("broken").isNotNull(), F.try_parse_json(F.raise_error(told).cast("string"))).otherwise(v)
+    return rows.select("line", "raw", v.alias("v"))
 
 
 def as_records(df: DataFrame, line: str = "line") -> DataFrame:
@@ -131,9 +150,32 @@ def content_hash(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), checked.alias("sha256"))
 
 
-def known_uploads(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Files whose content is already stored."""
-    return new.join(stored.select("sha256"), "sha256", "left_semi")
+def known_uploads(new: DataFrame, stored: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Files whose content is already stored; with ``runs`` (sha256, run_id) their earlier runs as well, in order."""
+    known = new.join(stored.select("sha256"), "sha256", "left_semi")
+    if runs is None:
+        return known
+    earlier = runs.groupBy("sha256").agg(F.sort_array(F.collect_set("run_id")).alias("previous_runs"))  # runs of one content
+    return known.join(earlier, "sha256", "left").withColumn("previous_runs", F.coalesce("previous_runs", F.array().cast(earlier.schema["previous_runs"].dataType)))
+
+
+def store_by_content(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Store files under ``target`` by the hash of their content, each content once: (path, size, sha256, is_new).
+
+    Staged and renamed as Spark commits a write: the rows (sha256, size, content) of a batch appear whole or not at all.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    hashed = content_hash(spark, path)
+    try:
+        stored = spark.read.parquet(target).select("sha256")
+    except AnalysisException as e:  # nothing was stored yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = hashed.select("sha256").limit(0)
+    new = settled(hashed.join(stored.distinct().withColumn("known", F.lit(True)), "sha256", "left").withColumn("is_new", F.col("known").isNull()).drop("known"))
+    first = new.filter("is_new").groupBy("sha256").agg(F.min("path").alias("path"))
+    files.join(first, "path").select("sha256", F.col("length").alias("size"), "content").write.mode("append").parquet(target)
+    return new.select("path", "size", "sha256", "is_new")
 
 
 def empty_records(spark: SparkSession) -> DataFrame:

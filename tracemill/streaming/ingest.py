@@ -2,7 +2,8 @@
 
 Spark's checkpoint remembers which files were taken; a batch that is repeated after a failure overwrites its
 own folder, so its rows are stored once. Sessions that later files extend are found by their natural key.
-Lines that are no JSON are stored as rejected issues with their text and file.
+Lines are numbered within their batch, blank ones left out. Lines that hold no JSON object are stored as rejected
+issues with their text and file.
 """
 
 from __future__ import annotations
@@ -15,18 +16,21 @@ from tracemill.operators.merge import first_of_key
 from tracemill.operators.normalize import normalise
 from tracemill.plans.mapping import Mapping
 from tracemill.schema import TARGET_FIELDS
+from tracemill.sources.readers import explained, settled
 
 KEYS = {"session": ["external_id"], "model_call": ["session_key", "sequence_index"], "tool_call": ["session_key", "sequence_index"]}
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame, before: int) -> DataFrame:
-    """What earlier batches stored under path."""
-    try:
-        return spark.read.schema(like.withColumn("batch", F.lit(0).cast("long")).schema).parquet(path).filter(F.col("batch") < before).drop("batch")
-    except Exception as e:  # the first batch finds no folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return like.limit(0)
+def _known(spark: SparkSession, path: str, keys: list[str], new: DataFrame, before: int) -> DataFrame:
+    """Keys that earlier batches stored under path, in the range of the new rows' first key.
+
+    Batches are written in the order of their keys, so the range prunes files and row groups.
+    """
+    if before == 0:  # each batch writes its folder, so there is one from the second batch on
+        return new.select(*keys).limit(0)
+    low, high = new.agg(F.min(keys[0]), F.max(keys[0])).first()
+    stored = spark.read.schema(new.select(*keys).withColumn("batch", F.lit(0).cast("long")).schema).parquet(path)
+    return stored.filter((F.col("batch") < before) & F.col(keys[0]).between(low, high)).select(*keys)
 
 
 def ingest(spark: SparkSession, source: str, target: str, mapping: Mapping) -> StreamingQuery:
@@ -34,17 +38,15 @@ def ingest(spark: SparkSession, source: str, target: str, mapping: Mapping) -> S
     lines = spark.readStream.option("maxFilesPerTrigger", 16).text(source).select("value", F.col("_metadata.file_path").alias("file"))
 
     def load(batch: DataFrame, number: int) -> None:
-        v = F.try_parse_json("value")
-        records = batch.filter(F.btrim("value", F.lit(" \t\r\n")) != "").select(F.monotonically_increasing_id().alias("line"), v.alias("v"), "value", "file")
-        n = normalise(records.filter("v IS NOT NULL").select("line", "v"), mapping)
-        told = {"target": F.lit("record"), "severity": F.lit("rejected"), "code": F.lit("INVALID_JSON"), "field_path": F.lit(None).cast("string"), "rows": F.lit(1).cast("long")}
-        broken = records.filter("v IS NULL").select("line", *[c.alias(k) for k, c in told.items()], F.col("value").alias("raw"), "file")
+        records = explained(batch)
+        n = normalise(records.filter("broken IS NULL").select("line", "v"), mapping)
+        told = {"target": F.lit("record"), "severity": F.lit("rejected"), "code": F.col("broken"), "field_path": F.lit(None).cast("string"), "rows": F.lit(1).cast("long")}
+        broken = records.filter("broken IS NOT NULL").select("line", *[c.alias(k) for k, c in told.items()], "raw", "file")
         for name, df in (("session", n.session), ("model_call", n.model_call), ("tool_call", n.tool_call)):
             own = df.select("line", "source_index", *[c for c in ("session_key",) if c in df.columns], *TARGET_FIELDS[name])
-            first, _ = first_of_key(own, KEYS[name], ["line", "source_index"])
-            known = _stored(spark, f"{target}/{name}", own, number).select(*KEYS[name])
-            new = first.join(known, KEYS[name], "left_anti")
-            new.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+            first = settled(first_of_key(own, KEYS[name], ["line", "source_index"])[0])
+            new = first.join(_known(spark, f"{target}/{name}", KEYS[name], first, number), KEYS[name], "left_anti")
+            new.sortWithinPartitions(*KEYS[name]).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
         n.issues.unionByName(broken, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/issue/batch={number}")
 
     return lines.writeStream.foreachBatch(load).option("checkpointLocation", f"{target}/_checkpoint").trigger(availableNow=True).start()
