@@ -63,6 +63,10 @@ def test_other_operators(spark):
 
 
 def test_linear_time_expression(spark):
+    assert run(spark, lambda v: values.regex_extract(v, r"(?P<y>\d+)-(\d+)", 1), "2024-05") == [("2024", None)]
+    assert run(spark, lambda v: values.regex_extract(v, r"(?P<g>\d+)-(?P<m>\d+)", 2), "2024-05") == [("05", None)]
+    assert run(spark, lambda v: values.regex_extract(v, r"[](]x(\d)", 1), "]x7", "(x8") == [("7", None), ("8", None)]
+    assert run(spark, lambda v: values.regex_extract(v, r"[^]a](?:b)(c)", 1), "]bc", "zbc") == [(None, None), ("c", None)]
     assert run(spark, lambda v: values.regex_extract(v, r"(a+)+$"), "a" * 5000 + "!") == [(None, None)]
 
 
@@ -241,6 +245,58 @@ def test_stream_keeps_lines_that_are_no_json(spark, tmp_path):
     assert spark.read.parquet(str(target / "session")).count() == 2
 
 
+def test_stream_numbers_and_explains_every_broken_line(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    lines = [json.dumps(GOOD[0]), '{"cut": ', "", "[1]", "NaN", json.dumps(GOOD[1]), "7"]
+    (source / "1.jsonl").write_text("\n".join(lines))
+    ingest(spark, str(source), str(target), MAPPING).awaitTermination()
+    bad = {r["raw"]: (r["line"], r["code"]) for r in spark.read.parquet(str(target / "issue")).filter("target = 'record'").collect()}
+    assert bad == {'{"cut": ': (2, "INVALID_JSON"), "[1]": (3, "NOT_AN_OBJECT"), "NaN": (4, "INVALID_JSON"), "7": (6, "NOT_AN_OBJECT")}
+    assert sorted(r["line"] for r in spark.read.parquet(str(target / "session")).collect()) == [1, 5]
+
+
+def test_lines_are_numbered_over_many_partitions(spark, tmp_path):
+    path = tmp_path / "many"
+    texts = [json.dumps({"i": i}) if i % 3 else "" for i in range(300)]
+    spark.createDataFrame([(t,) for t in texts], "value string").repartition(1).coalesce(1).write.text(str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256)
+    try:
+        got = readers.explained(spark.read.text(str(path))).collect()
+        assert len({r["physical"] for r in got}) == 200 and spark.read.text(str(path)).rdd.getNumPartitions() > 3
+        assert [(r["line"], texts[r["physical"] - 1]) for r in sorted(got, key=lambda r: r["line"])] == [(k + 1, t) for k, t in enumerate(t for t in texts if t)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_scan_of_the_records(spark):
+    from tests.test_catalog import SF
+    from tracemill.plans import traces
+
+    for name, scans in (("normalisation_issues", 2), ("import_report", 2), ("fields_missing", 2), ("file_profile", 2), ("merge_accounting", 2)):
+        text = traces.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Relation [") == scans, name  # records are made of two tables
+
+
+def test_contents_are_stored_once(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "kept")
+    source.mkdir()
+    for name, text in (("a", "x"), ("b", "x"), ("c", "y")):
+        (source / name).write_text(text)
+    first = readers.store_by_content(spark, str(source), target).collect()
+    assert all(r["is_new"] for r in first) and spark.read.parquet(target).count() == 2
+    (source / "d").write_text("z")
+    again = {r["path"][-1]: r["is_new"] for r in readers.store_by_content(spark, str(source), target).collect()}
+    assert again == {"a": False, "b": False, "c": False, "d": True} and spark.read.parquet(target).count() == 3
+    runs = spark.createDataFrame([(r["sha256"], i) for i, r in enumerate(first)], "sha256 string, run_id int")
+    known = readers.known_uploads(readers.content_hash(spark, str(source)), spark.read.parquet(target), runs)
+    assert {r["path"][-1]: len(r["previous_runs"]) for r in known.collect()} == {"a": 2, "b": 2, "c": 1, "d": 0}
+
+
+def test_bytes_are_never_decoded():
+    assert redact.sanitize([b"secret", "a@b.org"]) == ["[BINARY:6 bytes]", "[REDACTED_EMAIL]"]
+
+
 def test_stream_counts_days(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "e"))
     schema = spark.read.parquet(str(tmp_path / "e")).schema

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Marker and limits.
 MARKER = "…[truncated]"
 MAX_LENGTH, MAX_DEPTH, MAX_ITEMS, MAX_RECORDS = 200, 20, 20, 50
 
@@ -35,21 +37,34 @@ RULES = (
     (r"(/(?:home|Users)/)[^/\s\"']{1,64}", "$1[USER]"),
     (r"([A-Za-z]:\\Users\\)[^\\\s\"']{1,64}", "$1[USER]"),
 )
-#: A mail address, or an address with the path of a git remote, which stays.
+# A mail address, or an address with the path of a git remote, which stays.
 _REMOTE = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}[:/][A-Za-z0-9._/~-]{1,200}\.git"
 _MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}"
 _MAIL_AT = 13  # the mail rule runs before the home paths
 
 
+#: For each rule a cheap pattern without which its own cannot match.
+HINTS = ("PRIVATE KEY-----", "PRIVATE KEY-----", "://", r"[=:]\s{0,4}[\"']?[^\s\"',;]{8}", "eyJ", "sk-", "gh[pousr]_", "github_pat_", "A[KS]IA", "AIza", "xox[abprs]-", r"(?i)bearer\s", r"(?i)basic\s", "/home/|/Users/", r":\\Users\\")
+
+
+def _where(c: Column, hint: str, change: Callable[[Column], Column]) -> Column:
+    """c changed where the hint is found; c is bound once, however often the change refers to it."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(hint), change(x)).otherwise(x)), 0)
+
+
+def _without_mail(c: Column) -> Column:
+    """An alternation keeps a remote as it is: group 1 holds it, else the address goes."""
+    c = F.regexp_replace(c, f"({_REMOTE})|{_MAIL}", "$1\u0001")
+    c = F.regexp_replace(c, r"(?<=\.git)\x01", "")
+    return F.replace(c, F.lit("\u0001"), F.lit("[REDACTED_EMAIL]"))
+
+
 def redacted(c: Column) -> Column:
     """The text with every secret replaced."""
-    for i, (pattern, to) in enumerate(RULES):
+    for i, ((pattern, to), hint) in enumerate(zip(RULES, HINTS, strict=True)):
         if i == _MAIL_AT:
-            # an alternation keeps the remote as it is: group 1 holds it, else the address goes
-            c = F.regexp_replace(c, f"({_REMOTE})|{_MAIL}", "$1\u0001")
-            c = F.regexp_replace(c, r"(?<=\.git)\x01", "")
-            c = F.replace(c, F.lit("\u0001"), F.lit("[REDACTED_EMAIL]"))
-        c = F.regexp_replace(c, pattern, to)
+            c = _where(c, "@", _without_mail)
+        c = _where(c, hint, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
     return c
 
 
@@ -82,6 +97,8 @@ def sanitize(node: object, depth: int = 0) -> object:
     if isinstance(node, str):
         text = redact_text(node)
         return text if len(text) <= MAX_LENGTH else text[: MAX_LENGTH - len(MARKER)] + MARKER
+    if isinstance(node, (bytes, bytearray, memoryview)):  # never decoded
+        return f"[BINARY:{len(bytes(node))} bytes]"
     if isinstance(node, list):
         return [sanitize(x, depth + 1) for x in node[:MAX_ITEMS]]
     if not isinstance(node, dict):

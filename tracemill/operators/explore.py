@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.metrics import Filters, Tables, bounded, filtered_sessions, session_metrics
+from tracemill.operators.metrics import Filters, Tables, filtered_sessions, session_metrics
 
 PAGE, MAX_PAGE = 50, 200
 
@@ -40,6 +40,21 @@ def calls(children: DataFrame, session_id: int) -> DataFrame:
     return children.filter(F.col("session_id") == session_id).orderBy("sequence_index", "id")
 
 
+def session_detail(t: Tables, session_id: int) -> DataFrame:
+    """One session with its model and tool calls in order; no row where there is none. The filters reach the scans."""
+    out = t.session.filter(F.col("id") == session_id)
+    for name, children in (("model_calls", t.model_call), ("tool_calls", t.tool_call)):
+        row = F.struct("sequence_index", "id", *[c for c in children.columns if c not in ("sequence_index", "id")])
+        own = children.filter(F.col("session_id") == session_id).groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(row)).alias(name))
+        out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
+def record_detail(raw_record: DataFrame, record_id: int) -> DataFrame:
+    """One stored record; no row where there is none."""
+    return raw_record.filter(F.col("id") == record_id)
+
+
 def timeline(t: Tables, session_id: int | None = None) -> DataFrame:
     """Model and tool calls as one list: undated last, then time, sequence, type, id."""
     sides = []
@@ -62,11 +77,15 @@ def issues(import_issue: DataFrame, raw_record: DataFrame, run_id: int | None =
     return own.join(lines, "raw_record_id", "left").orderBy("id")
 
 
-def import_runs(import_run: DataFrame, data_source: DataFrame, statuses: tuple[str, ...] = ()) -> DataFrame:
-    """Runs with their source's name, newest first."""
+def import_runs(import_run: DataFrame, data_source: DataFrame, statuses: tuple[str, ...] = (), file_upload: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """Runs with the names of their source, file and mapping (with its version), newest first."""
     own = import_run.filter(F.col("status").isin(*statuses)) if statuses else import_run
-    names = data_source.select(F.col("id").alias("data_source_id"), F.col("name").alias("source_name"))
-    return own.join(bounded(names), "data_source_id", "left").orderBy(F.desc("created_at"), F.desc("id"))
+    own = own.join(data_source.select(F.col("id").alias("data_source_id"), F.col("name").alias("source_name")), "data_source_id", "left")
+    if file_upload is not None:
+        own = own.join(file_upload.select(F.col("id").alias("file_upload_id"), F.col("original_name").alias("file_name")), "file_upload_id", "left")
+    if mapping is not None:
+        own = own.join(mapping.select(F.col("id").alias("mapping_id"), F.col("name").alias("mapping_name"), F.col("version").alias("mapping_version")), "mapping_id", "left")
+    return own.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def latest_versions(mapping: DataFrame) -> DataFrame:

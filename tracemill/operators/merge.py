@@ -58,8 +58,22 @@ def unstored_lines(records: DataFrame, raw_record: DataFrame) -> DataFrame:
     return records.join(raw_record.select(F.col("line_number").alias("line")), "line", "left_anti")
 
 
-def outcome_counts(new: DataFrame, existing: DataFrame, repeats: DataFrame, repeats_count: bool) -> DataFrame:
-    """(outcome, n): new, existing and duplicate rows. A session repeated within a run is no duplicate, a call is."""
-    part = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("outcome"), "n")
-    duplicate = existing.select(F.lit(1)).unionAll(repeats.select(F.lit(1))) if repeats_count else existing.select(F.lit(1))
-    return part(new, "new").unionByName(part(existing, "existing")).unionByName(part(duplicate, "duplicate"))
+def outcome_counts(incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str], repeats_count: bool, sessions: DataFrame | None = None) -> DataFrame:
+    """(outcome, n): new, existing, duplicate and unlinked rows of a load, in one pass over it.
+
+    A session repeated within a run is no duplicate, a call is. With ``sessions`` (external_id, id) the rows whose
+    session_key is not stored are unlinked and nothing else.
+    """
+    linked = incoming.withColumn("__linked", F.lit(True))
+    if sessions is not None:
+        ids = sessions.select(F.col("external_id").alias("session_key"), F.lit(True).alias("__linked"))
+        linked = incoming.join(ids, "session_key", "left").withColumn("__linked", F.coalesce("__linked", F.lit(False)))
+    known = stored.select(*keys, F.lit(True).alias("__known"))
+    rank = F.row_number().over(Window.partitionBy("__linked", *keys).orderBy(*order))
+    rows = linked.withColumn("__rank", rank).join(known, keys, "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
+    own, first, old = F.col("__linked"), F.col("__rank") == 1, F.col("__known")
+    counted = {"new": own & first & ~old, "existing": own & first & old, "duplicate": own & ((first & old) | (F.lit(repeats_count) & ~first)), "unlinked": ~own}
+    if sessions is None:
+        del counted["unlinked"]
+    sums = rows.agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("outcome"), F.col(n).alias("n")) for n in counted])))

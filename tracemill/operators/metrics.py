@@ -48,12 +48,6 @@ class Filters:
         return {f.name: v for f in fields(self) if (v := getattr(self, f.name)) is not None}
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A dimension, marked for broadcast only where the optimiser's size estimate allows it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole as a double, null where whole is 0 or either is unknown."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
@@ -196,7 +190,7 @@ def tool_usage(t: Tables, f: Filters = Filters()) -> DataFrame:  # noqa: B008
         F.count_if(F.col("status").isin("ok", "error")).alias("status_known_count"),
     )
     names = t.tool.select(F.col("id").alias("tool_id"), F.col("name").alias("tool_name"))
-    named = counted.join(bounded(names), "tool_id")
+    named = counted.join((names), "tool_id")
     return named.select("tool_id", "tool_name", "data_source_id", "call_count", "error_count", "status_known_count").orderBy(F.desc("call_count"), "tool_name", "tool_id", "data_source_id")
 
 
@@ -215,7 +209,7 @@ def model_usage(t: Tables, f: Filters = Filters()) -> DataFrame:  # noqa: B008
     )
     names = t.model.select(F.col("id").alias("model_id"), F.col("name").alias("model_name"), "provider_id")
     makers = t.provider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
-    named = counted.join(bounded(names), "model_id", "left").join(bounded(makers), "provider_id", "left")
+    named = counted.join((names), "model_id", "left").join((makers), "provider_id", "left")
     order = [F.desc("call_count"), F.asc_nulls_last("model_name"), F.asc_nulls_last("model_id"), F.asc("data_source_id")]
     return named.select("model_id", "model_name", "provider_name", *[c for c in counted.columns if c != "model_id"]).orderBy(*order)
 

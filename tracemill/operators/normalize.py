@@ -256,6 +256,14 @@ def fields_missing(n: Normalised) -> DataFrame:
     return parts
 
 
+def preview_rejected(records: DataFrame, mapping: Mapping, limit: int = 20) -> DataFrame:
+    """(line, codes) of the first records that a load would turn away, whole or in part."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be 1 to 500")
+    n = normalise(records.orderBy("line").limit(limit), mapping)
+    return n.issues.filter("severity = 'rejected'").groupBy("line").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def preview(records: DataFrame, mapping: Mapping, limit: int = 20, shown: int = 5) -> tuple[DataFrame, DataFrame]:
     """(counts by entity, first rows of each entity as JSON) of the first records; nothing is written."""
     if not 1 <= limit <= 500:

@@ -1,14 +1,14 @@
 """Profiles of a source: for every leaf its types, null share, examples, bounds and distinct share.
 
-One aggregate over the rows at hand for all plain leaves; list leaves are opened one by one. Examples and
-counts are exact over the rows given; a sample is the caller's choice (``rows.limit(n)``).
+Every row becomes one list of (leaf, value) pairs, list elements included, which is counted by leaf and value.
+Examples and counts are exact over the rows given; a sample is the caller's choice (``rows.limit(n)``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,64 +31,69 @@ def type_name(t: T.DataType) -> str:
     return next((n for k, n in names.items() if isinstance(t, k)), "time" if "time" in t.simpleString() else "unknown")
 
 
-def leaves(schema: T.StructType, path: str = "$", name: str = "") -> Iterator[tuple[str, str, T.DataType]]:
-    """(path, column expression up to the first list, type) of every leaf; structs are walked."""
-    for f in schema.fields:
-        own = f"{name}.`{f.name}`" if name else f"`{f.name}`"
-        if isinstance(f.dataType, T.StructType):
-            yield from leaves(f.dataType, path + quote(f.name), own)
-        else:
-            yield path + quote(f.name), own, f.dataType
-
-
-def _measures(c: Column, t: T.DataType) -> Column:
-    numeric = isinstance(t, T.NumericType)
-    present = F.count(c)
-    bound = lambda f: (f(c).cast("string") if numeric else F.lit(None).cast("string"))
-    return F.struct(
-        F.count(F.lit(1)).alias("total"),
-        present.alias("present"),
-        ratio(F.count_distinct(c), present).alias("distinct_ratio"),
-        bound(F.min).alias("min"),
-        bound(F.max).alias("max"),
-    )
+Opened = Callable[[Column], Column]
 
 
-def _row(path: str, t: T.DataType, m: Column, examples: Column) -> Column:
-    missing = m["total"] - m["present"]
-    kind = F.lit(type_name(t))
-    types = F.when(m["present"] == 0, F.when(missing > 0, F.array(F.lit("null"))).otherwise(F.array(kind))).when(missing > 0, F.array(kind, F.lit("null"))).otherwise(F.array(kind))
-    return F.struct(
-        F.lit(path).alias("path"),
-        types.alias("types"),
-        F.coalesce(ratio(missing, m["total"]), F.lit(0.0)).alias("null_ratio"),
-        examples.alias("examples"),
-        m["min"].alias("min"),
-        m["max"].alias("max"),
-        m["distinct_ratio"].alias("distinct_ratio"),
-    )
+def leaves(t: T.DataType, path: str = "$") -> Iterator[tuple[str, T.DataType, Opened]]:
+    """(path, type, value -> its leaf values as text) of every leaf: structs are walked, lists are opened.
+
+    A list that is null or empty has one value, null. Binary values are told by their hexadecimal digits.
+    """
+    if isinstance(t, T.StructType):
+        for f in t.fields:
+            for own, kind, inner in leaves(f.dataType, path + quote(f.name)):
+                yield own, kind, lambda x, n=f.name, g=inner: g(x.getField(n))
+    elif isinstance(t, T.ArrayType):
+        nothing = F.array(F.lit(None).cast(t.elementType))
+        for own, kind, inner in leaves(t.elementType, path + "[]"):
+            yield own, kind, lambda x, g=inner, e=nothing: F.flatten(F.transform(F.when(F.size(x) > 0, x).otherwise(e), lambda y: g(y)))
+    else:
+        yield path, t, lambda x, binary=isinstance(t, T.BinaryType): F.array(F.hex(x) if binary else x.cast("string"))
+
+
+def _entries(number: int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(number).alias("leaf"), v.alias("value")))
 
 
 def profile(df: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per leaf: path, types, null_ratio, examples, min, max, distinct_ratio."""
-    position = F.col(order) if order else F.monotonically_increasing_id()
-    rows = df.withColumn("__at", position)
-    data = df.select(*[c for c in df.columns if c != order])
-    out = None
-    for path, name, t in leaves(data.schema):
-        own, column = rows, F.expr(name)
-        while isinstance(t, T.ArrayType):
-            own = own.select("__at", F.explode_outer(column).alias("item"))
-            column, t, path = F.col("item"), t.elementType, path + "[]"
-        inner = leaves(t, path, "item") if isinstance(t, T.StructType) else [(path, None, t)]
-        for p, n, kind in inner:
-            c = F.expr(n) if n else column
-            firsts = own.filter(c.isNotNull()).orderBy("__at").limit(EXAMPLES).agg(F.collect_list(sanitized(c.cast("string"))).alias("examples"))
-            measured = own.agg(_measures(c, kind).alias("m"))
-            both = measured.withColumn("k", F.lit(1)).join(firsts.withColumn("k", F.lit(1)), "k")
-            one = both.select(_row(p, kind, F.col("m"), F.col("examples")).alias("r")).select("r.*")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """One row per leaf: path, types, null_ratio, examples, min, max, distinct_ratio.
+
+    Two scans, however many leaves there are: one counts the values of all leaves, one takes the first examples.
+    """
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    data = T.StructType([f for f in df.schema.fields if f.name != order])
+    found = [(path, kind, g(F.struct(*[F.col(f"`{f.name}`") for f in data.fields]))) for path, kind, g in leaves(data)]
+    if not found:
+        return empty_profile(df.sparkSession)
+    own = df.select(at.alias("at"), F.explode(F.concat(*[_entries(i, c) for i, (_, _, c) in enumerate(found)])).alias("e")).select("at", "e.*")
+
+    of = lambda *kinds: F.col("leaf").isin(*[i for i, (_, k, _) in enumerate(found) if isinstance(k, kinds)])
+    number = F.struct(F.when(of(T.IntegralType), F.col("value").try_cast("long")), F.when(of(T.FractionalType, T.DecimalType), F.col("value").try_cast("double")))
+    rank = F.when(of(T.NumericType) & F.col("value").isNotNull(), number)
+    counts = own.groupBy("leaf", "value").agg(F.count("*").alias("n"))
+    measured = counts.groupBy("leaf").agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"), F.count("value").alias("distinct"),
+        F.min_by("value", rank).alias("min"), F.max_by("value", rank).alias("max"),
+    )
+
+    first = F.row_number().over(Window.partitionBy("leaf").orderBy("at"))
+    few = own.filter(F.col("value").isNotNull()).withColumn("k", first).filter(F.col("k") <= EXAMPLES)
+    shown = F.when(of(T.BinaryType), F.concat(F.lit("[BINARY:"), (F.length("value") / 2).cast("long").cast("string"), F.lit(" bytes]"))).otherwise(sanitized(F.col("value")))
+    examples = few.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", shown.alias("x")))).alias("examples"))
+
+    names = df.sparkSession.createDataFrame([(i, path, type_name(k)) for i, (path, k, _) in enumerate(found)], "leaf int, path string, kind string")
+    out = names.join(measured, "leaf", "left").join(examples, "leaf", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "present", "distinct")})
+    missing, present = F.col("total") - F.col("present"), F.col("present")
+    types = F.when((present == 0) & (missing > 0), F.array(F.lit("null"))).when(missing > 0, F.array("kind", F.lit("null"))).otherwise(F.array("kind"))
+    return out.select(
+        "path",
+        types.alias("types"),
+        F.coalesce(ratio(missing, F.col("total")), F.lit(0.0)).alias("null_ratio"),
+        F.coalesce(F.transform("examples", lambda e: e["x"]), F.array().cast("array<string>")).alias("examples"),
+        "min",
+        "max",
+        ratio(F.col("distinct"), present).alias("distinct_ratio"),
+    )
 
 
 def record_count(df: DataFrame) -> DataFrame:

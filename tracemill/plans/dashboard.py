@@ -76,10 +76,25 @@ def _drill_down(t):
     return points.select("*", replay["date_from"].alias("date_from"), replay["date_to"].alias("date_to"))
 
 
-def _calls_of_page(t):
-    ids = t.session.orderBy("id").limit(100).select(F.col("id").alias("session_id"))
-    few = metrics.Tables(t.session, t.model_call.join(ids, "session_id", "left_semi"), t.tool_call.join(ids, "session_id", "left_semi"))
-    return explore.timeline(few)
+def _session_detail(spark, sf_dir):
+    """The look at one session, its calls by their ids in order."""
+    t = explore.session_detail(tables(spark, sf_dir), 7)
+    ids = lambda c: F.transform(c, lambda x: x["id"]).alias(c)
+    return t.select("id", "external_id", "outcome", ids("model_calls"), ids("tool_calls"))
+
+
+def _record_detail(spark, sf_dir):
+    raw = bindings.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("line_number"), F.col("o_orderstatus").alias("raw"))
+    return explore.record_detail(raw, 7)
+
+
+def _runs_decorated(spark, sf_dir):
+    read = bindings.read
+    sources = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    files = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("original_name"))
+    mappings = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.col("p_size").alias("version"))
+    runs = bindings.import_runs(spark, sf_dir).withColumns({"file_upload_id": F.col("id") % 7 + 1, "mapping_id": F.col("id") % 5 * 1_000_000_000 + 1})
+    return explore.import_runs(runs, sources, (), files, mappings).select("id", "source_name", "file_name", "mapping_name", "mapping_version")
 
 
 def _issue_lines(spark, sf_dir):
@@ -134,10 +149,13 @@ QUERIES = {
     "drill_down": _on(_drill_down),
     "sessions_page": _on(_session_page),
     "sessions_total": _on(lambda t: explore.session_total(t, WINDOW)),
-    "timeline": _on(_calls_of_page),
+    "timeline": _on(explore.timeline),
     "timeline_all": _on(explore.timeline),
     "session_calls": _on(lambda t: explore.calls(t.model_call, 7)),
     "issues_with_lines": _issue_lines,
+    "session_detail": _session_detail,
+    "record_detail": _record_detail,
+    "import_runs_decorated": _runs_decorated,
     "import_run_list": _run_list,
     "oldest_pending": _on(lambda t: explore.oldest_pending(t.import_run)),
     "agent_survivors": _survivors,
@@ -185,14 +203,16 @@ ORACLES = {
     "sessions_page": _sql("SELECT sm.*, s.external_id, s.outcome FROM session_metrics sm JOIN session s ON s.id = sm.session_id WHERE {where} ORDER BY sm.started_at DESC NULLS LAST, sm.session_id DESC LIMIT 50 OFFSET 25", "window"),
     "sessions_total": _sql("SELECT count(*) AS total FROM session_metrics sm WHERE {where}", "window"),
     "timeline": SQL
-    + """, few AS (SELECT id FROM session ORDER BY id LIMIT 100)
-  SELECT 'model_call' AS type, id, session_id, sequence_index, started_at, status, model_id, CAST(NULL AS BIGINT) AS tool_id, input_tokens, output_tokens FROM model_call WHERE session_id IN (SELECT id FROM few)
-  UNION ALL SELECT 'tool_call', id, session_id, sequence_index, started_at, status, NULL, tool_id, NULL, NULL FROM tool_call WHERE session_id IN (SELECT id FROM few)""",
+    + """SELECT 'model_call' AS type, id, session_id, sequence_index, started_at, status, model_id, CAST(NULL AS BIGINT) AS tool_id, input_tokens, output_tokens FROM model_call
+  UNION ALL SELECT 'tool_call', id, session_id, sequence_index, started_at, status, NULL, tool_id, NULL, NULL FROM tool_call""",
     "timeline_all": SQL
     + """SELECT 'model_call' AS type, id, session_id, sequence_index, started_at, status, model_id, CAST(NULL AS BIGINT) AS tool_id, input_tokens, output_tokens FROM model_call
   UNION ALL SELECT 'tool_call', id, session_id, sequence_index, started_at, status, NULL, tool_id, NULL, NULL FROM tool_call""",
     "session_calls": SQL + "SELECT * FROM model_call WHERE session_id = 7",
     "issues_with_lines": SQL + "SELECT i.*, o_orderkey AS line_number FROM import_issue i LEFT JOIN orders ON o_orderkey = raw_record_id WHERE severity = 'warning'",
+    "session_detail": SQL + "SELECT id, external_id, outcome, coalesce((SELECT list(m.id ORDER BY sequence_index, m.id) FROM model_call m WHERE m.session_id = 7), []) AS model_calls, coalesce((SELECT list(c.id ORDER BY sequence_index, c.id) FROM tool_call c WHERE c.session_id = 7), []) AS tool_calls FROM session WHERE id = 7",
+    "record_detail": "SELECT o_orderkey AS id, o_custkey AS line_number, o_orderstatus AS raw FROM orders WHERE o_orderkey = 7",
+    "import_runs_decorated": SQL + "SELECT r.id, p.name AS source_name, s_name AS file_name, p_brand AS mapping_name, p_size AS mapping_version FROM import_run r LEFT JOIN provider p ON p.id = r.data_source_id LEFT JOIN supplier ON s_suppkey = r.id % 7 + 1 LEFT JOIN part ON p_partkey = r.id % 5 * 1000000000 + 1",
     "import_run_list": SQL + "SELECT r.id, status, p.name AS source_name, created_at FROM import_run r LEFT JOIN provider p ON p.id = r.data_source_id WHERE status IN ('partial', 'succeeded')",
     "oldest_pending": SQL + "SELECT * FROM import_run WHERE status = 'pending' ORDER BY created_at, id LIMIT 1",
     "agent_survivors": """WITH a AS (SELECT s_suppkey AS id, CAST(s_nationkey % 3 AS VARCHAR) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'v1' END AS version FROM supplier)
