@@ -398,6 +398,37 @@ def test_feistel_is_a_permutation(spark, n):
     assert sorted(r["position"] for r in df.collect()) == list(range(n))
 
 
+def own_feistel(x, n, seed):
+    """The permutation recomputed in plain integers: six rounds over a square, again while the number is outside."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    a = math.isqrt(n - 1) + 1
+
+    def mixed(value, i):
+        h = xxh64_intdigest(struct.pack("<q", value), 42)
+        for k in (seed, i):
+            h = xxh64_intdigest(struct.pack("<i", k), h)
+        return (h - (1 << 64) if h >> 63 else h) % a
+
+    while True:
+        left, right = divmod(x, a)
+        for i in range(feistel.ROUNDS):
+            left, right = right, (left + mixed(right, i)) % a
+        x = left * a + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 7, 500, 1_013])
+def test_shard_and_slot_can_be_computed_by_anyone(spark, n):
+    docs = docs_of(spark, [f"text {i % 50}" for i in range(n)], 10)
+    for r in feistel.feistel_shards(docs, 24, 20_240_601).collect():
+        position = own_feistel(r["doc_id"] - 10, n, 20_240_601)
+        assert (r["shard"], r["slot"]) == (position % 24, position // 24)
+
+
 def test_shards_are_even_and_gapless(spark, odd, none):
     docs = odd.unionByName(docs_of(spark, ["t"] * 200, 100)).unionByName(odd.limit(3))
     first = feistel.feistel_shards(docs, 24, 1).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
@@ -615,6 +646,55 @@ def test_graded_ratings_are_learnt(spark):
     assert mean[0] < mean[1] < mean[2]
 
 
+def test_the_fit_is_a_maximum_of_the_penalised_likelihood():
+    """Against the likelihood written out row by row: no step from the fitted parameters makes it clearly better."""
+    rng = np.random.default_rng(5)
+    n, m = 600, 12
+    truth = rng.normal(0, 1.5, m)
+    has = rng.random((n, m)) < 0.4
+    noise = np.log((u := rng.random(n)) / (1 - u))
+    grades = np.digitize(has @ truth + noise, [-1.0, 1.0])
+    flat = np.concatenate([np.flatnonzero(r) for r in has])
+    model = ordinal.fit(flat, has.sum(axis=1), grades)
+    assert model.index.tolist() == list(range(m))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(weight, cuts):
+        total = ordinal.PRIOR / 2 * float(weight @ weight)
+        for r, g in zip(has, grades, strict=True):
+            score = float(weight[r].sum())
+            high = sigmoid(cuts[g] - score) if g < 2 else 1.0
+            low = sigmoid(cuts[g - 1] - score) if g > 0 else 0.0
+            total -= math.log(high - low)
+        return total / n
+
+    best = loss(model.weight, model.thresholds)
+    for i in range(m):
+        for step in (-0.1, 0.1):
+            moved = model.weight.copy()
+            moved[i] += step
+            assert loss(moved, model.thresholds) > best - 1e-4
+    for i in range(2):
+        for step in (-0.1, 0.1):
+            moved = model.thresholds.copy()
+            moved[i] += step
+            assert loss(model.weight, moved) > best - 1e-4
+    assert np.corrcoef(model.weight, truth)[0, 1] > 0.95
+
+
+def test_scores_follow_the_formula(spark):
+    from tracemill.llm.ordinal import Features
+
+    docs = docs_of(spark, ["good words here", "vile thing!!", "", None])
+    used = np.unique(np.concatenate([Features().of(t) for t in ("good words here", "vile thing!!")]))
+    model = ordinal.Model(used, np.linspace(-1, 1, len(used)), np.array([-0.5, 0.75]))
+    weight, sigmoid = dict(zip(used.tolist(), model.weight.tolist(), strict=True)), lambda x: 1 / (1 + math.exp(-x))
+    for r, t in zip(sorted(ordinal.score(docs, model, ["doc_id"]).collect()), ["good words here", "vile thing!!", "", ""], strict=True):
+        s = sum(weight.get(x, 0.0) for x in Features().of(t).tolist())
+        tails = [1 - sigmoid(c - s) for c in model.thresholds]
+        assert math.isclose(r["tail_probability"], tails[1], abs_tol=1e-5) and math.isclose(r["expected_grade"], sum(tails), abs_tol=1e-5)
+
+
 def test_quality_without_ratings(spark, odd, none):
     ratings = spark.createDataFrame([], "doc_id long, grade int")
     model = ordinal.train(odd, ratings)

@@ -56,6 +56,8 @@ SKETCH_BITS = 20
 FREQUENT = 1_000
 #: The filter has 16 bits an id, but no more than this.
 FILTER_BITS = 1 << 26
+#: Bits of a posting's place in its prefix, which is a fifth of the document's shingles and a few more.
+PLACE_BITS = 24
 #: Bitmaps: a short one that travels with postings, a wide one for pairs.
 BITMAP_LONGS, WIDE_LONGS = 4, 32
 #: Classes that a task remembers having posted.
@@ -202,14 +204,14 @@ def _counter(table: dict[int, int]) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int, key_of: Keys, frequent: int) -> DataFrame:
-    """Pass 2: (shingle, key, size, most, alone) for each prefix shingle; size is 8 n + matches, most the largest partner's
-    size, alone marks a frequent shingle by the key."""
+    """Pass 2: (shingle, key, size, alone) for each prefix shingle; size holds n, the required matches and the place in the
+    prefix in one number (see _unpacked), alone marks a frequent shingle by the key."""
 
     def make():
         counts, seen = _counter(table), set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            shingles, keys, sizes, most, alone = [], [], [], [], []
+            shingles, keys, sizes, alone = [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 if not len(s):
                     continue
@@ -220,19 +222,23 @@ def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int,
                     seen.clear()
                 seen.add(key)
                 p, f, matches = prefix_of(s, counts, percent)
-                top = largest_partner(len(s), np.arange(len(p)), percent)
-                k = int(np.searchsorted(-top * 100, -percent * len(s), "right"))  # later places fit nobody
+                places = np.arange(len(p))
+                k = int(np.searchsorted(-largest_partner(len(s), places, percent) * 100, -percent * len(s), "right"))  # later places fit nobody
                 shingles.append(p[:k])
                 keys.append(np.full(k, key, np.int64))
-                sizes.append(np.full(k, 8 * len(s) + matches, np.int64))
-                most.append(top[:k])
+                sizes.append((8 * len(s) + matches << PLACE_BITS) + places[:k])
                 alone.append(np.where(f[:k] >= frequent, key, 0))
             if keys:
-                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "size": np.concatenate(sizes), "most": np.concatenate(most), "alone": np.concatenate(alone)}
+                yield {"shingle": np.concatenate(shingles).view(np.int64), "key": np.concatenate(keys), "size": np.concatenate(sizes), "alone": np.concatenate(alone)}
 
         return work
 
-    return _mapped(docs.select("text"), make, "shingle long, key long, size long, most long, alone long")
+    return _mapped(docs.select("text"), make, "shingle long, key long, size long, alone long")
+
+
+def _unpacked(size: Column) -> tuple[Column, Column, Column]:
+    """(n, matches, place) of a posting; they take least room in a shuffle as one number, which also sorts by n."""
+    return F.shiftright(size, PLACE_BITS + 3), F.shiftright(size, PLACE_BITS) % 8, size.bitwiseAND((1 << PLACE_BITS) - 1)
 
 
 def _shared(posts: DataFrame, percent: int) -> DataFrame:
@@ -245,20 +251,24 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
     """
     same = Window.partitionBy("shingle", "alone")
     by_size = same.orderBy("size", "key")
-    n = lambda c: F.floor(c / 8)
+    n = lambda c: _unpacked(c)[0]
+    own, matches, place = _unpacked(F.col("size"))
+    most = F.floor((own - place + (MAX_MATCH - 1)) * (100 + percent) / percent) - own
     seen = posts.select(
         "*",
+        matches.cast("int").alias("matches"),
+        most.alias("most"),
         F.min("key").over(same).alias("low"),
         F.max("key").over(same).alias("high"),
-        F.min(F.col("size") % 8).over(same).alias("least"),
-        F.max("most").over(same).alias("top"),
+        F.min(matches.cast("int")).over(same).alias("least"),
+        F.max(most).over(same).alias("top"),
         F.lag("size").over(by_size).alias("smaller"),
         F.lead("size").over(by_size).alias("larger"),
     )
     fits = (n(F.col("smaller")) * 100 >= n(F.col("size")) * percent) | (n(F.col("size")) * 100 >= n(F.col("larger")) * percent)
     fits = fits & (F.col("top") >= n(F.col("size")))
     kept = seen.filter((F.col("alone") != 0) | ((F.col("low") != F.col("high")) & F.coalesce(fits, F.lit(False))))
-    kept = kept.select("shingle", "key", (F.col("size") % 8).cast("int").alias("matches"), "most", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
+    kept = kept.select("shingle", "key", "matches", "most", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
     kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.max("most").alias("most"), F.min("least").alias("least")), "shared")
     enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
     found = stored(kept.select("shingle", "key", "matches", "most").join(enough, "key", "left_semi"), "postings")
