@@ -93,6 +93,11 @@ def latest_versions(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("name").agg((F.max("version") + 1).alias("next_version"))
 
 
+def next_turns(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """The index that the next message of each conversation gets."""
+    return messages.groupBy(key).agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("next_turn"))
+
+
 def last_turns(messages: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last n messages of each conversation, in ascending order."""
     last = Window.partitionBy(key).orderBy(F.desc(order))

@@ -26,6 +26,11 @@ def daily_series(activity: DataFrame) -> DataFrame:
     return out.select("day", F.when(empty, 0).otherwise(F.col("tokens")).alias("tokens"), *[zero(c) for c in ("session_count", "model_call_count", "tool_call_count")]).orderBy("day")
 
 
+def call_tokens(model_call: DataFrame) -> DataFrame:
+    """Tokens of each call; null if either half is unknown."""
+    return model_call.select("id", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
+
+
 def client_session_tokens(model_call: DataFrame) -> DataFrame:
     """Tokens of a session over the calls that report either half, a missing half as 0; null if none reports."""
     known = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tracemill import bindings
 from tracemill.bindings import SQL, tables
-from tracemill.operators import explore, metrics, rollups
+from tracemill.operators import explore, metrics, profile, rollups
 from tracemill.operators.metrics import Filters
+from tracemill.plans import views
 
 WINDOW = Filters(date_from="1995-01-01 00:00:00", date_to="1996-12-31 00:00:00")
 SOURCE = Filters(data_source_id=7, status="completed")
@@ -107,6 +108,36 @@ def _run_list(spark, sf_dir):
     return explore.import_runs(bindings.import_runs(spark, sf_dir), sources, ("partial", "succeeded")).select("id", "status", "source_name", "created_at")
 
 
+def _orders(make):
+    return lambda spark, sf_dir: make(bindings.read(spark, sf_dir, "orders"))
+
+
+def _live(orders):
+    ends = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS"))
+    rows = orders.select(F.col("o_orderkey").alias("id"), ends.alias("expires_at"))
+    return explore.live_sessions(rows, datetime(1995, 6, 15)).select("id")
+
+
+def _preview_keys(spark, sf_dir):
+    k = F.col("n_nationkey")
+    row = F.to_json(F.struct(F.when(k >= 4, k).alias("c"), F.col("n_name").alias("a"), F.when(k % 2 == 1, k).alias("b")))
+    return rollups.row_keys(bindings.read(spark, sf_dir, "nation").select(k.alias("line"), row.alias("row")))
+
+
+def _map_totals(orders):
+    counts = F.create_map(F.lit("session"), F.col("o_orderkey"), F.lit("tool_call"), F.lit(2).cast("long"))
+    return rollups.map_total(orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, counts).otherwise(F.create_map().cast("map<string,bigint>")).alias("counts")), "counts").select("o_orderkey", "total")
+
+
+def _warnings(orders):
+    lists = F.array(F.array(F.lit("x"), F.col("o_orderstatus")), F.array(F.lit("y"), F.lit("x"), F.col("o_orderstatus")))
+    return rollups.distinct_warnings(orders.select(lists.alias("w")), "w")
+
+
+def _view(name):
+    return _on(lambda t: views.views(t)[name])
+
+
 def _survivors(spark, sf_dir):
     agents = bindings.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).cast("string").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("v1")).alias("version"))
     return explore.survivors(agents)
@@ -127,6 +158,17 @@ def _point_filters(t):
 
 
 QUERIES = {
+    "live_sessions": _orders(_live),
+    "latest_versions": lambda spark, sf_dir: explore.latest_versions(bindings.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("version"))),
+    "next_turns": lambda spark, sf_dir: explore.next_turns(bindings.read(spark, sf_dir, "conversations"), "conv_id", "turn"),
+    "record_count": _orders(profile.record_count),
+    "preview_keys": _preview_keys,
+    "map_totals": _orders(_map_totals),
+    "warnings_once": _orders(_warnings),
+    "call_total_tokens": _on(lambda t: rollups.call_tokens(t.model_call)),
+    "view_daily_activity": _view("v_daily_activity"),
+    "view_tool_usage": _view("v_tool_usage"),
+    "view_model_usage": _view("v_model_usage"),
     "session_metrics": _on(metrics.session_metrics),
     "overview": _on(metrics.overview),
     "overview_window": _on(lambda t: metrics.overview(t, WINDOW)),
@@ -171,6 +213,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "live_sessions": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' OR o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1995-06-15'",
+    "latest_versions": "SELECT p_brand AS name, max(p_size) + 1 AS next_version FROM part GROUP BY 1",
+    "next_turns": "SELECT conv_id, max(turn) + 1 AS next_turn FROM conversations GROUP BY 1",
+    "record_count": "SELECT count(*) AS record_count FROM orders",
+    "preview_keys": "SELECT ['a', 'b', 'c'] AS keys",
+    "map_totals": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 2 ELSE 0 END AS total FROM orders",
+    "warnings_once": "SELECT ['x', o_orderstatus, 'y'] AS warnings FROM orders",
+    "call_total_tokens": SQL + "SELECT id, input_tokens + output_tokens AS total_tokens FROM model_call",
     "session_metrics": SQL + "SELECT * FROM session_metrics",
     "overview": _sql(_OVERVIEW),
     "overview_window": _sql(_OVERVIEW, "window"),
@@ -239,3 +289,4 @@ ORACLES = {
     "recent_activity": SQL + "SELECT CAST(started_at AS DATE) AS day, data_source_id, count(*) AS session_count FROM session_metrics WHERE started_at IS NOT NULL GROUP BY 1, 2 ORDER BY 1 DESC, 2 LIMIT 5",
     "period_90d": SQL + "SELECT id, started_at FROM session WHERE started_at >= TIMESTAMP '1998-05-04'",
 }
+ORACLES |= {"view_daily_activity": ORACLES["activity"], "view_tool_usage": ORACLES["tool_usage"], "view_model_usage": ORACLES["model_usage"]}
