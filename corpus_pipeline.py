@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import fm_index, jaccard_join, ordinal, pii, piece_bpe
-from tracemill.llm.common import stored, table
+from tracemill.llm.common import dropped, stored, table
 from tracemill.llm.registry import KEEP_PROBABILITY
 
 ORACLE_SQL = None
@@ -86,7 +86,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        dropped(*before)
+        before = [docs]
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import derive, stored
+from tracemill.llm.common import derive, dropped, stored
 from tracemill.llm.words import plain_spans, plain_words
 
 WINDOW = 10
@@ -258,6 +258,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         hits = reduce(DataFrame.unionByName, more).distinct()  # equal rows have equal spans
         flat = lambda c: F.flatten(F.collect_list(c)).alias(f"more_{c}")
         hits = stored(hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(flat("spans"), flat("item_ids")), "spans")
+        dropped(*more)
         both = out.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("doc_id", "text") == F.col("hit_mark")), "left")
         spans = F.when(F.col("hit_mark").isNull(), F.col("spans")).otherwise(merged_spans(F.concat("spans", F.coalesce("more_spans", F.array().cast(SPANS)))))
         ids = F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("more_item_ids", F.array().cast("array<long>")))))

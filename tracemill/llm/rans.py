@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import bound_batches, derive, id_and_text, pieces, scratch_path, stored
+from tracemill.llm.common import bound_batches, derive, dropped, id_and_text, pieces, scratch_path, stored
 from tracemill.llm.piece_bpe import byte_characters
 
 #: Bytes of text that a part of the corpus has at most, about.
@@ -353,4 +353,5 @@ def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int, vocab_size: int
     path = path or scratch_path(docs.sparkSession, "rans")
     tokens = tokenised(id_and_text(docs, id_col, text_col), vocabulary, end_id)
     write_chunks(tokens, quantise(symbol_counts(tokens, vocab_size)), path)
+    dropped(tokens)
     return path

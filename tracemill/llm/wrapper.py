@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bound_batches, derive, pieces, stored
+from tracemill.llm.common import bound_batches, derive, dropped, pieces, stored
 
 #: Pages of a host that its wrapper is made of; distinct pages that a host must have.
 REFERENCES, LEAST = 6, 4
@@ -600,7 +600,9 @@ def induce(rows: DataFrame) -> DataFrame:
     constant = constant.groupBy("host", "key").agg(F.sort_array(F.collect_list("block")).alias("constant"))
     parts = drawn.join(constant, ["host", "key"], "left")
     own = F.when(F.col("constant").isNotNull(), F.struct("skeleton", "constant"))
-    return stored(parts.groupBy("host").agg(F.collect_list(own).alias("wrapper")), "wrappers")  # leaves out nulls
+    out = stored(parts.groupBy("host").agg(F.collect_list(own).alias("wrapper")), "wrappers")  # leaves out nulls
+    dropped(pages, drawn)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
