@@ -254,7 +254,8 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
     n = lambda c: _unpacked(c)[0]
     own, matches, place = _unpacked(F.col("size"))
     most = F.floor((own - place + (MAX_MATCH - 1)) * (100 + percent) / percent) - own
-    seen = posts.select(
+    # dealt out before the derived columns are made, which would travel with the rows otherwise
+    seen = posts.repartition("shingle", "alone").select(
         "*",
         matches.cast("int").alias("matches"),
         most.alias("most"),
