@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat_format, feistel, fm_index, gif_frames, jaccard_join, ordinal, pii, piece_bpe, rans, wrapper
+from tracemill.llm import chat_format, feistel, fm_index, gif_frames, jaccard_join, multi_index, ordinal, pii, piece_bpe, rans, spelling, whitening, wrapper
 from tracemill.llm.common import stored, table
 
 SHARDS, SHARD_SEED = 24, 20_240_601
 END_ID, WORD_VOCABULARY = 2, 49_408
 #: Documents whose probability of the best grade is lower are rejected.
 KEEP_PROBABILITY = 0.5
+#: Vectors whose id this divides are searched for; runs whose crc32 THIN divides lose a code point.
+ASK_EVERY, NEIGHBOURS, COMPONENTS, THIN = 50, 5, 32, 97
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_chat(turns)))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth, of all."""
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % ASK_EVERY == 0, NEIGHBOURS)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), COMPONENTS)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their variants one edit apart, form and root."""
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), thin=THIN))
+
+
 OP10_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -143,6 +160,9 @@ def queries() -> dict:
         "op8_ordinal": op8_ordinal,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_format": op10_chat_format,
+        "op11_multi_index": op11_multi_index,
+        "op12_whitening": op12_whitening,
+        "op13_spelling": op13_spelling,
     }
 
 
