@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.bindings import read
 from tracemill.functions import paths, redact, values
 from tracemill.functions.values import Value
-from tracemill.operators import merge, normalize, profile
+from tracemill.operators import load, merge, normalize, profile
 from tracemill.plans.mapping import Entity, Field, Mapping
 from tracemill.sources import readers
 
@@ -269,6 +269,69 @@ def _references_resolved(spark, sf_dir):
     return merge.get_or_create(p, stored, ["name", "version"]).groupBy("name").agg(F.count("*").alias("versions"), F.count_if(F.col("version").isNull()).alias("unversioned"))
 
 
+# -- a load as a whole -------------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> load.Stored:
+    """An earlier load: every fourth order, the calls of every eighth, all agents but one, the tools of even parts, no model."""
+    key, line = F.col("o_orderkey"), read(spark, sf_dir, "lineitem").filter("l_orderkey % 8 = 0")
+    sessions = read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select((key + 5_000_000).alias("id"), key.cast("string").alias("external_id"))
+    calls = lambda k: line.filter(F.col("l_linestatus") == k).select((F.col("l_orderkey") * 10).alias("id"), (F.col("l_orderkey") + 5_000_000).alias("session_id"), F.col("l_linenumber").alias("sequence_index")).distinct()
+    agents = read(spark, sf_dir, "orders").filter("o_orderpriority NOT LIKE '1%'").select(F.lit("agent").alias("kind"), F.col("o_orderpriority").alias("name"), F.substring("o_orderpriority", 1, 1).cast("long").alias("id")).distinct()
+    tools = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.lit("tool").alias("kind"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") + 100).alias("id"))
+    dimension = agents.unionByName(tools).select("kind", "name", F.lit(None).cast("string").alias("context"), "id")
+    return load.Stored(sessions, calls("F").limit(0), calls("O"), dimension)
+
+
+def _load(spark: SparkSession, sf_dir: str, **how) -> load.Loaded:
+    return load.load(order_records(spark, sf_dir), ORDER_MAPPING, _stored(spark, sf_dir), **how)
+
+
+def _facts_resolved(spark, sf_dir):
+    """Every fact of the orders against the names that are known, none of them created."""
+    rows = readers.settled(load.facts(_normalised(spark, sf_dir)))
+    found = load.resolve(rows, _stored(spark, sf_dir).dimension, load.requested(rows))
+    return found.select("target", "line", "source_index", "kind", "name", "context", "ref_id")
+
+
+def _facts_created(spark, sf_dir):
+    """The same with an entry for every name: how ids of stored and new names lie, by kind."""
+    rows, stored = readers.settled(load.facts(_normalised(spark, sf_dir))), _stored(spark, sf_dir).dimension
+    names = load.requested(rows)
+    found = load.resolve(rows, load.grow(stored, names), names).filter("name IS NOT NULL")
+    old = stored.select(F.col("kind").alias("k"), F.col("name").alias("own"), F.col("id").alias("old_id"))
+    met = found.join(old, (F.col("k") == F.col("kind")) & (F.col("own") == F.col("name")), "left")
+    new = F.when(F.col("old_id").isNull(), F.col("ref_id"))
+    return met.groupBy("kind").agg(
+        F.count("*").alias("facts"), F.count_if(F.col("ref_id") == F.col("old_id")).alias("kept"), F.count_distinct("ref_id").alias("ids"),
+        F.count_distinct("ref_id", "name", F.coalesce("context", F.lit(""))).alias("pairs"), F.min(new).alias("first_new"), F.max(new).alias("last_new"),
+    )
+
+
+def _import_outcome(spark, sf_dir):
+    return _load(spark, sf_dir, create=False).report
+
+
+def _import_issues(spark, sf_dir):
+    i = _load(spark, sf_dir, create=False).issues
+    return i.groupBy("target", "severity", "code", "field_path").agg(F.sum("rows").alias("rows"), F.count_distinct("line").alias("lines"))
+
+
+def _import_retried(spark, sf_dir):
+    """A second attempt of a run whose first one had stored the records of every third line."""
+    done = read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("line_number"))
+    return _load(spark, sf_dir, create=True, done=done).report
+
+
+def _imported_calls(spark, sf_dir):
+    """New tool calls with the ids they are stored under: session and tool by number, ids dense after the stored ones."""
+    out, stored = _load(spark, sf_dir), _stored(spark, sf_dir)
+    largest = lambda df: df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    top, sessions = largest(stored.tool_call), largest(stored.session)
+    rows = out.tool_call.join(out.dimension.filter("kind = 'tool'").select(F.col("id").alias("tool_id"), "name"), "tool_id")
+    return rows.groupBy((F.col("session_id") <= sessions).alias("stored_session"), F.col("name").cast("long").alias("part")).agg(F.count("*").alias("calls"), F.count_if(F.col("tool_id") == F.col("name").cast("long") + 100).alias("old_ids"), (F.min("id") > top).alias("after"), F.count_distinct("id").alias("ids"))
+
+
 # -- profile and redaction ---------------------------------------------------------------------------
 
 
@@ -368,7 +431,6 @@ QUERIES = {
     "normalisation_issues": _issues,
     "import_report": _report,
     "fields_missing": _fields_missing,
-    "fields_missing_all": _fields_missing,
     "reference_requests": _references,
     "import_preview": _preview,
     "import_preview_rows": _preview_rows,
@@ -382,6 +444,12 @@ QUERIES = {
     "merge_again": _merge_again,
     "merge_first_wins": _merge_first,
     "references_resolved": _references_resolved,
+    "facts_resolved": _facts_resolved,
+    "facts_created": _facts_created,
+    "import_outcome": _import_outcome,
+    "import_outcome_issues": _import_issues,
+    "import_retried": _import_retried,
+    "imported_tool_calls": _imported_calls,
     "file_profile": _profile,
     "file_profile_lists": _profile_lists,
     "redacted_by_hand": _redacted_by_hand,
@@ -423,7 +491,53 @@ def _redaction_sql() -> str:
     return f"SELECT doc_id, {sql} AS text FROM documents"
 
 
+# Facts of the orders, with the stored id that their name has.
+_FACTS = (
+    _ORD
+    + """, f AS (
+  SELECT 'session' AS target, o_orderkey AS line, 0 AS source_index, 'agent' AS kind, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS name, CAST(NULL AS VARCHAR) AS context,
+         CASE WHEN o_orderkey % 13 <> 0 AND o_orderpriority NOT LIKE '1%' THEN CAST(left(o_orderpriority, 1) AS BIGINT) END AS ref_id, o_orderkey AS seq FROM good
+  UNION ALL SELECT 'model_call', l_orderkey, idx, 'model', l_suppkey || '-' || l_returnflag, 'unknown', NULL, idx FROM mc JOIN good ON o_orderkey = l_orderkey
+  UNION ALL SELECT 'tool_call', l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, t NULLS FIRST, l_extendedprice, l_shipdate) - 1, 'tool', CAST(l_partkey AS VARCHAR), NULL,
+         CASE WHEN l_partkey % 2 = 0 THEN l_partkey + 100 END, l_linenumber
+    FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity) AS BIGINT) END AS t FROM tc) JOIN good ON o_orderkey = l_orderkey) """
+)
+
+
+def _import_sql(tools: str, done: str) -> str:
+    """Facts that are stored (n = 1: the first with their key), and known, those with a key that was stored before."""
+    return (
+        _FACTS
+        + f""", g AS (SELECT *, row_number() OVER (PARTITION BY target, line, seq ORDER BY line, source_index) AS n,
+    CASE target WHEN 'session' THEN line % 4 = 0 WHEN 'tool_call' THEN line % 8 = 0 ELSE FALSE END AS known FROM f WHERE ({tools}) AND ({done})),
+  sums AS (SELECT count(*) FILTER (n = 1 AND NOT known) AS imported, count(*) FILTER (n > 1 OR known) AS duplicate FROM g) """
+    )
+
+
 ORACLES = {
+    "facts_resolved": _FACTS + "SELECT target, line, source_index, kind, name, context, ref_id FROM f",
+    "facts_created": _FACTS
+    + """, top AS (SELECT 'agent' AS kind, 5 AS top UNION ALL SELECT 'tool', (SELECT max(p_partkey) FILTER (p_partkey % 2 = 0) + 100 FROM part) UNION ALL SELECT 'model', 0),
+  k AS (SELECT kind, count(*) AS facts, count(ref_id) AS kept, count(DISTINCT name) AS ids, count(DISTINCT name) FILTER (ref_id IS NULL) AS fresh FROM f WHERE name IS NOT NULL GROUP BY 1)
+  SELECT kind, facts, kept, ids, ids AS pairs, top + 1 AS first_new, top + fresh AS last_new FROM k JOIN top USING (kind)""",
+    "import_outcome": _import_sql("target <> 'tool_call' OR ref_id IS NOT NULL", "TRUE")
+    + """SELECT (SELECT count(*) FROM o) AS records_read, imported AS records_imported, duplicate AS records_duplicate,
+    (SELECT count(DISTINCT line) FROM (SELECT o_orderkey AS line FROM o WHERE no_key OR weird UNION ALL SELECT line FROM f WHERE target = 'tool_call' AND ref_id IS NULL)) AS records_rejected, 'partial' AS status FROM sums""",
+    "import_outcome_issues": _import_sql("target <> 'tool_call' OR ref_id IS NOT NULL", "TRUE")
+    + """SELECT 'session' AS target, 'rejected' AS severity, 'MISSING_REQUIRED_FIELD' AS code, 'entities[target=session].fields[target=external_id]' AS field_path, count(*) AS rows, count(*) AS lines FROM o WHERE no_key
+  UNION ALL SELECT 'session', 'rejected', 'ENTITY_CONSTRUCTION_FAILED', NULL, count(*), count(*) FROM o WHERE weird AND NOT no_key
+  UNION ALL SELECT 'model_call', 'rejected', 'PARENT_SESSION_MISSING', NULL, count(*), count(DISTINCT l_orderkey) FROM mc JOIN o ON o_orderkey = l_orderkey WHERE no_key OR weird
+  UNION ALL SELECT 'tool_call', 'rejected', 'PARENT_SESSION_MISSING', NULL, count(*), count(DISTINCT l_orderkey) FROM tc JOIN o ON o_orderkey = l_orderkey WHERE no_key OR weird
+  UNION ALL SELECT target, CASE target WHEN 'tool_call' THEN 'rejected' ELSE 'warning' END, 'REFERENCE_UNRESOLVED',
+    CASE target WHEN 'session' THEN 'entities[target=session].fields[target=agent_name]' WHEN 'model_call' THEN 'entities[target=model_call].fields[target=model_name]' ELSE 'entities[target=tool_call].fields[target=tool_name]' END,
+    count(*), count(DISTINCT line) FROM f WHERE name IS NOT NULL AND ref_id IS NULL GROUP BY target
+  UNION ALL SELECT NULL, 'duplicate', 'ALREADY_IMPORTED', NULL, duplicate, 0 FROM sums WHERE duplicate > 0""",
+    "import_retried": _import_sql("TRUE", "line % 3 <> 0")
+    + """SELECT (SELECT count(*) FROM o WHERE o_orderkey % 3 <> 0) AS records_read, imported AS records_imported, duplicate AS records_duplicate,
+    (SELECT count(*) FROM o WHERE (no_key OR weird) AND o_orderkey % 3 <> 0) AS records_rejected, 'partial' AS status FROM sums""",
+    "imported_tool_calls": _import_sql("TRUE", "TRUE")
+    + """SELECT line % 4 = 0 AS stored_session, CAST(name AS BIGINT) AS part, count(*) AS calls, count(ref_id) AS old_ids, TRUE AS after, count(*) AS ids
+  FROM g WHERE target = 'tool_call' AND n = 1 AND NOT known GROUP BY 1, 2""",
     "path_resolve": _EV + "SELECT event_id, CAST(k AS VARCHAR) AS value FROM ev",
     "path_null": _EV + "SELECT event_id, CAST(NULL AS VARCHAR) AS value FROM ev",
     "path_iterate_nested": _EV
@@ -476,7 +590,6 @@ ORACLES = {
     + """SELECT (SELECT count(*) FROM o) AS records_read, (SELECT count(*) FROM good) AS records_imported, 0 AS records_duplicate,
   (SELECT count(*) FROM o WHERE no_key OR weird) AS records_rejected, 'partial' AS status""",
     "fields_missing": _MISSING,
-    "fields_missing_all": _MISSING,
     "reference_requests": _ORD
     + """SELECT DISTINCT 'agent' AS kind, o_orderpriority AS name, CAST(NULL AS VARCHAR) AS provider_name FROM good WHERE o_orderkey % 13 <> 0
   UNION ALL SELECT DISTINCT 'model', l_suppkey || '-' || l_returnflag, NULL FROM mc JOIN good ON o_orderkey = l_orderkey
