@@ -1,16 +1,18 @@
 """Redaction of secrets and personal marks in text, and bounding of its length.
 
-Ordered rules of fixed, bounded patterns, so they run inside the JVM; a rule with a condition is split into
-patterns that carry the condition.
+Ordered rules of fixed, bounded patterns. As columns they run inside the JVM; strings within JSON, which have no
+columns of their own, go through Arrow's linear-time engine, all strings of a batch at once. Both take time linear
+in the text: the only unbounded rule, from a key's header to its end, is tried only as far as the last end.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,21 @@ _MAIL_AT = 13  # the mail rule runs before the home paths
 HINTS = ("PRIVATE KEY-----", "PRIVATE KEY-----", "://", r"[=:]\s{0,4}[\"']?[^\s\"',;]{8}", "eyJ", "sk-", "gh[pousr]_", "github_pat_", "A[KS]IA", "AIza", "xox[abprs]-", r"(?i)bearer\s", r"(?i)basic\s", "/home/|/Users/", r":\\Users\\")
 
 
+#: All up to the last end of a key. Beyond it no header has an end, and up to it each one meets its end, so
+#: a header's search never runs over text that is searched again.
+_TO_LAST_END = r"(?s)^(.*-----END [A-Z ]{0,32}PRIVATE KEY-----)"
+
+
+def _without_keys(c: Column) -> Column:
+    head = F.regexp_extract(c, _TO_LAST_END, 1)
+    return F.concat(F.regexp_replace(head, *RULES[0]), F.substr(c, F.char_length(head) + 1))
+
+
+def _once(pattern: str) -> str:
+    """The pattern for the JVM's engine: a run before a dot, which no run holds, is never tried again shorter."""
+    return pattern.replace(r"{10,512}\.", r"{10,512}+\.")
+
+
 def _where(c: Column, hint: str, change: Callable[[Column], Column]) -> Column:
     """c changed where the hint is found; c is bound once, however often the change refers to it."""
     return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(hint), change(x)).otherwise(x)), 0)
@@ -64,7 +81,7 @@ def redacted(c: Column) -> Column:
     for i, ((pattern, to), hint) in enumerate(zip(RULES, HINTS, strict=True)):
         if i == _MAIL_AT:
             c = _where(c, "@", _without_mail)
-        c = _where(c, hint, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
+        c = _where(c, hint, _without_keys if i == 0 else lambda x, p=_once(pattern), t=to: F.regexp_replace(x, p, t))
     return c
 
 
@@ -81,38 +98,82 @@ def sanitized(c: Column, most: int = MAX_LENGTH) -> Column:
     return bounded(redacted(c), most)
 
 
-def redact_text(text: str) -> str:
-    """The same rules for one string, for values inside JSON."""
-    for i, (pattern, to) in enumerate(RULES):
+def _token(scheme: str, own: str, letters: str, least: int) -> str:
+    """A rule's look-ahead spelt out: 24 characters or more, or at least ``least`` of which one is a digit."""
+    short = [f"{letters}{{{k}}}[0-9]{own}{{{least - 1 - k},512}}" for k in range(least - 1)]
+    return f"(?i:{scheme})\\s{{1,4}}(?:{own}{{24,512}}|{'|'.join(short)}|{letters}{{{least - 1},22}}[0-9]{own}{{0,512}})"
+
+
+#: The rules for an engine without look-ahead.
+_LINEAR = [(_token("bearer", "[A-Za-z0-9._-]", "[A-Za-z._-]", 8) if "(?i:bearer)" in p else _token("basic", "[A-Za-z0-9+/=]", "[A-Za-z+/=]", 12) if "(?i:basic)" in p else p, to.replace("$", "\\")) for p, to in RULES]
+
+
+def redact_all(texts: pa.Array) -> pa.Array:
+    """The same rules for an array of strings; nulls stay."""
+    for i, (pattern, to) in enumerate(_LINEAR):
         if i == _MAIL_AT:
-            text = re.sub(f"({_REMOTE})|{_MAIL}", lambda m: m[1] or "[REDACTED_EMAIL]", text)
-        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), text)
-    return text
+            texts = pc.replace_substring_regex(texts, f"({_REMOTE})|{_MAIL}", "\\1\x01")
+            texts = pc.replace_substring(pc.replace_substring(texts, ".git\x01", ".git"), "\x01", "[REDACTED_EMAIL]")
+        texts = pc.replace_substring_regex(texts, pattern, to)
+    return texts
+
 
+def redact_text(text: str) -> str:
+    """The same rules for one string."""
+    return redact_all(pa.array([text], pa.string()))[0].as_py()
 
-def sanitize(node: object, depth: int = 0) -> object:
-    """A JSON value with redacted and bounded strings, depth and list lengths; names made equal are numbered."""
+
+def _strings(node: object, depth: int = 0) -> Iterator[str]:
+    """Names and strings of a JSON value that sanitizing keeps, in order."""
+    if depth > MAX_DEPTH:
+        return
+    if isinstance(node, str):
+        yield node
+    elif isinstance(node, list):
+        for x in node[:MAX_ITEMS]:
+            yield from _strings(x, depth + 1)
+    elif isinstance(node, dict):
+        for key, value in node.items():
+            yield key
+            yield from _strings(value, depth + 1)
+
+
+def _rebuilt(node: object, clean: Iterator[str], depth: int = 0) -> object:
+    """The value with its strings replaced in the order of _strings(); names made equal are numbered."""
     if depth > MAX_DEPTH:
         return "[REDACTED_TOO_DEEP]"
     if isinstance(node, str):
-        text = redact_text(node)
+        text = next(clean)
         return text if len(text) <= MAX_LENGTH else text[: MAX_LENGTH - len(MARKER)] + MARKER
     if isinstance(node, (bytes, bytearray, memoryview)):  # never decoded
         return f"[BINARY:{len(bytes(node))} bytes]"
     if isinstance(node, list):
-        return [sanitize(x, depth + 1) for x in node[:MAX_ITEMS]]
+        return [_rebuilt(x, clean, depth + 1) for x in node[:MAX_ITEMS]]
     if not isinstance(node, dict):
         return node
     out: dict[str, object] = {}
-    for key, value in node.items():
-        name, own, n = redact_text(key), redact_text(key), 2
+    count: dict[str, int] = {}
+    for value in node.values():
+        own = name = next(clean)
         while name in out:
-            name, n = f"{own}#{n}", n + 1
-        out[name] = sanitize(value, depth + 1)
+            count[own] = count.get(own, 1) + 1
+            name = f"{own}#{count[own]}"
+        out[name] = _rebuilt(value, clean, depth + 1)
     return out
 
 
+def sanitize_all(nodes: list[object]) -> list[object]:
+    """JSON values with redacted and bounded strings, depth and list lengths; all their strings go through at once."""
+    clean = iter(redact_all(pa.array([s for node in nodes for s in _strings(node)], pa.large_string())).to_pylist())
+    return [_rebuilt(node, clean) for node in nodes]
+
+
+def sanitize(node: object) -> object:
+    return sanitize_all([node])[0]
+
+
 @F.pandas_udf(T.StringType())
 def sanitized_json(values: pd.Series) -> pd.Series:
-    """JSON text with every string in it sanitized."""
-    return values.map(lambda t: None if t is None else json.dumps(sanitize(json.loads(t)), ensure_ascii=False))
+    """JSON text with every string in it sanitized; null stays null."""
+    made = sanitize_all([None if t is None else json.loads(t) for t in values])
+    return pd.Series([None if t is None else json.dumps(m, ensure_ascii=False) for t, m in zip(values, made, strict=True)], dtype=object)

@@ -85,22 +85,75 @@ def _started(tagged: DataFrame, counted: dict[str, Column]) -> DataFrame:
     return tagged.withColumn("__part", part).join(F.broadcast(starts), "__part").drop("__part")
 
 
+#: A record of one of several files is known by its file's number in the upper bits and its line there in the lower ones.
+LINE_BITS = 40
+
+
+def line_in_file(line: Column) -> Column:
+    return line.bitwiseAND((1 << LINE_BITS) - 1)
+
+
+def file_number(line: Column) -> Column:
+    return F.shiftright(line, LINE_BITS).cast("int")
+
+
+def text_lines(reader, path: str) -> DataFrame:
+    """Lines of text files (value, file, block) by a reader, batch or stream; block is where the split begins."""
+    meta = F.col("_metadata")
+    return reader.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"))
+
+
+def _blank(value: str) -> Column:
+    return F.btrim(value, F.lit(" \t\r\n\x0b\x0c")) == ""
+
+
+def _judged(rows: DataFrame, others: list[str]) -> DataFrame:
+    """Parse the kept lines and say what is wrong with those that hold no JSON object."""
+    rows = rows.withColumn("v", F.try_parse_json("value")).withColumn("type", F.schema_of_variant("v"))
+    broken = F.when(F.col("v").isNull(), "INVALID_JSON").when(~F.col("type").startswith("OBJECT"), "NOT_AN_OBJECT")
+    rows = rows.withColumn("broken", broken).withColumn("v", F.when(F.col("broken").isNull(), F.col("v")))
+    return rows.select("line", "physical", F.col("value").alias("raw"), "v", "broken", *others)
+
+
 def explained(lines: DataFrame) -> DataFrame:
     """Lines (value, and other columns) as (line, physical, raw, v, broken): blank lines are neither kept nor counted.
 
     ``line`` counts the kept lines and ``physical`` all, both from 1. ``broken`` says that a line holds no JSON
     (INVALID_JSON) or none that is an object (NOT_AN_OBJECT); its v is null.
     """
-    kept = F.btrim("value", F.lit(" \t\r\n\x0b\x0c")) != ""
+    kept = ~_blank("value")
     tagged = _started(lines.withColumn("__id", F.monotonically_increasing_id()), {"physical": F.lit(True), "line": kept})
     rows = tagged.withColumn("physical", F.col("physical") + F.col("__id").bitwiseAND(_WITHIN) + 1).filter(kept)
     # of the rows that the filter leaves, a partition's ids are dense again
     rows = rows.withColumn("line", F.col("line") + F.monotonically_increasing_id().bitwiseAND(_WITHIN) + 1)
-    rows = rows.withColumn("v", F.try_parse_json("value")).withColumn("type", F.schema_of_variant("v"))
-    broken = F.when(F.col("v").isNull(), "INVALID_JSON").when(~F.col("type").startswith("OBJECT"), "NOT_AN_OBJECT")
-    rows = rows.withColumn("broken", broken).withColumn("v", F.when(F.col("broken").isNull(), F.col("v")))
-    others = [c for c in lines.columns if c != "value"]
-    return rows.select("line", "physical", F.col("value").alias("raw"), "v", "broken", *others)
+    return _judged(rows, [c for c in lines.columns if c != "value"])
+
+
+def explained_by_file(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines as explained() has them, with numbers that count within their own file; files).
+
+    lines: see text_lines(). ``line`` holds the number of the file above LINE_BITS and the kept lines of the file below,
+    so it still tells all lines apart; ``physical`` counts all lines of the file. files: (number, file).
+
+    A split counts its own lines. Its lines follow each other in one partition, so what a line adds to the start of its
+    split is its place there; starts are sums over the splits before, in the file and in the partition. One row a split.
+    """
+    kept = ~_blank("value")
+    tagged = lines.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    splits = tagged.groupBy("__part", "file", "block").agg(F.min("__id").alias("__from"), F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("k"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    in_file, in_part = before(Window.partitionBy("file").orderBy("block")), before(Window.partitionBy("__part").orderBy("__from"))
+    starts = splits.select(
+        "file", "block", "__from",
+        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("__lines"),
+        (F.coalesce(F.sum("k").over(in_file), F.lit(0)) - F.coalesce(F.sum("k").over(in_part), F.lit(0))).alias("__kept"),
+    )
+    files = splits.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file"))).select("number", "file")  # one row a file
+    rows = tagged.filter(kept).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(_WITHIN) + 1)
+    rows = rows.join(starts.join(files, "file"), ["file", "block"])
+    line = F.shiftleft(F.col("number").cast("long"), LINE_BITS) + F.col("__kept") + F.col("__at")
+    rows = rows.withColumn("physical", F.col("__lines") + F.col("__id") - F.col("__from") + 1).withColumn("line", line)
+    return _judged(rows, [c for c in lines.columns if c not in ("value", "block")]), files
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
