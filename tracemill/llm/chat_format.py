@@ -5,7 +5,8 @@ parts become a placeholder, an attachment record and a count of the tokens that
 expands to. Turns are framed as ``<|im_start|>role\\nbody<|im_end|>\\n``.
 
 Escaping is reversible and leaves no control string inside a text: ``<!`` gains one more ``!``, then
-``<|`` becomes ``<!|``; in role names a line break becomes ``<!n``. Parts of other types than text, image,
+``<|`` becomes ``<!|``; in role names a line break becomes ``<!n``. Between two text parts stands ``<!,``, which no
+escaped text holds, so no control string can form across parts and each part is unescaped by itself. Parts of other types than text, image,
 audio and document get the placeholder ``<|part:type|>``, so no type can pass for a control string.
 
 Defined results: null texts, roles and part lists are empty; an empty table gives an empty result;
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What stands between two text parts that follow each other.
+JOINT = "<!,"
 #: Attachments with a placeholder of their own.
 KNOWN = ("image", "audio", "document")
 #: Pixels a side of one image patch, audio milliseconds a token, tokens a document page.
@@ -39,6 +42,11 @@ def unescape(c: Column) -> Column:
     return _replace(_replace(c, "<!|", "<|"), "<!!", "<!")
 
 
+def unescape_body(c: Column) -> Column:
+    """Text parts are unescaped one by one: what they end and begin with must not be taken together."""
+    return F.array_join(F.transform(F.split(c, r"\Q" + JOINT + r"\E", -1), unescape), "")
+
+
 def escape_role(c: Column) -> Column:
     return _replace(escape(c), "\n", "<!n")
 
@@ -92,13 +100,15 @@ def format_chat(turns: DataFrame, conv="conv_id", turn="turn", role="role", part
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(parts), F.array().cast(PARTS_TYPE)).cast(PARTS_TYPE).alias("parts"),
     )
-    rows = rows.withColumn("pieces", F.transform("parts", visit)).withColumn("body", F.array_join("pieces", ""))
+    follows = lambda i: (i > 0) & is_text(F.get("parts", i)) & is_text(F.get("parts", i - 1))
+    joint = lambda i: F.when(follows(i), F.lit(JOINT)).otherwise(F.lit(""))
+    rows = rows.withColumn("pieces", F.transform("parts", lambda p, i: F.concat(joint(i), visit(p)))).withColumn("body", F.array_join("pieces", ""))
     rows = rows.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     rows = rows.withColumn("turn_index", (F.row_number().over(order) - 1).cast("int"))
     before = lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(0), lambda a, x: a + F.char_length(x))
     spans = F.filter(
-        F.transform("parts", lambda p, i: F.when(is_text(p), F.struct(F.col("turn_index"), before(i).alias("start"), F.char_length(visit(p)).alias("length")))),
+        F.transform("parts", lambda p, i: F.when(is_text(p), F.struct(F.col("turn_index"), (before(i) + F.char_length(joint(i))).alias("start"), F.char_length(visit(p)).alias("length")))),
         lambda s: s.isNotNull() & (s["length"] > 0),
     )
     rows = rows.withColumn("spans", F.when(F.col("role") == loss_role, spans).otherwise(F.array().cast("array<struct<turn_index:int,start:int,length:int>>")))
@@ -129,7 +139,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         role = F.substring_index(x, "\n", 1)
         skip = F.char_length(role) + 1
         body = F.substring(x, skip + 1, F.char_length(x) - skip - len(END) - 1)
-        return F.struct(unescape_role(role).alias("role"), body.alias("body"), unescape(body).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), body.alias("body"), unescape_body(body).alias("text"))
 
     framed = F.split("formatted", r"\Q" + START + r"\E", -1)
     out = formatted.withColumn("turns", F.transform(F.slice(framed, 2, F.greatest(F.size(framed) - 1, F.lit(0))), turn))
