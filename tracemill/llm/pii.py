@@ -339,11 +339,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The digest columns; spans are of KINDS, credentials are counted apart."""
+    """The digest columns; spans are the base ones and all that the method adds, credentials (secret) among them."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    own = F.filter("spans", lambda s: s["kind"] != "secret")
-    secrets = F.size("spans") - F.size(own)
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(own).alias("spans"), secrets.cast("long").alias("n_secret"))
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), secrets.cast("long").alias("n_secret"))
 
 
 def redacted(text: Column, found: Column) -> Column:
