@@ -19,6 +19,7 @@ answered each; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -101,15 +102,14 @@ class FMIndex:
             start = np.where(one, zeros + ones[start], start - ones[start])
         return at - start
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals [low, high) of all phrases (padded on the left)."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        width = phrases.shape[1]
-        for step in range(width):
+    def search(self, symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals [low, high) of all phrases, the ``lengths`` symbols before ``ends``."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        for step in range(int(lengths.max(initial=0))):
             on = np.flatnonzero((lengths > step) & (low < high))
             if not len(on):
                 break
-            c = phrases[on, width - 1 - step]
+            c = symbols[ends[on] - 1 - step].astype(np.int64)
             low[on] = self.first[c] + self.rank(c, low[on])
             high[on] = self.first[c] + self.rank(c, high[on])
         return low, np.maximum(low, high)
@@ -130,22 +130,45 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of test items as symbol rows."""
+    """Windows of test items as places in one array of symbols, equal windows once, with the items that have them.
+
+    ``symbols`` holds all items one after another; window i is its ``lengths[i]`` symbols before ``ends[i]``, and its
+    items are ids[k] for k in owners[offsets[i] : offsets[i + 1]]. No window is an object of its own.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for item_id, text in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in plain_words(text or ""))
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                rows.setdefault(ids[i : i + window], set()).add(item_id)
-        self.items = [sorted(x) for x in rows.values()]
-        self.lengths = np.array([len(x) for x in rows], np.int64)
-        self.shortest = int(self.lengths.min()) if rows else 0
-        width = int(self.lengths.max()) if rows else 0
-        self.rows = np.zeros((len(rows), width), np.int64)
-        for i, x in enumerate(rows):
-            self.rows[i, width - len(x) :] = x
+        self.ids, symbols, counts = [i for i, _ in items], array("i"), np.zeros(len(items), np.int64)
+        for k, (_, text) in enumerate(items):
+            words = plain_words(text or "")
+            symbols.extend(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words)
+            counts[k] = len(words)
+        self.symbols = np.array(symbols, np.int32)
+        each = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+        owners = np.repeat(np.arange(len(items), dtype=np.int32), each)
+        begin = np.repeat(np.cumsum(counts) - counts, each) + np.arange(len(owners)) - np.repeat(np.cumsum(each) - each, each)
+        lengths = np.minimum(counts, window)[owners]
+        code = (lengths.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        for j in range(int(lengths.max(initial=0))):
+            on = np.flatnonzero(lengths > j)
+            code[on] = (code[on] ^ self.symbols[begin[on] + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code[on] ^= code[on] >> np.uint64(29)
+        order = np.argsort(code, kind="stable")
+        code, begin, lengths, owners = code[order], begin[order], lengths[order], owners[order]
+        same = np.flatnonzero((code[1:] == code[:-1]) & (lengths[1:] == lengths[:-1]))
+        for j in range(int(lengths.max(initial=0))):  # the windows themselves decide, whatever their codes
+            on = lengths[same] > j
+            same = same[~on | (self.symbols[np.minimum(begin[same] + j, len(self.symbols) - 1)] == self.symbols[np.minimum(begin[same + 1] + j, len(self.symbols) - 1)])]
+        new = np.ones(len(order), bool)
+        new[same + 1] = False
+        first = np.flatnonzero(new)
+        self.offsets = np.append(first, len(order))
+        self.lengths, self.ends, self.owners = lengths[first], (begin + lengths)[first], owners
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+
+    def items(self, which: int) -> set[int]:
+        """The ids of the items that have a window."""
+        return {self.ids[k] for k in self.owners[self.offsets[which] : self.offsets[which + 1]].tolist()}
 
 
 def _runs(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +190,7 @@ def _runs(symbols: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
 def _hits(index_text: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word position, phrase, length) of every occurrence."""
     index = FMIndex(index_text, len(phrases.vocab))
-    low, high = index.search(phrases.rows, phrases.lengths)
+    low, high = index.search(phrases.symbols, phrases.ends, phrases.lengths)
     count = high - low
     which = np.repeat(np.arange(len(low)), count)
     rows = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
@@ -202,7 +225,7 @@ def scan_shard(texts: list[str], phrases: Phrases) -> Iterator[tuple[int, list[t
                     own[-1] = (own[-1][0], max(own[-1][1], e))
                 else:
                     own.append((s, e))
-                found.setdefault(d, set()).update(phrases.items[which[i]])
+                found.setdefault(d, set()).update(phrases.items(int(which[i])))
             cut = to
     for d, n in enumerate(counts.tolist()):
         yield n, spans.get(d, []), sorted(found.get(d, ()))
