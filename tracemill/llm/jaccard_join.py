@@ -15,8 +15,9 @@ bound, the position bound and the bitmap bound on overlap; those that meet often
 Pairs inside a component need no test for the result, so a large group of near copies costs a star, not all
 its pairs.
 
-Position bound: of n shingles, the i-th in the global order (from 0) can be one of the first MAX_MATCH common
-ones only if the overlap is at most n - i + MAX_MATCH - 1, which limits the partner's size. A passage that many
+Position bound: of n shingles, the i-th in the global order (from 0) can be one of the first l common ones only if the
+overlap is at most n - i + l - 1, which limits the partner's size. A pair has to meet at its first common shingles, as
+many as the smaller l of both, so each document may use its own l. A passage that many
 documents share among rare shingles of their own stands late in each of them, so its postings fit nobody and
 are dropped with their group, before any pair is made.
 
@@ -143,10 +144,10 @@ def prefix_of(shingles: np.ndarray, counts: Callable[[np.ndarray], np.ndarray],
     return shingles[chosen], f[chosen], matches
 
 
-def largest_partner(n: int, places: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def largest_partner(n: int, places: np.ndarray, matches: int, percent: int = PERCENT) -> np.ndarray:
     """Size up to which a set can be similar to one of n shingles, if a common shingle at this place of the global order
-    is one of the first MAX_MATCH common ones."""
-    return (n - places + MAX_MATCH - 1) * (100 + percent) // percent - n
+    is one of the first ``matches`` common ones."""
+    return (n - places + matches - 1) * (100 + percent) // percent - n
 
 
 def bitmap(shingles: np.ndarray, longs: int) -> list[int]:
@@ -223,7 +224,7 @@ def _postings(docs: DataFrame, table: dict[int, int], words: int, percent: int,
                 seen.add(key)
                 p, f, matches = prefix_of(s, counts, percent)
                 places = np.arange(len(p))
-                k = int(np.searchsorted(-largest_partner(len(s), places, percent) * 100, -percent * len(s), "right"))  # later places fit nobody
+                k = int(np.searchsorted(-largest_partner(len(s), places, matches, percent) * 100, -percent * len(s), "right"))  # later places fit nobody
                 shingles.append(p[:k])
                 keys.append(np.full(k, key, np.int64))
                 sizes.append((8 * len(s) + matches << PLACE_BITS) + places[:k])
@@ -246,14 +247,14 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
     of classes that have enough of them.
 
     In the order of sizes, a class has a fitting partner only if the next or the previous one fits, and only if it is
-    no larger than the group's largest ``most``. Frequent shingles are not grouped: each posting of one stands for
+    no larger than the group's largest ``most`` and its own is no smaller than the group's least size. Frequent shingles are not grouped: each posting of one stands for
     itself and counts as shared.
     """
     same = Window.partitionBy("shingle", "alone")
     by_size = same.orderBy("size", "key")
     n = lambda c: _unpacked(c)[0]
     own, matches, place = _unpacked(F.col("size"))
-    most = F.floor((own - place + (MAX_MATCH - 1)) * (100 + percent) / percent) - own
+    most = F.floor((own - place + matches - 1) * (100 + percent) / percent) - own
     # dealt out before the derived columns are made, which would travel with the rows otherwise
     seen = posts.repartition("shingle", "alone").select(
         "*",
@@ -263,17 +264,23 @@ def _shared(posts: DataFrame, percent: int) -> DataFrame:
         F.max("key").over(same).alias("high"),
         F.min(matches.cast("int")).over(same).alias("least"),
         F.max(most).over(same).alias("top"),
+        F.min("size").over(same).alias("lightest"),
         F.lag("size").over(by_size).alias("smaller"),
         F.lead("size").over(by_size).alias("larger"),
     )
     fits = (n(F.col("smaller")) * 100 >= n(F.col("size")) * percent) | (n(F.col("size")) * 100 >= n(F.col("larger")) * percent)
-    fits = fits & (F.col("top") >= n(F.col("size")))
+    fits = fits & (F.col("top") >= n(F.col("size"))) & (F.col("most") >= n(F.col("lightest")))
     kept = seen.filter((F.col("alone") != 0) | ((F.col("low") != F.col("high")) & F.coalesce(fits, F.lit(False))))
-    kept = kept.select("shingle", "key", "matches", "most", F.when(F.col("alone") != 0, 1).otherwise(F.col("least")).alias("least"))
-    kept = stored(kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.max("most").alias("most"), F.min("least").alias("least")), "shared")
+    often = F.col("alone") != 0
+    kept = kept.select("shingle", "key", "matches", "most", F.when(often, 1).otherwise(F.col("least")).alias("least"), F.when(often, n(F.col("size"))).alias("n"))
+    kept = kept.groupBy("shingle", "key").agg(F.min("matches").alias("matches"), F.max("most").alias("most"), F.min("least").alias("least"), F.min("n").alias("n"))
+    whole = stored(kept, "shared")
+    limits = whole.filter("n IS NOT NULL").groupBy("shingle").agg(F.min("n").alias("lightest"), F.max("most").alias("top"))
+    fit = whole.filter("n IS NOT NULL").join(limits, "shingle").filter("most >= lightest AND top >= n")
+    kept = whole.filter("n IS NULL").drop("n").unionByName(fit.drop("n", "lightest", "top"))
     enough = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("key")
     found = stored(kept.select("shingle", "key", "matches", "most").join(enough, "key", "left_semi"), "postings")
-    dropped(kept)
+    dropped(whole)
     return found
 
 
