@@ -28,7 +28,7 @@ def test_against_sql(spark, duck, name):
     assert order(df.columns, [tuple(r) for r in df.collect()]) == order(names, c.fetchall())
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", [n for n in registry.queries() if int(n[2:].split("_")[0]) <= 10])
 def test_one_row_per_input_row(spark, name):
     table = {"op3": "pages", "op10": "conversations"}.get(name.split("_")[0], "documents")
     rows = spark.read.parquet(f"{SF}/{table}.parquet")
