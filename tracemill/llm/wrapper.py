@@ -6,7 +6,10 @@
    page of the host is aligned with them by simple tree matching (the largest order-preserving mapping between
    trees with equal roots), and votes for the blocks to which a block with the same text is mapped. Votes are
    summed by task, then by host. Blocks with the votes of half the pages that have their container are constant:
-   the template. Pages that share SAME of their text are near copies of one article: they have no vote on each other.
+   the template; within article and main, where a line may be the writer's own, it takes the votes of SURE of them.
+   Pages that share SAME of their text with a reference are either near copies of its article or short pages full of
+   the host's template, so their votes on it are counted apart: they decide only about containers that too few other
+   pages have, then agree with those, and say nothing about article and main if there is no other page.
 3. Every page is aligned with its host's wrapper. Blocks mapped to a constant block of the same text are
    template, wherever they stand; the other, varying slots are content. A later check takes out slots in
    navigation, notices, adverts, forms, page headers and footers, sidebars and comments, by element and class.
@@ -18,7 +21,8 @@ Spark to broadcast them; Spark splits hot hosts of that join. A host's wrapper i
 Defined results: null or empty html gives an empty text; a host with fewer than LEAST distinct pages has no
 wrapper: its pages' slots are those of article and main where these hold most of the text; a constant block
 that none of the references has stays (a block on a share p of the pages is missed with (1 - p) ** REFERENCES);
-exact copies count as one page as evidence; null urls share one host; an empty table gives no rows; repeated
+exact copies count as one page as evidence; where all pages of a host share SAME of their text and none has an article or
+main element, what they share is template; null urls share one host; an empty table gives no rows; repeated
 rows are answered each; other columns are ignored; an element without end tag ends with its parent.
 """
 
@@ -31,15 +35,17 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import bound_batches, derive, dropped, pieces, stored
 
 #: Pages of a host that its wrapper is made of; distinct pages that a host must have.
 REFERENCES, LEAST = 6, 4
-#: Share of equal text from which two pages are near copies.
+#: Share of equal text from which the votes of two pages on each other are counted apart.
 SAME = 0.8
+#: Percentage of the votes that makes a block constant, elsewhere and within article and main.
+MOST, SURE = 50, 90
 
 # HTML element names by role.
 RAW = {"script", "style", "template", "title", "textarea", "iframe", "noembed", "xmp"}
@@ -55,11 +61,15 @@ OUTSIDE_NAMES = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "ad
 HEADER_NAMES = {"header", "masthead", "topbar"}
 #: Names that an article may give to its own parts: they do not count inside one.
 SUBJECT_NAMES = {"alert", "comment", "discussion", "menu", "notice", "replies", "reviews", "search", "skip", "social"}
+#: Names of readers' comments, and what such and other names are lengthened with: comment-list, related-posts, share-bar.
+READER_NAMES = {"comment", "comments", "discussion", "replies"}
+FILLERS = {"area", "bar", "block", "box", "buttons", "container", "form", "items", "links", "list", "note", "panel", "post", "posts", "section", "thread", "wrapper"}
 #: Text elements, whose ids are made from their texts.
 TEXTS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 #: A name with one of these parts speaks about the page, not about the element.
 ABOUT_NAMES = {"has", "with", "no", "is", "without", "free", "layout", "page", "enabled", "open"}
 
+MAIN = 1 << 31
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r">|=[ \t\r\n\f]*([\"'])")
 _NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -69,17 +79,20 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 def named_outside(tag: str, found: list[tuple[str, str]], main: bool) -> bool:
     """Whether classes, id or role, as (attribute, names), mark an element that is no content.
 
-    Inside article and main only class and role names count all of whose parts are such names, elsewhere each
-    part of any name; ids of headings and paragraphs never do.
+    Inside article and main only names count all of whose parts are such names, or such names and FILLERS;
+    elsewhere each part of any name. Ids of headings and paragraphs never do, nor, in an article, ids of one name that
+    may be its subject.
     """
     for attribute, names in found:
-        if attribute == "id" and (main or tag in TEXTS):
+        if attribute == "id" and tag in TEXTS:
             continue
         for name in names.split():
             parts = set(_PARTS.split(name)) - {""}
             if main:
-                if parts and parts <= OUTSIDE_NAMES and not parts <= SUBJECT_NAMES:
-                    return True
+                own = parts - FILLERS
+                if own and own <= OUTSIDE_NAMES and (not own <= SUBJECT_NAMES or (own != parts and own <= READER_NAMES)):
+                    if attribute != "id" or own & (READER_NAMES - SUBJECT_NAMES) or own != parts:
+                        return True
             elif not parts.isdisjoint(OUTSIDE_NAMES | HEADER_NAMES) and parts.isdisjoint(ABOUT_NAMES):
                 return True
     return False
@@ -99,11 +112,11 @@ class Page:
         self.main: list[bool] = []
 
     def skeleton(self) -> bytes:
-        """count u32, then depths u32, hashes u64 and sizes u32 (0: a container)."""
+        """count u32, then depths u32, hashes u64 and sizes u32 (0: a container), the highest bit set in article and main."""
         from xxhash import xxh64_intdigest
 
-        text = iter(self.texts)
-        made = [(xxh64_intdigest(label), 0) if label is not None else (xxh64_intdigest(t := next(text)), len(t)) for label in self.labels]
+        text = zip(self.texts, self.main, strict=True)
+        made = [(xxh64_intdigest(label), 0) if label is not None else (xxh64_intdigest((t := next(text))[0]), min(len(t[0]), MAIN - 1) | MAIN * t[1]) for label in self.labels]
         codes, sizes = np.array([m[0] for m in made], "<u8"), np.array([m[1] for m in made], "<u4")
         return np.array([len(made)], "<u4").tobytes() + np.array(self.depths, "<u4").tobytes() + codes.tobytes() + sizes.tobytes()
 
@@ -273,7 +286,8 @@ class Tree:
         for i in path:
             self.last[i] = leaf
         self.texts = [self.codes[i] for i in self.leaves]
-        self.chars = [self.sizes[i] for i in self.leaves]
+        self.chars = [self.sizes[i] % MAIN for i in self.leaves]
+        self.main = np.array([self.sizes[i] >= MAIN for i in self.leaves], bool)
         self.places = [place[i] for i in self.leaves]
 
 
@@ -495,18 +509,24 @@ def _next_row(above: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def constant_votes(reference: Tree, page: Tree) -> list[int] | None:
-    """The reference's text blocks that the page has as well, None from a near copy."""
+def constant_votes(reference: Tree, page: Tree) -> tuple[list[int], bool]:
+    """The reference's text blocks that the page has as well, and whether the two share SAME of their text."""
     common = set(reference.texts) & set(page.texts)
     if not common:
-        return []
-    for t in (reference, page):
-        shared = sum(n for c, n in zip(t.texts, t.chars, strict=True) if c in common)
-        if shared < SAME * sum(t.chars):
-            break
-    else:
-        return None
-    return [m for m, _ in Matching(reference, page, common).equal_blocks()]
+        return [], False
+    shared = lambda t: sum(n for c, n in zip(t.texts, t.chars, strict=True) if c in common)
+    near = all(shared(t) >= SAME * sum(t.chars) for t in (reference, page))
+    return [m for m, _ in Matching(reference, page, common).equal_blocks()], near
+
+
+def is_constant(main: Column, could: Column, n: Column, could_near: Column, n_near: Column) -> Column:
+    """Whether votes make a block template: could pages have its container and n the block, of which the near ones count apart."""
+    share = F.when(main, SURE).otherwise(MOST)
+    enough = lambda n, could: n * 100 >= could * share
+    far = (n >= LEAST - 1) & enough(n, could)
+    few = (n == could) & (n + n_near >= LEAST - 1) & enough(n_near, could_near)
+    none = ~main & (n_near >= LEAST - 1) & enough(n_near, could_near)
+    return F.when(could >= LEAST - 1, far).when(could > 0, few).otherwise(none)
 
 
 def template_blocks(wrapper: list[tuple[Tree, set[int]]], page: Tree) -> set[int]:
@@ -552,8 +572,8 @@ def _skeletons(rows: DataFrame) -> DataFrame:
 
 
 def _votes(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """(host, key, block, could, n): pages of the host that have the container of a block of the reference ``key``,
-    and those among them that have the block."""
+    """(host, key, block, main, could, n, could_near, n_near): pages of the host that have the container of a block of the
+    reference ``key``, and those among them that have the block; pages that share SAME with the reference apart."""
     joined = pages.join(references, "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,31 +581,30 @@ def _votes(pages: DataFrame, references: DataFrame) -> DataFrame:
 
         def told() -> Iterator[pa.RecordBatch]:
             for key, tree, could, n in trees:
-                k = np.array([could.get(p, 0) for p in tree.places], np.int64)
-                at = np.flatnonzero(k)
+                k = [np.array([c.get(p, 0) for p in tree.places], np.int64) for c in could]
+                at = np.flatnonzero(k[0] + k[1])
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(at), pa.string()), pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(k[at]), pa.array(n[at])], names=["host", "key", "block", "could", "n"])
-                could.clear()
-                n[:] = 0
+                    made = [pa.array([host] * len(at), pa.string()), pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(tree.main[at]), *[pa.array(x[at]) for x in (k[0], n[0], k[1], n[1])]]
+                    yield pa.RecordBatch.from_arrays(made, names=["host", "key", "block", "main", "could", "n", "could_near", "n_near"])
 
         for b in pieces(batches):
             for own, key, skeleton, references in zip(*(b.column(c) for c in ("host", "key", "skeleton", "references")), strict=True):
                 if (name := own.as_py()) != host:
                     yield from told()
                     made = ((r["key"], Tree(r["skeleton"])) for r in references.as_py())
-                    host, trees = name, [(k, t, {}, np.zeros(len(t.texts), np.int64)) for k, t in made]
+                    host, trees = name, [(k, t, ({}, {}), np.zeros((2, len(t.texts)), np.int64)) for k, t in made]
                 page = Tree(skeleton.as_py())
                 places = set(page.places)
                 for ref, tree, could, n in trees:
-                    votes = constant_votes(tree, page) if ref != key.as_py() else None
-                    if votes is not None:
+                    if ref != key.as_py():
+                        votes, near = constant_votes(tree, page)
                         for p in places:
-                            could[p] = could.get(p, 0) + 1
-                        n[votes] += 1
-            yield from told()
+                            could[near][p] = could[near].get(p, 0) + 1
+                        n[int(near), votes] += 1
+        yield from told()
 
-    votes = bound_batches(joined).mapInArrow(run, "host string, key long, block int, could long, n long")
-    return votes.groupBy("host", "key", "block").agg(F.sum("could").alias("could"), F.sum("n").alias("n"))
+    votes = bound_batches(joined).mapInArrow(run, "host string, key long, block int, main boolean, could long, n long, could_near long, n_near long")
+    return votes.groupBy("host", "key", "block", "main").agg(*[F.sum(c).alias(c) for c in ("could", "n", "could_near", "n_near")])
 
 
 def induce(rows: DataFrame) -> DataFrame:
@@ -596,7 +615,7 @@ def induce(rows: DataFrame) -> DataFrame:
     drawn = pages.join(least, "host").filter(F.greatest(*[d == F.col(f"d{k}") for k, d in enumerate(draws)])).select("host", "key", "skeleton")
     drawn = stored(drawn, "references")  # at most REFERENCES a host
     references = drawn.groupBy("host").agg(F.collect_list(F.struct("key", "skeleton")).alias("references"))
-    constant = _votes(pages, references).filter(f"n >= {LEAST - 1} AND 2 * n >= could")
+    constant = _votes(pages, references).filter(is_constant(*map(F.col, ("main", "could", "n", "could_near", "n_near"))))
     constant = constant.groupBy("host", "key").agg(F.sort_array(F.collect_list("block")).alias("constant"))
     parts = drawn.join(constant, ["host", "key"], "left")
     own = F.when(F.col("constant").isNotNull(), F.struct("skeleton", "constant"))
