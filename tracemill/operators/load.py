@@ -30,16 +30,8 @@ BUCKETS, HOT = 64, 256
 def facts(n: Normalised) -> DataFrame:
     """Every entity that was kept as (target, line, source_index, session_key, kind, name, context, provider, and the
     fields in a struct named by target). context is the provider of a model, provider also that of an unnamed one."""
-    if n._pass is not None:
-        have = [t for t in REFERS if t in n.entities]
-        rows = n._pass.filter("kept").select("target", "line", "source_index", "session_key", *have)
-    else:
-        have, rows = list(REFERS), None
-        for target in REFERS:
-            df = getattr(n, target)
-            key = F.col("session_key") if "session_key" in df.columns else F.col("external_id").alias("session_key")
-            own = df.select(F.lit(target).alias("target"), "line", "source_index", key, F.struct(*TARGET_FIELDS[target]).alias(target))
-            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    have = [t for t in REFERS if t in n.entities]
+    rows = n.kept.select("target", "line", "source_index", "session_key", *have)
     of_target = lambda pick: F.coalesce(*[F.when(F.col("target") == t, pick(t)) for t in have], F.lit(None).cast("string"))
     rows = rows.withColumns({"kind": of_target(lambda t: F.lit(REFERS[t][0])), "name": of_target(lambda t: F.col(f"{t}.{REFERS[t][1]}"))})
     provider: Column = F.lit(None).cast("string")
@@ -144,8 +136,6 @@ def load(records: DataFrame, mapping: Mapping, stored: Stored, create: bool = Tr
     if done is not None:
         records = settled(unstored_lines(records, done))
     n = normalise(records, mapping)
-    if n._pass is not None:
-        n._pass = settled(n._pass)
     rows = settled(facts(n))
     names = settled(requested(rows))
     dimension = settled(grow(stored.dimension, names)) if create else stored.dimension

@@ -1,8 +1,9 @@
 """Records to sessions, model calls and tool calls, with an explanation for every row that is turned away.
 
-All of it is projection over a record's own row, except numbering of several session rows of one record and
-the one issue per record and entity for calls whose session was rejected. Issues, report and missing fields come
-from one pass over the records, in which a record's session and calls are rows of one exploded list.
+All of it is projection over a record's own row, except that a record's several sessions are gathered again once
+they are judged, and that calls whose session was rejected make one issue a record and entity. Sessions are ranked
+within their record's own list. Issues, report, missing fields and previews come from one pass over the records, in
+which a record's sessions and calls are rows of one exploded list.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from tracemill.functions import paths
 from tracemill.plans.compile import ISSUE, entity_frame, entity_rows, issue
 from tracemill.plans.mapping import Entity, Mapping, validate
 from tracemill.schema import OUTCOMES, STATUSES, TARGET_FIELDS
+from tracemill.sources.readers import settled
 
 
 ITEMS = "array<struct<target:string,source_index:int,row:variant,odd:boolean>>"
@@ -55,11 +57,6 @@ def _with_defaults(rows: DataFrame, target: str) -> DataFrame:
     return rows.withColumns({"sequence_index": F.coalesce("sequence_index", F.col("source_index").cast("long")), "status": F.coalesce("status", F.lit("unknown"))})
 
 
-def _issue_rows(df: DataFrame, target: str, issues: Column, rows: Column | None = None) -> DataFrame:
-    count = (rows if rows is not None else F.lit(1)).cast("long").alias("rows")
-    return df.select("line", F.lit(target).alias("target"), count, F.explode(issues).alias("i")).select("line", "target", "i.severity", "i.code", "i.field_path", "rows")
-
-
 def _item(target: str, odd: bool = False):
     """A row of the exploded list of a record: ``odd`` stands for something that is no list where one should be."""
 
@@ -81,36 +78,51 @@ class Normalised:
         return self.records.select("line", F.lit(0).alias("source_index"), *fields).limit(0)
 
     @cached_property
-    def _sessions(self) -> tuple[DataFrame, DataFrame]:
-        """(all session rows with their verdict and the record, records whose path holds no list)."""
+    def _sessions(self) -> DataFrame:
+        """Session rows with their verdict and the record, of mappings with one session a record."""
         session = self.entities["session"]
-        rows, odd = entity_rows(self.records, session, ("line",) if session.iterate else ("line", "v"))
-        judged = _judged(rows, session)
-        if session.iterate:
-            line = Window.partitionBy("line")
-            judged = judged.withColumns({"n": F.count_if(~F.col("rejected")).over(line), "rank": F.row_number().over(line.orderBy("rejected", "source_index"))})
-            judged = judged.withColumn("refusal", F.when(F.col("rank") == 1, F.col("refusal")))
-        return judged, odd
+        return _judged(entity_rows(self.records, session, ("line", "v"))[0], session)
+
+    @cached_property
+    def _gathered(self) -> DataFrame:
+        """(line, v, all, odd) of mappings with several sessions a record: its judged sessions, those that their fields did
+        not reject first, in order; whether its path holds something that is no list. The only shuffle: by record."""
+        session = self.entities["session"]
+        prefix = paths.iterate_path(session.iterate)
+        rows, wrong = paths.iterate(F.col("v"), prefix)
+        items = F.concat(F.transform(rows, _item("session")), F.when(wrong, F.array(_item("session", odd=True)(F.lit(None).cast("variant"), F.lit(0)))).otherwise(F.array().cast(ITEMS)))
+        opened = self.records.select("line", "v", F.explode_outer(items).alias("i")).select("line", "v", "i.source_index", F.col("i.row").alias("__row"), "i.odd")
+        judged = _judged(entity_frame(opened, session, "__row", prefix, ("line", "v", "source_index", "odd")), session)
+        verdict = F.struct("rejected", "source_index", "refusal", "issues", F.struct(*TARGET_FIELDS["session"]).alias("session"))
+        whole = judged.groupBy("line").agg(F.first("v").alias("v"), F.collect_list(F.when(~F.col("odd"), verdict)).alias("all"), F.coalesce(F.bool_or("odd"), F.lit(False)).alias("odd"))
+        return whole.withColumn("all", F.sort_array("all"))  # one record's sessions
 
     @cached_property
     def session(self) -> DataFrame:
         if "session" not in self.entities:
             return self._nothing("session")
-        good = self._sessions[0].filter("NOT rejected AND refusal IS NULL").drop("issues", "rejected", "refusal", "v")
-        return good.filter("rank = 1").drop("rank", "n") if self.entities["session"].iterate else good
+        if self.entities["session"].iterate:
+            return self.kept.filter("target = 'session'").select("line", "source_index", "session.*")
+        return self._sessions.filter("NOT rejected AND refusal IS NULL").drop("issues", "rejected", "refusal", "v")
 
     @cached_property
     def _whole(self) -> DataFrame:
-        """Records with has_session and session_key; the verdict travels with the record where that needs no join."""
-        session = self.entities.get("session")
-        if session is not None and session.iterate is None:
-            return self._sessions[0].select("line", "v", (~F.col("rejected") & F.col("refusal").isNull()).alias("has_session"), F.col("external_id").alias("session_key"))
-        known = self.session.select("line", F.lit(True).alias("has_session"), F.col("external_id").alias("session_key"))
-        return self.records.join(known, "line", "left").withColumn("has_session", F.coalesce("has_session", F.lit(False)))
+        """Records with has_session, session_key, and session, the fields of the one that counts; ``all`` and ``all_odd``
+        of records with several, session_issues of those with one."""
+        session, fields = self.entities.get("session"), F.struct(*TARGET_FIELDS["session"])
+        if session is None:
+            none = F.lit(None).cast("struct<" + ",".join(f"{f}:{ {'long': 'bigint'}.get(k, k)}" for f, k in TARGET_FIELDS["session"].items()) + ">")
+            return self.records.select("line", "v", F.lit(False).alias("has_session"), F.lit(None).cast("string").alias("session_key"), none.alias("session"))
+        if session.iterate:
+            first = F.get("all", F.lit(0))
+            fine = F.coalesce(~first["rejected"] & first["refusal"].isNull(), F.lit(False))
+            return self._gathered.select("line", "v", "all", F.col("odd").alias("all_odd"), fine.alias("has_session"), first["session"]["external_id"].alias("session_key"), F.when(fine, first["session"]).alias("session"))
+        fine = ~F.col("rejected") & F.col("refusal").isNull()
+        return self._sessions.select("line", "v", fine.alias("has_session"), F.col("external_id").alias("session_key"), F.when(fine, fields).alias("session"), _all_issues().alias("session_issues"))
 
     def _calls(self, target: str) -> tuple[DataFrame, DataFrame]:
         entity = self.entities[target]
-        rows, odd = entity_rows(self._whole, entity, ("line", "has_session", "session_key"))
+        rows, odd = entity_rows(self._whole.select("line", "v", "has_session", "session_key"), entity, ("line", "has_session", "session_key"))
         judged = _judged(_with_defaults(rows, target), entity)
         return judged.withColumn("refusal", F.when(F.col("has_session"), F.col("refusal"))), odd
 
@@ -137,17 +149,18 @@ class Normalised:
         return self._kept("tool_call")
 
     @cached_property
-    def _pass(self) -> DataFrame | None:
-        """Everything about the records in one pass, for mappings with at most one session a record: a row for each record
-        (target ``session``) and each call, with ``kept``, ``issues``, ``orphan`` and the fields in a struct named by target."""
+    def _pass(self) -> DataFrame:
+        """Everything about the records in one pass: a row for each record (``lead``; target ``record`` or the one session),
+        each of several sessions and each call, with ``kept``, ``issues``, ``orphan`` and the fields in a struct named by target."""
         session = self.entities.get("session")
-        if session is None or session.iterate:
-            return None
+        several = session is not None and session.iterate is not None
         fields = lambda t: F.struct(*TARGET_FIELDS[t])
-        judged = self._sessions[0]
-        fine = ~F.col("rejected") & F.col("refusal").isNull()
-        whole = judged.select("line", "v", fine.alias("has_session"), F.col("external_id").alias("session_key"), F.when(fine, fields("session")).alias("session"), _all_issues().alias("session_issues"))
-        items = [F.array(_item("session")(F.lit(None).cast("variant"), F.lit(0)))]
+        whole = self._whole
+        own = [c for c in whole.columns if c != "v"]
+        none = F.lit(None).cast("variant")
+        items = [F.array(_item("record" if several or session is None else "session")(none, F.lit(0)))]
+        if several:
+            items.append(F.transform("all", lambda x, i: _item("session")(none, i)))
         for target in (t for t in self.entities if t != "session"):
             entity = self.entities[target]
             if entity.iterate:
@@ -156,10 +169,22 @@ class Normalised:
                 items.append(F.when(wrong, F.array(_item(target, odd=True)(F.lit(None).cast("variant"), F.lit(0)))).otherwise(F.array().cast(ITEMS)))
             else:
                 items.append(F.array(_item(target)(F.col("v"), F.lit(0))))
-        df = whole.select("line", "has_session", "session_key", "session", "session_issues", F.explode(F.concat(*items)).alias("i")).select("*", "i.*").drop("i")
+        df = whole.select(*own, F.explode(F.concat(*items)).alias("i")).select("*", "i.*").drop("i")
         nothing = F.array().cast(f"array<{ISSUE}>")
-        issues = F.when(F.col("target") == "session", F.col("session_issues")).otherwise(nothing)
-        kept, orphan = (F.col("target") == "session") & F.col("has_session"), F.lit(False)
+        is_session = F.col("target") == "session"
+        if several:
+            this, first = F.get("all", F.col("source_index")), is_session & (F.col("source_index") == 0)
+            n = F.size(F.filter("all", lambda x: ~x["rejected"]))
+            refused = F.when(first & ~this["rejected"] & this["refusal"].isNotNull(), F.array(this["refusal"])).otherwise(nothing)
+            ignored = F.when(first & (n > 1), F.array_repeat(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None), n)).otherwise(nothing)  # one for each row
+            no_list = F.when((F.col("target") == "record") & F.col("all_odd"), F.array(issue("rejected", "ITERATE_NOT_A_LIST", "entities[target=session].iterate"))).otherwise(nothing)
+            told = F.concat(F.when(is_session, this["issues"]).otherwise(nothing), refused, ignored, no_list)
+            df = df.withColumns({"session_issues": told, "lead": F.col("target") == "record", "kept_session": first & F.col("has_session"), "source_index": F.when(is_session, this["source_index"]).otherwise(F.col("source_index"))})
+            df = df.drop("all", "all_odd")
+        else:
+            issues_of = F.when(is_session, F.col("session_issues")).otherwise(nothing) if session is not None else nothing
+            df = df.withColumns({"session_issues": issues_of, "lead": F.col("target") == ("record" if session is None else "session"), "kept_session": is_session & F.col("has_session")})
+        issues, kept, orphan = F.col("session_issues"), F.col("kept_session"), F.lit(False)
         for target in (t for t in self.entities if t != "session"):
             entity = self.entities[target]
             carry = [c for c in df.columns if c != "row"]
@@ -171,36 +196,27 @@ class Normalised:
             df = made.select(*carry, "row", F.when(good, fields(target)).alias(target), F.when(mine, _all_issues()).otherwise(nothing).alias(f"{target}_issues"), (mine & ~F.col("rejected") & ~F.col("has_session")).alias(f"{target}_orphan"))
             odd = F.when((F.col("target") == target) & F.col("odd"), F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))).otherwise(nothing)
             issues, orphan, kept = F.concat(issues, f"{target}_issues", odd), orphan | F.col(f"{target}_orphan"), kept | F.col(target).isNotNull()
-        return df.select("line", "session_key", "target", "source_index", *self.entities, issues.alias("issues"), orphan.alias("orphan"), kept.alias("kept"))
+        target = F.when(F.col("lead"), "session").otherwise(F.col("target"))  # a record's own issues are about its sessions
+        return df.select("line", "session_key", target.alias("target"), "source_index", "lead", *self.entities, issues.alias("issues"), orphan.alias("orphan"), kept.alias("kept"))
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The rows of the pass that are entities, from the checkpoint folder: the pass is written once and read from then on.
+
+        A filter on ``kept`` over the pass itself would move below its projections and take all that they compute along,
+        and what is generated from that is too large to be compiled.
+        """
+        self._pass = settled(self._pass)
+        return self._pass.filter("kept")
 
     @cached_property
     def issues(self) -> DataFrame:
-        if self._pass is None:
-            return self._issues_by_branch()
         missing = F.when(F.col("orphan"), F.array(issue("rejected", "PARENT_SESSION_MISSING", None))).otherwise(F.array().cast(f"array<{ISSUE}>"))
         found = self._pass.select("line", "target", "source_index", F.explode(F.concat("issues", missing)).alias("i")).select("line", "target", "source_index", "i.*")
         # calls without a session are told once a record, everything else row by row
         place = F.when(F.col("code") != "PARENT_SESSION_MISSING", F.col("source_index"))
         return found.groupBy("line", "target", "severity", "code", "field_path", place.alias("at")).agg(F.count("*").alias("rows")).drop("at")
 
-    def _issues_by_branch(self) -> DataFrame:
-        """The same where one record can hold several sessions, which are ranked before its calls can be judged."""
-        found = []
-        for target, entity in self.entities.items():
-            judged, odd = self._sessions if target == "session" else self._call(target)
-            found.append(_issue_rows(judged, target, _all_issues()))
-            if entity.iterate:
-                found.append(_issue_rows(odd, target, F.array(issue("rejected", "ITERATE_NOT_A_LIST", f"entities[target={target}].iterate"))))
-            if target == "session":
-                several = judged.filter("rank = 1 AND n > 1")
-                found.append(_issue_rows(several, target, F.array(issue("warning", "MULTIPLE_SESSIONS_IGNORED", None)), F.col("n")))
-                continue
-            orphans = judged.filter("NOT rejected AND NOT has_session").groupBy("line").agg(F.count("*").alias("n"))
-            found.append(_issue_rows(orphans, target, F.array(issue("rejected", "PARENT_SESSION_MISSING", None)), F.col("n")))
-        while len(found) > 1:  # pairs of pairs, so no plan is analysed again for each part
-            found = [a.unionByName(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) - len(found) % 2 :]
-        return found[0] if found else _issue_rows(self.records, "", F.array().cast(f"array<{ISSUE}>"))
-
 
 def normalise(records: DataFrame, mapping: Mapping) -> Normalised:
     """records: (line, v). The mapping must be valid."""
@@ -222,11 +238,10 @@ def report(records: DataFrame, n: Normalised, imported: DataFrame | None = None,
     """One row: records read, imported, duplicate and rejected (distinct lines), status."""
     lines = F.count_distinct("line")
     columns = ("records_read", "records_imported", "records_duplicate", "records_rejected")
-    if n._pass is not None and imported is None and duplicates is None:
+    if imported is None and duplicates is None:
         bad = F.col("orphan") | F.exists("issues", lambda i: i["severity"] == "rejected")
-        own = F.col("target") == "session"  # one row a record
         out = n._pass.agg(
-            F.count_if(own).alias(columns[0]), F.count_if(own & F.col("kept")).alias(columns[1]), F.lit(0).cast("long").alias(columns[2]),
+            F.count_if("lead").alias(columns[0]), F.count_if(F.col("kept") & (F.col("target") == "session")).alias(columns[1]), F.lit(0).cast("long").alias(columns[2]),
             F.count_distinct(F.when(bad, F.col("line"))).alias(columns[3]),
         )
     else:
@@ -243,17 +258,10 @@ def report(records: DataFrame, n: Normalised, imported: DataFrame | None = None,
 def fields_missing(n: Normalised) -> DataFrame:
     """(field, n): how often each field of an imported entity is unknown."""
     pairs = lambda target, at: F.array(*[F.struct(F.lit(f"{target}.{f}").alias("field"), at(f).alias("n")) for f in TARGET_FIELDS[target]])
-    if n._pass is not None:
-        none = lambda t, f: F.count_if(F.col("kept") & (F.col("target") == t) & F.col(t)[f].isNull()).alias(f"{t}_{f}")
-        counts = n._pass.agg(*[none(t, f) for t in n.entities for f in TARGET_FIELDS[t]])
-        parts = counts.select(F.inline(F.concat(*[pairs(t, lambda f, t=t: F.col(f"{t}_{f}")) for t in n.entities])))
-        return parts.filter("n > 0")
-    parts = None
-    for target, df in (("session", n.session), ("model_call", n.model_call), ("tool_call", n.tool_call)):
-        counts = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in TARGET_FIELDS[target]])
-        own = counts.select(F.inline(pairs(target, F.col))).filter("n > 0")
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    none = lambda t, f: F.count_if(F.col("kept") & (F.col("target") == t) & F.col(t)[f].isNull()).alias(f"{t}_{f}")
+    counts = n._pass.agg(*[none(t, f) for t in n.entities for f in TARGET_FIELDS[t]])
+    parts = counts.select(F.inline(F.concat(*[pairs(t, lambda f, t=t: F.col(f"{t}_{f}")) for t in n.entities])))
+    return parts.filter("n > 0")
 
 
 def preview_rejected(records: DataFrame, mapping: Mapping, limit: int = 20) -> DataFrame:
@@ -269,10 +277,8 @@ def preview(records: DataFrame, mapping: Mapping, limit: int = 20, shown: int =
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1 to 500")
     n = normalise(records.orderBy("line").limit(limit), mapping)
-    rows = None
-    for target, df in (("session", n.session), ("model_call", n.model_call), ("tool_call", n.tool_call)):
-        own = df.select(F.lit(target).alias("target"), "line", "source_index", F.to_json(F.struct(*TARGET_FIELDS[target])).alias("row"))
-        rows = own if rows is None else rows.unionByName(own)
+    shown_as = F.coalesce(*[F.when(F.col("target") == t, F.to_json(t)) for t in n.entities])
+    rows = n.kept.select("target", "line", "source_index", shown_as.alias("row"))
     counts = rows.groupBy("target").agg(F.count("*").alias("n"))
     first = Window.partitionBy("target").orderBy("line", "source_index")
     return counts, rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= shown).drop("rank")

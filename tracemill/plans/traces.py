@@ -289,14 +289,14 @@ def _load(spark: SparkSession, sf_dir: str, **how) -> load.Loaded:
 
 def _facts_resolved(spark, sf_dir):
     """Every fact of the orders against the names that are known, none of them created."""
-    rows = readers.settled(load.facts(_normalised(spark, sf_dir)))
+    rows = load.facts(_normalised(spark, sf_dir))
     found = load.resolve(rows, _stored(spark, sf_dir).dimension, load.requested(rows))
     return found.select("target", "line", "source_index", "kind", "name", "context", "ref_id")
 
 
 def _facts_created(spark, sf_dir):
     """The same with an entry for every name: how ids of stored and new names lie, by kind."""
-    rows, stored = readers.settled(load.facts(_normalised(spark, sf_dir))), _stored(spark, sf_dir).dimension
+    rows, stored = load.facts(_normalised(spark, sf_dir)), _stored(spark, sf_dir).dimension
     names = load.requested(rows)
     found = load.resolve(rows, load.grow(stored, names), names).filter("name IS NOT NULL")
     old = stored.select(F.col("kind").alias("k"), F.col("name").alias("own"), F.col("id").alias("old_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -50,16 +51,17 @@ def read_head(spark: SparkSession, path: str, fmt: str | None = None, limit: int
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that every later read sees the same rows in the same partitions."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="tracemill-")
-        context.setCheckpointDir(root)
-    return df.checkpoint()
+    """df written once to the checkpoint folder as a table, so that every later read sees the same rows in the same files."""
+    session, context = df.sparkSession, df.sparkSession.sparkContext
+    root = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tracemill-")
+        session.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def numbered(lines: DataFrame, to: str = "line") -> DataFrame:

@@ -56,9 +56,9 @@ def _stage(spark: SparkSession, staged: str, mapping: Mapping, batch: DataFrame,
     broken = records.filter("broken IS NOT NULL").select("line", "physical", "raw", told.alias("issues"), F.lit("record").alias("target"), F.lit(0).alias("source_index"))
     here = lambda name: f"{staged}/{name}/batch={number}"
     n = normalise(records.filter("broken IS NULL").select("line", "v"), mapping)
-    if n._pass is not None:  # judged once, read from here on
-        _write(n._pass, here("judged"))
-        n._pass = spark.read.schema(n._pass.schema).parquet(here("judged"))
+    _write(n._pass, here("judged"))  # judged once, read from here on
+    n._pass = spark.read.schema(n._pass.schema).parquet(here("judged"))
+    n.kept = n._pass.filter("kept")
     rows = facts(n)
     _write(rows.drop("kind", "name", "context", "provider"), here("row"))
     _write(n.issues.drop("source_index").unionByName(broken.select("line", "physical", "raw", "target", F.inline("issues")).withColumn("rows", F.lit(1).cast("long")), allowMissingColumns=True), here("issue"))
