@@ -13,9 +13,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Dimension tables up to this many bytes by the optimiser's estimate are joined by broadcast.
-BROADCAST_BYTES = 64 << 20
-
 
 @dataclass(frozen=True)
 class Tables:
