@@ -278,21 +278,6 @@ def test_one_scan_of_the_records(spark):
         assert text.count("Relation [") == scans, name  # records are made of two tables
 
 
-def test_contents_are_stored_once(spark, tmp_path):
-    source, target = tmp_path / "in", str(tmp_path / "kept")
-    source.mkdir()
-    for name, text in (("a", "x"), ("b", "x"), ("c", "y")):
-        (source / name).write_text(text)
-    first = readers.store_by_content(spark, str(source), target).collect()
-    assert all(r["is_new"] for r in first) and spark.read.parquet(target).count() == 2
-    (source / "d").write_text("z")
-    again = {r["path"][-1]: r["is_new"] for r in readers.store_by_content(spark, str(source), target).collect()}
-    assert again == {"a": False, "b": False, "c": False, "d": True} and spark.read.parquet(target).count() == 3
-    runs = spark.createDataFrame([(r["sha256"], i) for i, r in enumerate(first)], "sha256 string, run_id int")
-    known = readers.known_uploads(readers.content_hash(spark, str(source)), spark.read.parquet(target), runs)
-    assert {r["path"][-1]: len(r["previous_runs"]) for r in known.collect()} == {"a": 2, "b": 2, "c": 1, "d": 0}
-
-
 def test_bytes_are_never_decoded():
     assert redact.sanitize([b"secret", "a@b.org"]) == ["[BINARY:6 bytes]", "[REDACTED_EMAIL]"]
 

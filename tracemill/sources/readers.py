@@ -1,4 +1,4 @@
-"""Sources: JSON lines (strict or explained), CSV and Parquet, their formats, line numbers and hashes."""
+"""Sources: JSON lines (strict or explained), CSV and Parquet, their formats and line numbers."""
 
 from __future__ import annotations
 
@@ -6,14 +6,12 @@ import tempfile
 import uuid
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # File name endings of each format.
 SUFFIXES = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
 PARQUET_MAGIC = b"PAR1"
-MAX_BYTES = 512 << 20
 
 
 def infer_format(name: str) -> str:
@@ -198,41 +196,6 @@ def sniff(head: bytes, name: str) -> str:
     return "csv"
 
 
-def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of files up to MAX_BYTES; larger ones fail."""
-    files = spark.read.format("binaryFile").load(path)
-    checked = F.when(F.col("length") <= MAX_BYTES, F.sha2("content", 256)).otherwise(F.raise_error(F.lit("the file is too large")).cast("string"))
-    return files.select("path", F.col("length").alias("size"), checked.alias("sha256"))
-
-
-def known_uploads(new: DataFrame, stored: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Files whose content is already stored; with ``runs`` (sha256, run_id) their earlier runs as well, in order."""
-    known = new.join(stored.select("sha256"), "sha256", "left_semi")
-    if runs is None:
-        return known
-    earlier = runs.groupBy("sha256").agg(F.sort_array(F.collect_set("run_id")).alias("previous_runs"))  # runs of one content
-    return known.join(earlier, "sha256", "left").withColumn("previous_runs", F.coalesce("previous_runs", F.array().cast(earlier.schema["previous_runs"].dataType)))
-
-
-def store_by_content(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Store files under ``target`` by the hash of their content, each content once: (path, size, sha256, is_new).
-
-    Staged and renamed as Spark commits a write: the rows (sha256, size, content) of a batch appear whole or not at all.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    hashed = content_hash(spark, path)
-    try:
-        stored = spark.read.parquet(target).select("sha256")
-    except AnalysisException as e:  # nothing was stored yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = hashed.select("sha256").limit(0)
-    new = settled(hashed.join(stored.distinct().withColumn("known", F.lit(True)), "sha256", "left").withColumn("is_new", F.col("known").isNull()).drop("known"))
-    first = new.filter("is_new").groupBy("sha256").agg(F.min("path").alias("path"))
-    files.join(first, "path").select("sha256", F.col("length").alias("size"), "content").write.mode("append").parquet(target)
-    return new.select("path", "size", "sha256", "is_new")
-
-
 def empty_records(spark: SparkSession) -> DataFrame:
     """What a file without content holds."""
     return spark.createDataFrame([], "line long, raw string").withColumn("v", F.try_parse_json("raw"))
