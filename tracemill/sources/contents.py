@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from tracemill.sources.readers import settled
 
 MAX_BYTES = 512 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Chunks that a writing task takes of one file in a row.
-RUN = 16
+RUN = 64
 #: A row group holds a few chunks and is looked at after each, so that neither writers nor readers hold more.
 PARQUET = {
-    "parquet.block.size": 4 * CHUNK, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
-    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false",
+    "parquet.block.size": 8 * CHUNK, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled#bytes": "false",
 }
 CONTENT = "sha256 string, size long, chunks long, upload string"
 STORED = "sha256 string, upload string, number long, bytes binary"
