@@ -51,7 +51,7 @@ def leaves(t: T.DataType, path: str = "$") -> Iterator[tuple[str, T.DataType, Op
         yield path, t, lambda x, binary=isinstance(t, T.BinaryType): F.array(F.hex(x) if binary else x.cast("string"))
 
 
-def _entries(number: int, values: Column) -> Column:
+def entries_of(number: int, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(number).alias("leaf"), v.alias("value")))
 
 
@@ -65,7 +65,7 @@ def profile(df: DataFrame, order: str | None = None) -> DataFrame:
     found = [(path, kind, g(F.struct(*[F.col(f"`{f.name}`") for f in data.fields]))) for path, kind, g in leaves(data)]
     if not found:
         return empty_profile(df.sparkSession)
-    own = df.select(at.alias("at"), F.explode(F.concat(*[_entries(i, c) for i, (_, _, c) in enumerate(found)])).alias("e")).select("at", "e.*")
+    own = df.select(at.alias("at"), F.explode(F.concat(*[entries_of(i, c) for i, (_, _, c) in enumerate(found)])).alias("e")).select("at", "e.*")
 
     of = lambda *kinds: F.col("leaf").isin(*[i for i, (_, k, _) in enumerate(found) if isinstance(k, kinds)])
     number = F.struct(F.when(of(T.IntegralType), F.col("value").try_cast("long")), F.when(of(T.FractionalType, T.DecimalType), F.col("value").try_cast("double")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.bindings import read
 from tracemill.functions import paths, redact, values
 from tracemill.functions.values import Value
-from tracemill.operators import load, merge, normalize, profile
+from tracemill.operators import load, merge, normalize, profile, profile_states
 from tracemill.plans.mapping import Entity, Field, Mapping
 from tracemill.sources import readers
 
@@ -349,6 +349,28 @@ def _profile_lists(spark, sf_dir):
     return profile.profile(t, order="at")
 
 
+def _by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by market segment, each segment in place of a file; whole numbers above 2^53 among them."""
+    key = F.col("c_custkey")
+    part = F.struct(F.when(key % 3 != 0, F.array("c_name", "c_mktsegment")).alias("names"))
+    columns = ["c_nationkey", "c_acctbal", "c_name", F.when(key % 4 != 0, F.col("c_nationkey")).alias("sparse"), (key.cast("long") + (1 << 53)).alias("large"), F.when(key < 0, key).alias("none"), part.alias("box")]
+    return read(spark, sf_dir, "customer").select(key.alias("at"), F.col("c_mktsegment").alias("segment"), *columns)
+
+
+def _profile_states(spark, sf_dir):
+    s = profile_states.states(_by_segment(spark, sf_dir), "segment", "at")
+    return s.select("file", "path", "rows", "total", "present", F.col("low.value").alias("min"), F.col("high.value").alias("max"), F.transform("examples", lambda e: e["value"]).alias("examples"))
+
+
+def _profile_merged(spark, sf_dir):
+    """Merged states, whose distinct ratios are put against exact ones of the same rows."""
+    rows = _by_segment(spark, sf_dir)
+    whole = profile_states.merged(profile_states.states(rows, "segment", "at"))
+    exact = profile.profile(rows.drop("segment"), order="at").select("path", F.col("distinct_ratio").alias("exact"))
+    near = F.coalesce(F.abs(F.col("distinct_ratio") - F.col("exact")) <= 0.03 * F.col("exact"), F.col("distinct_ratio").isNull() & F.col("exact").isNull())
+    return whole.join(exact, "path").select("path", "types", "null_ratio", "examples", "min", "max", near.alias("distinct_near"))
+
+
 def _redacted(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.col("text")).alias("text"))
 
@@ -453,6 +475,8 @@ QUERIES = {
     "imported_tool_calls": _imported_calls,
     "file_profile": _profile,
     "file_profile_lists": _profile_lists,
+    "file_profile_states": _profile_states,
+    "file_profile_merged": _profile_merged,
     "redacted_by_hand": _redacted_by_hand,
     "redacted_json": _redacted_json,
     "redacted_documents": _redacted,
@@ -480,6 +504,19 @@ _MISSING = (
 )
 
 
+# Values of _by_segment by file and leaf: f, path, kind, key, place in a list, text, and what it is compared by.
+_SEGMENTS = """WITH c AS (SELECT *, c_custkey AS k, c_mktsegment AS f FROM customer),
+  e AS (SELECT f, '$' AS path, 'record' AS kind, k, 0 AS i, NULL::VARCHAR AS v, NULL::DECIMAL(38, 6) AS x FROM c
+  UNION ALL SELECT f, '$.c_nationkey', 'integer', k, 0, c_nationkey::VARCHAR, c_nationkey FROM c
+  UNION ALL SELECT f, '$.c_acctbal', 'float', k, 0, c_acctbal::VARCHAR, c_acctbal FROM c
+  UNION ALL SELECT f, '$.c_name', 'string', k, 0, c_name, NULL FROM c
+  UNION ALL SELECT f, '$.sparse', 'integer', k, 0, CASE WHEN k % 4 <> 0 THEN c_nationkey END::VARCHAR, CASE WHEN k % 4 <> 0 THEN c_nationkey END FROM c
+  UNION ALL SELECT f, '$.large', 'integer', k, 0, (k + 9007199254740992)::VARCHAR, k FROM c
+  UNION ALL SELECT f, '$.none', 'integer', k, 0, NULL, NULL FROM c
+  UNION ALL SELECT f, '$.box.names[]', 'string', k, i, CASE WHEN k % 3 <> 0 THEN CASE i WHEN 0 THEN c_name ELSE f END END, NULL FROM c, range(2) r(i) WHERE i = 0 OR k % 3 <> 0)
+  """
+
+
 def _redaction_sql() -> str:
     """The rules as nested calls; look-ahead rules have no match in these documents and are left out."""
     sql = "text"
@@ -623,6 +660,11 @@ ORACLES = {
   UNION ALL SELECT 'duplicate', count(*) FROM g WHERE n > 1 OR known UNION ALL SELECT 'unlinked', (SELECT count(*) FROM f) - (SELECT count(*) FROM g)""",
     "calls_linked": """SELECT CAST(l_orderkey AS VARCHAR) AS session_key, l_linenumber AS sequence_index, l_partkey, l_suppkey, o_orderkey + 1000 AS session_id
   FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON o_orderkey = l_orderkey""",
+    "file_profile_states": _SEGMENTS
+    + """SELECT f AS file, path, count(DISTINCT k) AS rows, count(*) AS total, count(v) AS present, arg_min(v, x) AS min, arg_max(v, x) AS max, coalesce((list(v ORDER BY k, i) FILTER (v IS NOT NULL))[1:3], []) AS examples FROM e GROUP BY f, path""",
+    "file_profile_merged": _SEGMENTS
+    + """SELECT path, CASE WHEN count(v) = 0 THEN ['null'] WHEN count(v) < count(*) THEN [any_value(kind), 'null'] ELSE [any_value(kind)] END AS types, 1 - count(v) / count(*) AS null_ratio,
+    coalesce((list(v ORDER BY f, k, i) FILTER (v IS NOT NULL))[1:3], []) AS examples, arg_min(v, x) AS min, arg_max(v, x) AS max, true AS distinct_near FROM e WHERE path <> '$' GROUP BY path""",
     "file_profile_lists": """WITH n AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 5 = 1 THEN [NULL] ELSE [n_nationkey, n_nationkey % 2] END AS tags FROM nation),
   t AS (SELECT k, unnest(tags) AS v, unnest(range(len(tags))) AS i FROM n)
   SELECT '$.tags[]' AS path, ['integer', 'null'] AS types, 1 - count(v) / count(*) AS null_ratio, (list(CAST(v AS VARCHAR) ORDER BY k, i) FILTER (v IS NOT NULL))[1:3] AS examples,

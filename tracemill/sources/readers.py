@@ -21,23 +21,24 @@ def infer_format(name: str) -> str:
     return SUFFIXES[suffix]
 
 
-def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def scan_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Schema over the whole input."""
     return spark.read.option("samplingRatio", 1.0).json(path)
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Header and inferred types over the whole input; blank cells are null."""
     return spark.read.option("header", True).option("inferSchema", True).option("multiLine", False).csv(path)
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One path under its own schema, several under that of them all."""
+    return spark.read.parquet(path) if isinstance(path, str) else spark.read.option("mergeSchema", True).parquet(*path)
 
 
-def scan_file(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def scan_file(spark: SparkSession, path: str | list[str], fmt: str | None = None) -> DataFrame:
     readers = {"jsonl": scan_jsonl, "csv": scan_csv, "parquet": scan_parquet}
-    fmt = fmt or infer_format(path)
+    fmt = fmt or infer_format(path if isinstance(path, str) else path[0])
     if fmt not in readers:
         raise ValueError(f"unsupported format {fmt!r}")
     return readers[fmt](spark, path)
