@@ -273,7 +273,7 @@ def test_one_scan_of_the_records(spark):
     from tests.test_catalog import SF
     from tracemill.plans import traces
 
-    for name, scans in (("odd_records_issues", 1), ("normalisation_issues", 2), ("import_report", 2), ("fields_missing", 2), ("file_profile", 2), ("merge_accounting", 2)):
+    for name, scans in (("odd_records_issues", 1), ("normalisation_issues", 2), ("import_report", 2), ("fields_missing", 2), ("file_profile", 2), ("merge_accounting", 2), ("reference_requests", 2), ("import_preview_rejected", 2)):
         text = traces.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("Relation [") == scans, name  # records are made of two tables
 

@@ -20,6 +20,13 @@ from tracemill.schema import OUTCOMES, STATUSES, TARGET_FIELDS
 from tracemill.sources.readers import settled
 
 
+# The names that each entity asks for, as (kind, field, field of the provider they belong to).
+ASKS = (
+    ("session", ("agent", "agent_name", None)),
+    ("model_call", ("provider", "provider_name", None)),
+    ("model_call", ("model", "model_name", "provider_name")),
+    ("tool_call", ("tool", "tool_name", None)),
+)
 ITEMS = "array<struct<target:string,source_index:int,row:variant,odd:boolean>>"
 
 
@@ -226,12 +233,13 @@ def normalise(records: DataFrame, mapping: Mapping) -> Normalised:
 
 
 def reference_requests(n: Normalised) -> DataFrame:
-    """Distinct names that the facts refer to: (kind, name, provider_name)."""
-    ask = lambda df, kind, column, context=None: df.filter(F.col(column).isNotNull()).select(F.lit(kind).alias("kind"), F.col(column).alias("name"), (F.col(context) if context else F.lit(None).cast("string")).alias("provider_name"))
-    all_of = ask(n.session, "agent", "agent_name")
-    for part in (ask(n.model_call, "provider", "provider_name"), ask(n.model_call, "model", "model_name", "provider_name"), ask(n.tool_call, "tool", "tool_name")):
-        all_of = all_of.unionByName(part)
-    return all_of.distinct()
+    """Distinct names that the facts refer to: (kind, name, provider_name). One pass over the records."""
+    own = lambda target, field: F.when(F.col("kept") & (F.col("target") == target), F.col(f"{target}.{field}"))
+    asked = [(target, *a) for target, a in ASKS if target in n.entities]
+    if not asked:
+        return n.records.sparkSession.createDataFrame([], "kind string, name string, provider_name string")
+    names = [F.struct(F.lit(kind).alias("kind"), own(target, field).alias("name"), (own(target, context) if context else F.lit(None).cast("string")).alias("provider_name")) for target, kind, field, context in asked]
+    return n._pass.select(F.inline(F.array(*names))).filter("name IS NOT NULL").distinct()
 
 
 def report(records: DataFrame, n: Normalised, imported: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
