@@ -88,15 +88,11 @@ def resolve(row: Column, names: tuple[str, ...]) -> Column:
     return known(at(row, names))
 
 
-def is_list(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-
-
 def _elements(row: Column, names: tuple[str, ...]) -> tuple[Column, Column]:
     """(the list at names, empty if there is none; whether something else stands there)."""
-    value = resolve(row, names)
-    found = F.when(is_list(value), value.cast("array<variant>"))
-    wrong = value.isNotNull() & ~is_list(value)
+    # only a list can be read as one, whatever it holds; to ask for its schema would walk all its elements
+    found = F.try_variant_get(row, _variant_path(names), "array<variant>")
+    wrong = resolve(row, names).isNotNull() & found.isNull()
     # a step into something that is no object is a wrong type as well
     for i in range(1, len(names)):
         inner = resolve(row, names[:i])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import paths
@@ -30,6 +30,11 @@ ASKS = (
 ITEMS = "array<struct<target:string,source_index:int,row:variant,odd:boolean>>"
 
 
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+#: Methods of more bytecode than this are never compiled by the JVM (-XX:HugeMethodLimit).
+COMPILED_BYTES = 8000
+
+
 def _flag(when: Column, code: str, at: str | None = None) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), issue("rejected", code, at))
 
@@ -225,10 +230,20 @@ class Normalised:
         return found.groupBy("line", "target", "severity", "code", "field_path", place.alias("at")).agg(F.count("*").alias("rows")).drop("at")
 
 
+def _compilable(spark: SparkSession) -> None:
+    """Let stages whose generated method is larger than the JVM compiles run operator by operator, whose code Spark cuts up.
+
+    A mapping is many projections in a row. As one method they pass Spark's own limit and stay interpreted for good.
+    """
+    if int(spark.conf.get(METHOD_LIMIT)) > COMPILED_BYTES:
+        spark.conf.set(METHOD_LIMIT, COMPILED_BYTES)
+
+
 def normalise(records: DataFrame, mapping: Mapping) -> Normalised:
-    """records: (line, v). The mapping must be valid."""
+    """records: (line, v). The mapping must be valid. Lowers METHOD_LIMIT in the session to what the JVM compiles."""
     if problems := validate(mapping):
         raise ValueError(f"invalid mapping: {problems}")
+    _compilable(records.sparkSession)
     return Normalised(records, mapping)
 
 
