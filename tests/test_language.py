@@ -1,6 +1,7 @@
 """Paths, value operators, validation, normalisation and loads on small records."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tracemill.functions import paths, redact, values
 from tracemill.functions.values import Value
 from tracemill.operators import merge, normalize, profile
 from tracemill.plans import mapping as m
+from tracemill.plans import traces
 from tracemill.sources import readers
 from tracemill.streaming.ingest import daily_counts, ingest
 
@@ -289,3 +291,14 @@ def test_stream_counts_days(spark, tmp_path):
     q = daily_counts(events).writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM days").first()[0] == 1000
+
+
+def test_values_of_a_record_are_read_once(spark):
+    """No filter reads them a second time below the projections, and no value carries its record's names along."""
+    sf = "/root/testdata/sf0.001"
+    n = normalize.normalise(traces.order_records(spark, sf), traces.ORDER_MAPPING)
+    for df in (n.session, n.model_call, n.tool_call, n.issues, n._pass):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter " in line]
+        assert not [line for line in filters if "variant_get" in line]
+        assert not re.search(r"AS __[rp]\d", plan)

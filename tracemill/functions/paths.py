@@ -88,21 +88,30 @@ def resolve(row: Column, names: tuple[str, ...]) -> Column:
     return known(at(row, names))
 
 
-def _elements(row: Column, names: tuple[str, ...]) -> tuple[Column, Column]:
-    """(the list at names, empty if there is none; whether something else stands there)."""
+def listed(row: Column, names: tuple[str, ...]) -> Column:
+    """The list at a path, null if there is none."""
     # only a list can be read as one, whatever it holds; to ask for its schema would walk all its elements
-    found = F.try_variant_get(row, _variant_path(names), "array<variant>")
-    wrong = resolve(row, names).isNotNull() & found.isNull()
+    return F.try_variant_get(row, _variant_path(names), "array<variant>")
+
+
+def _elements(row: Column, names: tuple[str, ...], found: Column | None = None) -> tuple[Column, Column]:
+    """(the list at names, empty if there is none; whether something else stands there). found: listed(row, names)."""
+    found = listed(row, names) if found is None else found
+    wrong = resolve(row, names).isNotNull()
     # a step into something that is no object is a wrong type as well
     for i in range(1, len(names)):
         inner = resolve(row, names[:i])
         wrong = wrong | (inner.isNotNull() & ~F.schema_of_variant(inner).startswith("OBJECT"))
-    return F.coalesce(found, F.array().cast("array<variant>")), wrong
+    # where there is a list, nothing wrong stands on the way to it
+    return F.coalesce(found, F.array().cast("array<variant>")), F.when(found.isNull(), wrong).otherwise(False)
+
 
+def iterate(row: Column, path: Path, found: Column | None = None) -> tuple[Column, Column]:
+    """(all rows at the path in order; whether a wrong type stood where a list should be).
 
-def iterate(row: Column, path: Path) -> tuple[Column, Column]:
-    """(all rows at the path in order; whether a wrong type stood where a list should be)."""
-    rows, wrong = _elements(row, path.groups[0])
+    found: a column that holds listed() of the path's first part already.
+    """
+    rows, wrong = _elements(row, path.groups[0], found)
     for names in path.groups[1:-1]:
         found, odd = _inside(names)
         wrong = wrong | F.exists(rows, odd)

@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions import paths
+
 #: White space that trim removes.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _BLANK = r"^[\s\x{85}\x{A0}]*$"
@@ -36,26 +38,32 @@ NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 class Views:
     """What is asked of a variant again and again, best held in columns of their own."""
 
-    type: Column  # STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, OBJECT<...>, ARRAY<...>
+    type: Column  # STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, OBJECT, ARRAY, VOID
     string: Column
     double: Column
     long: Column
 
 
-def views_of(v: Column, kind: Column | None = None) -> Views:
-    """The views; ``kind`` is a column that holds the type already. Numbers are only read where numbers are held."""
-    own = F.schema_of_variant(v) if kind is None else kind
-    of = lambda names, to: F.when(own.rlike(f"^(?:{'|'.join(names)})"), F.try_variant_get(v, "$", to))
-    plain = F.when(~own.rlike("^(?:OBJECT|ARRAY)"), F.try_variant_get(v, "$", "string"))
+def type_of(v: Column) -> Column:
+    """The type's name, without what is in it."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+
+
+def views_of(v: Column, kind: Column | None = None, path: str = "$") -> Views:
+    """The views of what is at the path; ``kind`` is a column that holds its type already. Numbers are only read where numbers are held."""
+    own = type_of(v) if kind is None else kind
+    of = lambda names, to: F.when(own.isin(*names), F.try_variant_get(v, path, to))
+    plain = F.when(~own.isin("OBJECT", "ARRAY"), F.try_variant_get(v, path, "string"))
     return Views(own, plain, of(NUMBERS, "double"), of(NUMBERS[:4], "long"))
 
 
 class Asked(Views):
-    """Views in columns of their own, of which only those asked for need be made: names them in ``used``."""
+    """Views of what is at names in a row, in columns of their own, of which only those asked for need be made: names
+    them in ``used``. They are read from the row: a variant of each value would carry all names of its record along."""
 
-    def __init__(self, number: int):
-        object.__setattr__(self, "number", number)
-        object.__setattr__(self, "used", set())
+    def __init__(self, number: int, row: Column, names: tuple[str, ...]):
+        for k, v in {"number": number, "row": row, "names": names, "used": set()}.items():
+            object.__setattr__(self, k, v)
 
     def __getattribute__(self, name: str):
         if name in ("type", "string", "double", "long"):
@@ -63,6 +71,16 @@ class Asked(Views):
             return F.col(f"__{name}{self.number}")
         return object.__getattribute__(self, name)
 
+    def known_type(self) -> Column:
+        """The type column: null where the value is absent or JSON null."""
+        own = type_of(paths.at(self.row, self.names))
+        return F.nullif(own, F.lit("VOID"))
+
+    def made(self) -> dict[str, Column]:
+        """The columns asked for but the type, which they need."""
+        own = vars(views_of(self.row, F.col(f"__type{self.number}"), paths._variant_path(self.names)))
+        return {f"__{k}{self.number}": c for k, c in own.items() if k in self.used and k != "type"}
+
 
 @dataclass(frozen=True)
 class Value:
@@ -75,6 +93,11 @@ class Value:
     def views(self) -> Views:
         return self.held or views_of(self.column)
 
+    @property
+    def there(self) -> Column:
+        """Whether there is a value."""
+        return self.column.isNotNull() if self.held is None else self.held.type.isNotNull()
+
     def failed(self, when: Column, code: str) -> Value:
         """Null, with a code, where ``when`` holds."""
         own = F.when(when, F.lit(code))
@@ -86,7 +109,7 @@ class Value:
 
 
 def _is(views: Views, *names: str) -> Column:
-    return F.coalesce(views.type.rlike(f"^(?:{'|'.join(names)})"), F.lit(False))
+    return F.coalesce(views.type.isin(*names), F.lit(False))
 
 
 def text(value: Value) -> Column:
@@ -132,7 +155,7 @@ def cast(value: Value, to: str, on_error: str = "reject") -> Value:
     """Blank strings are unknown for every target."""
     if to == "string":
         return value.then("string", F.when(~is_blank(value), text(value)))
-    v, there = value, value.column.isNotNull() & ~is_blank(value)
+    v, there = value, value.there & ~is_blank(value)
     spelt = _trimmed(text(v))
     if to == "integer":
         whole = F.when(spelt.rlike(r"^[+-]?[0-9]+$"), spelt.try_cast("long"))
@@ -191,7 +214,7 @@ def parse_datetime(value: Value, fmt: str) -> Value:
         out = F.when(spelt.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?$"), F.try_to_timestamp(spelt))
     else:
         out = F.try_to_timestamp(text(value), F.lit(java_pattern(fmt)))
-    return value.then("timestamp", out).failed(value.column.isNotNull() & out.isNull(), "DATETIME_PARSE_FAILED")
+    return value.then("timestamp", out).failed(value.there & out.isNull(), "DATETIME_PARSE_FAILED")
 
 
 def literal(v: object) -> Value:
@@ -242,7 +265,7 @@ def unit_convert(value: Value, source: str, to: str) -> Value:
     number = _number(value) * factor
     whole = to.lower() in WHOLE_UNITS
     sane = F.when(F.abs(number) < 9.2e18, F.rint(number).cast("long")) if whole else number
-    return value.then("long" if whole else "double", sane).failed(value.column.isNotNull() & sane.isNull(), "OPERATOR_FAILED")
+    return value.then("long" if whole else "double", sane).failed(value.there & sane.isNull(), "OPERATOR_FAILED")
 
 
 def map_values(value: Value, table: dict[str, object], on_unknown: str, constant: object = None) -> Value:
@@ -367,7 +390,7 @@ def gate(value: Value, target: str | None) -> tuple[Value, Column]:
             return value.then("string", c.cast("string")), F.lit(False)
         if value.kind == "variant":
             fits = _is(value.views, "STRING", *NUMBERS)
-            return value.then("string", F.when(fits, value.views.string)), c.isNotNull() & ~fits
+            return value.then("string", F.when(fits, value.views.string)), value.there & ~fits
     elif target == "long":
         if value.kind == "double":
             fits = F.abs(c) < 9.2e18
@@ -376,5 +399,5 @@ def gate(value: Value, target: str | None) -> tuple[Value, Column]:
             v = value.views
             whole = _is(v, *NUMBERS[:4])
             fraction = _is(v, *NUMBERS[4:]) & F.coalesce(F.abs(v.double) < 9.2e18, F.lit(False))
-            return value.then("long", F.when(whole, v.long).when(fraction, F.rint(v.double).cast("long"))), c.isNotNull() & ~(whole | fraction)
-    return value.then(target, none.cast(target)), c.isNotNull()
+            return value.then("long", F.when(whole, v.long).when(fraction, F.rint(v.double).cast("long"))), value.there & ~(whole | fraction)
+    return value.then(target, none.cast(target)), value.there

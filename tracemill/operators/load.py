@@ -134,7 +134,7 @@ def load(records: DataFrame, mapping: Mapping, stored: Stored, create: bool = Tr
     Records whose line an earlier attempt of the same run has stored (done: line_number) are left out.
     """
     if done is not None:
-        records = settled(unstored_lines(records, done))
+        records = settled(unstored_lines(records, done).select("line", "v"))
     n = normalise(records, mapping)
     rows = settled(facts(n))
     names = settled(requested(rows))

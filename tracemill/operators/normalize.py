@@ -39,6 +39,14 @@ def _flag(when: Column, code: str, at: str | None = None) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), issue("rejected", code, at))
 
 
+def _where(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet the condition, which is read where it stands.
+
+    A filter over projections moves below them and computes all that it asks for a second time, unless they number rows.
+    """
+    return rows.withColumn("__at", F.monotonically_increasing_id()).filter(condition & (F.col("__at") >= 0)).drop("__at")
+
+
 def _judged(rows: DataFrame, entity: Entity) -> DataFrame:
     """Add refusals in order of judgement: natural key, names, vocabulary; only the first kind applies."""
     keys = [F.col(k).isNull() for k in entity.natural_key]
@@ -115,7 +123,7 @@ class Normalised:
             return self._nothing("session")
         if self.entities["session"].iterate:
             return self.kept.filter("target = 'session'").select("line", "source_index", "session.*")
-        return self._sessions.filter("NOT rejected AND refusal IS NULL").drop("issues", "rejected", "refusal", "v")
+        return _where(self._sessions, ~F.col("rejected") & F.col("refusal").isNull()).drop("issues", "rejected", "refusal", "v")
 
     @cached_property
     def _whole(self) -> DataFrame:
@@ -150,7 +158,7 @@ class Normalised:
     def _kept(self, target: str) -> DataFrame:
         if target not in self.entities:
             return self._nothing(target).withColumn("session_key", F.lit(None).cast("string"))
-        return self._call(target)[0].filter("NOT rejected AND has_session AND refusal IS NULL").drop("issues", "rejected", "has_session", "refusal")
+        return _where(self._call(target)[0], ~F.col("rejected") & F.col("has_session") & F.col("refusal").isNull()).drop("issues", "rejected", "has_session", "refusal")
 
     @cached_property
     def model_call(self) -> DataFrame:
@@ -169,6 +177,9 @@ class Normalised:
         fields = lambda t: F.struct(*TARGET_FIELDS[t])
         whole = self._whole
         own = [c for c in whole.columns if c != "v"]
+        prefixes = {t: paths.iterate_path(e.iterate) for t, e in self.entities.items() if t != "session" and e.iterate}
+        if prefixes:  # each list is read once, though rows and what is wrong ask for it
+            whole = whole.withColumns({f"__list_{t}": paths.listed(F.col("v"), p.groups[0]) for t, p in prefixes.items()})
         none = F.lit(None).cast("variant")
         items = [F.array(_item("record" if several or session is None else "session")(none, F.lit(0)))]
         if several:
@@ -176,7 +187,7 @@ class Normalised:
         for target in (t for t in self.entities if t != "session"):
             entity = self.entities[target]
             if entity.iterate:
-                rows, wrong = paths.iterate(F.col("v"), paths.iterate_path(entity.iterate))
+                rows, wrong = paths.iterate(F.col("v"), prefixes[target], F.col(f"__list_{target}"))
                 items.append(F.transform(rows, _item(target)))
                 items.append(F.when(wrong, F.array(_item(target, odd=True)(F.lit(None).cast("variant"), F.lit(0)))).otherwise(F.array().cast(ITEMS)))
             else:
@@ -196,6 +207,8 @@ class Normalised:
         else:
             issues_of = F.when(is_session, F.col("session_issues")).otherwise(nothing) if session is not None else nothing
             df = df.withColumns({"session_issues": issues_of, "lead": F.col("target") == ("record" if session is None else "session"), "kept_session": is_session & F.col("has_session")})
+        if session is not None:  # calls do not carry it along
+            df = df.withColumn("session", F.when(is_session, F.col("session")))
         issues, kept, orphan = F.col("session_issues"), F.col("kept_session"), F.lit(False)
         for target in (t for t in self.entities if t != "session"):
             entity = self.entities[target]
@@ -224,7 +237,8 @@ class Normalised:
     @cached_property
     def issues(self) -> DataFrame:
         missing = F.when(F.col("orphan"), F.array(issue("rejected", "PARENT_SESSION_MISSING", None))).otherwise(F.array().cast(f"array<{ISSUE}>"))
-        found = self._pass.select("line", "target", "source_index", F.explode(F.concat("issues", missing)).alias("i")).select("line", "target", "source_index", "i.*")
+        told = _where(self._pass.select("line", "target", "source_index", F.concat("issues", missing).alias("told")), F.size("told") > 0)
+        found = told.select("line", "target", "source_index", F.explode("told").alias("i")).select("line", "target", "source_index", "i.*")
         # calls without a session are told once a record, everything else row by row
         place = F.when(F.col("code") != "PARENT_SESSION_MISSING", F.col("source_index"))
         return found.groupBy("line", "target", "severity", "code", "field_path", place.alias("at")).agg(F.count("*").alias("rows")).drop("at")

@@ -71,16 +71,16 @@ def _sources(entity: Entity) -> list[str]:
 def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path | None, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns with all data fields of the entity, issues and rejected.
 
-    Sources, each round of operators and the type gate are projections of their own, so no value is
-    computed twice however often the next round refers to it.
+    Types of the sources, what is asked of them, each round of operators and the type gate are projections of their own,
+    so no value is computed twice however often the next round refers to it.
     """
     sources = {p: i for i, p in enumerate(_sources(entity))}
-    views = {i: values.Asked(i) for i in sources.values()}
+    views = {i: values.Asked(i, F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, i in sources.items()}
     rounds: list[dict[str, Column]] = []
 
     def lookup(path: str) -> Value:
-        i = sources[path]
-        return Value("variant", F.col(f"__p{i}"), held=views[i])
+        own = views[sources[path]]
+        return Value("variant", paths.resolve(own.row, own.names), held=own)
 
     states = [lookup(f.source) for f in entity.fields]
     for depth in range(max((len(f.operators) for f in entity.fields), default=0)):
@@ -93,7 +93,7 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
                     made[f"__e{i}_{depth}"] = v.error
                 states[i] = Value(v.kind, F.col(f"__v{i}_{depth}"), F.col(f"__e{i}_{depth}") if v.error is not None else None)
         rounds.append(made)
-    fitted = {}
+    fitted, held = {}, [v.there for v in states]
     for i, f in enumerate(entity.fields):
         v, mismatch = values.gate(states[i], TARGET_FIELDS[entity.target][f.target])
         fitted[f"__g{i}"] = v.column.cast(_sql_type(TARGET_FIELDS[entity.target][f.target]))
@@ -101,11 +101,9 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
     rounds.append(fitted)
     df = rows
     if sources:  # only now is it known which views are asked for
-        df = df.withColumns({f"__r{i}": paths.at(F.col(row), paths.strip_prefix(p, prefix).groups[0]) for p, i in sources.items()})
-        df = df.withColumns({f"__p{i}": paths.known(F.col(f"__r{i}")) for i in sources.values()})
-        typed = {f"__type{i}": F.schema_of_variant(F.col(f"__p{i}")) for i, v in views.items() if v.used}
+        typed = {f"__type{i}": v.known_type() for i, v in views.items() if v.used}
         df = df.withColumns(typed) if typed else df
-        made = {f"__{k}{i}": c for i, v in views.items() for k, c in vars(values.views_of(F.col(f"__p{i}"), F.col(f"__type{i}"))).items() if k in v.used and k != "type"}
+        made = {k: c for v in views.values() for k, c in v.made().items()}
         df = df.withColumns(made) if made else df
     for made in filter(None, rounds):
         df = df.withColumns(made)
@@ -121,7 +119,7 @@ def entity_frame(rows: DataFrame, entity: Entity, row: str, prefix: paths.Path |
         issues.append((mismatch, issue("rejected", "TYPE_MISMATCH", here)))
         rejected = rejected | mismatch
         if f.required:
-            absent = states[i].column.isNull()
+            absent = ~held[i]
             issues.append((absent & ~failed, issue("rejected", "MISSING_REQUIRED_FIELD", here)))
             rejected = rejected | absent
     return df.select(*keep, *[c.alias(k) for k, c in out.items()], collected(*issues).alias("issues"), rejected.alias("rejected"))
