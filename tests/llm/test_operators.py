@@ -939,3 +939,17 @@ def test_names_that_do_not_speak_against_content(spark):
     df = spark.createDataFrame([(1, "http://h/a", html), (2, "http://i/a", html.replace("article", "section"))], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in wrapper.extract(df).collect()}
     assert got == {1: "T\ntext", 2: "text"}  # without an article, a header element is the page's
+
+
+def test_lzw_codes_are_followed_without_a_step_for_each():
+    """Codes of a full table after a late clear, codes that stand for themselves, and codes beyond the table."""
+    part, begin, lengths = gif_frames._expand(np.array([97, 258, 259, 98, 258]), 256)
+    assert (part, begin.tolist(), lengths.tolist()) == (b"a" + b"aa" + b"aaa" + b"b" + b"aa", [0, 1, 3, 6, 7], [1, 2, 3, 1, 2])
+    for codes in ([256], [300], [97, 259], [97, 258, 260]):
+        with pytest.raises(ValueError):
+            gif_frames._expand(np.array(codes), 256)
+    grow = [i % 256 for i in range(4096 - 257)]  # samples only, until the table is full
+    codes = np.array([256, *grow, 258, 4095, 258, 257])
+    widths = np.concatenate(([9], gif_frames._widths(len(grow), 258, 8), [12, 12, 12, 12]))
+    want = bytes(grow) + bytes((0, 1)) + bytes(grow[-2:]) + bytes((0, 1))
+    assert gif_frames.lzw_decode(gif_frames._pack(codes, widths), 8, len(want)) == want

@@ -64,26 +64,27 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     blocks: list[int] = [0]  # where each run of codes after a clear begins
     if samples:
         table: dict[int, int] = {}
-        free, get, emit = end + 1, table.get, codes.append
+        made: list[int] = []  # codes, each shifted to leave room for the next sample: shifted once, not at every sample
+        free, full, get, emit = end + 1 << 8, 4096 << 8, table.get, made.append
         blocks.append(1)
-        prefix = samples[0]
+        prefix = samples[0] << 8
         for c in memoryview(samples)[1:]:
-            key = prefix << 8 | c
-            code = get(key)
+            code = get(prefix | c)
             if code is not None:
                 prefix = code
                 continue
             emit(prefix)
-            if free < 4096:
-                table[key] = free
-                free += 1
+            if free < full:
+                table[prefix | c] = free
+                free += 256
             else:
-                emit(clear)
-                blocks.append(len(codes))
+                emit(clear << 8)
+                blocks.append(len(made) + 1)
                 table.clear()
-                free = end + 1
-            prefix = c
+                free = end + 1 << 8
+            prefix = c << 8
         emit(prefix)
+        codes += (np.array(made, np.int64) >> 8).tolist()
     codes.append(end)
     at = [*blocks[1:], len(codes)] if len(blocks) > 1 else [len(codes)]
     widths.append(np.array([bits + 1]))
@@ -107,6 +108,35 @@ def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return out[: (int(ends[-1]) + 7) // 8].tobytes()
 
 
+def _expand(codes: np.ndarray, clear: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(samples of the codes that follow a clear, where each code's begin, how many it has) while the table grows.
+
+    Entry k of the table holds the samples of code k and the first one of the next code, which is what follows them in
+    the output: a code is a copy of earlier output, and copies of copies are followed to the sample that they stand for.
+    """
+    n = len(codes)
+    if not n:
+        return b"", codes, codes
+    if codes[0] >= clear:
+        raise ValueError("the first code is no sample")
+    at, literal = np.arange(n), codes < clear
+    parent = np.where(literal, at, codes - (clear + 2))
+    if (parent > at - ~literal).any():
+        raise ValueError("a code beyond the table")
+    depth, up = (~literal).astype(np.int64), parent
+    while (more := depth[up]).any():
+        depth, up = depth + more, up[up]
+    lengths = depth + 1
+    begin = np.cumsum(lengths) - lengths
+    total = int(begin[-1] + lengths[-1])
+    source = np.arange(total, dtype=np.int32) - np.repeat((begin - begin[parent]).astype(np.int32), lengths)
+    samples = np.zeros(total, np.uint8)
+    samples[begin[literal]] = codes[literal]
+    while not np.array_equal(further := source[source], source):
+        source = further
+    return samples[source].tobytes(), begin, lengths
+
+
 def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
     """At most ``limit`` samples; raises ValueError at a code that cannot stand there."""
     if not 1 <= bits <= 8:
@@ -119,7 +149,7 @@ def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
     steps = _widths(4096 - end, end + 1, bits)
     offsets = np.concatenate(([0], np.cumsum(steps)))
     full_from = len(steps)
-    table, previous, index = list(roots), b"", 0  # index: codes since the last clear
+    table, index = roots, 0  # index: codes since the last clear
     while size < limit:
         # the next codes, up to a full table, at the widths they have if no clear comes between
         if index < full_from:
@@ -135,30 +165,20 @@ def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
         codes = (whole[starts >> 3] >> (starts & 7).astype(np.uint32)) & ((np.uint32(1) << widths.astype(np.uint32)) - np.uint32(1))
         stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
-        add, emit = table.append, out.append
-        for code in codes[:n].tolist():
-            known = len(table)
-            if not previous:
-                if code >= clear:
-                    raise ValueError("the first code is no sample")
-                entry = table[code]
-            else:
-                if code < known:
-                    entry = table[code]
-                elif code == known and known < 4096:
-                    entry = previous + previous[:1]
-                else:
-                    raise ValueError("a code beyond the table")
-                if known < 4096:
-                    add(previous + entry[:1])
-            emit(entry)
-            size += len(entry)
-            previous = entry
+        if index < full_from:  # from a clear on, until the table is full
+            part, begin, lengths = _expand(codes[:n].astype(np.int64), clear)
+            out.append(part)
+        elif n:  # no code adds an entry any more
+            if len(table) == len(roots):
+                last = out[-1]
+                table = roots + [last[a : a + k + 1] for a, k in zip(begin[:-1].tolist(), lengths[:-1].tolist(), strict=True)]
+            out.append(b"".join(map(table.__getitem__, codes[:n].tolist())))
+        size += len(out[-1]) if n else 0
         if n < len(codes):
             at = int(starts[n] + widths[n])
             if codes[n] == end:
                 break
-            table, previous, index = list(roots), b"", 0
+            table, index = roots, 0
         else:
             at = int(starts[-1] + widths[-1])
             index += n
@@ -268,7 +288,11 @@ def decode(data: bytes) -> Iterator[Frame]:
             before = (rgb.copy(), opaque.copy()) if disposal == 3 else None
             y1, x1 = min(height, y + h), min(width, x + w)
             inside = drawn[: max(0, y1 - y), : max(0, x1 - x)]
-            rgb[y:y1, x:x1][inside] = colours[indices[: inside.shape[0], : inside.shape[1]][inside]]
+            seen = indices[: inside.shape[0], : inside.shape[1]]
+            if inside.all():
+                rgb[y:y1, x:x1] = colours[seen]
+            else:
+                rgb[y:y1, x:x1][inside] = colours[seen[inside]]
             opaque[y:y1, x:x1] |= inside
             yield Frame(clock, 10 * delay, rgb.copy(), opaque.copy(), indices, disposal)
             clock += 10 * delay
