@@ -56,7 +56,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out; documents that are mostly passages go."""
-    found = fm_index.find_contamination(_rows(docs), table(spark, sf_dir, "benchmark"), carry="row")
+    # stored, so that no task holds the Python processes of both steps
+    found = stored(fm_index.find_contamination(_rows(docs), table(spark, sf_dir, "benchmark"), carry="row"), "found")
     return _with_text(fm_index.without_passages(found, ["doc_id", "row"]), F.col("clean_text"), docs.columns)
 
 

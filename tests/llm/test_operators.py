@@ -953,3 +953,16 @@ def test_lzw_codes_are_followed_without_a_step_for_each():
     widths = np.concatenate(([9], gif_frames._widths(len(grow), 258, 8), [12, 12, 12, 12]))
     want = bytes(grow) + bytes((0, 1)) + bytes(grow[-2:]) + bytes((0, 1))
     assert gif_frames.lzw_decode(gif_frames._pack(codes, widths), 8, len(want)) == want
+
+
+def test_a_shard_holds_the_words_of_one_text_at_a_time():
+    import tracemalloc
+
+    texts = [" ".join(f"word{i}x{j}" for j in range(2_000)) for i in range(100)]
+    phrases = fm_index.Phrases([(1, " ".join(f"word7x{j}" for j in range(5, 20)))])
+    tracemalloc.start()
+    found = list(fm_index.scan_shard(texts, phrases))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[7] == (2_000, [(5, 20)], [1]) and sum(bool(s) for _, s, _ in found) == 1
+    assert peak < 4 * sum(map(len, texts))

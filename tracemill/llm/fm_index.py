@@ -197,15 +197,20 @@ def _hits(index_text: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.
     return at[index.locate(rows)], which, phrases.lengths[which]
 
 
+def _symbols(text: str, vocab: dict[bytes, int]) -> np.ndarray:
+    words = plain_words(text)
+    return np.fromiter(map(vocab.get, words, repeat(0)), np.int32, len(words))
+
+
 def scan_shard(texts: list[str], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
     """(number of words, merged word spans, sorted item ids) for each text."""
-    words = [plain_words(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+    own = [_symbols(t, phrases.vocab) for t in texts]  # the words of one text at a time
+    counts = np.array([len(s) for s in own], np.int64)
     base = np.concatenate(([0], np.cumsum(counts + 1)))  # one gap after each document keeps runs apart
     symbols = np.zeros(int(base[-1]), np.int32)
-    for w, b in zip(words, base, strict=False):
-        symbols[b : b + len(w)] = np.fromiter(map(phrases.vocab.get, w, repeat(0)), np.int32, len(w))
-    del words
+    for s, b in zip(own, base, strict=False):
+        symbols[b : b + len(s)] = s
+    del own
     spans: dict[int, list[tuple[int, int]]] = {}
     found: dict[int, set[int]] = {}
     if phrases.shortest:
