@@ -302,3 +302,24 @@ def test_values_of_a_record_are_read_once(spark):
         filters = [line for line in plan.splitlines() if "Filter " in line]
         assert not [line for line in filters if "variant_get" in line]
         assert not re.search(r"AS __[rp]\d", plan)
+
+
+def test_rows_are_read_by_one_walk(spark):
+    """Lists hold what the fields ask for, calls of all targets share their layers, and odd names and rows are read as before."""
+    n = normalize.normalise(traces.order_records(spark, "/root/testdata/sf0.001"), traces.ORDER_MAPPING)
+    plan = n._pass._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrayType(VariantType" not in plan and "array<variant>" not in plan
+    assert sum("Project " in line for line in plan.splitlines()) <= 16
+    assert paths.shape([("a",), ("b", "c"), ("b", "d e")]).type == "struct<`a`:variant,`b`:struct<`c`:variant,`d e`:variant>>"
+    assert paths.shape([("a",), ("a", "b"), ("A",)]).type == "variant"  # no struct tells a from A
+    fields = tuple(m.Field(t, p) for t, p in (("stop_reason", "$.x.a"), ("error_code", "$.x.A"), ("model_name", "$.y.z"), ("provider_name", '$["two words"]'), ("input_tokens", "$.t")))
+    own = m.Mapping("m", "jsonl", (m.Entity("session", ("external_id",), (m.Field("external_id", "$.id", True),)), m.Entity("model_call", ("sequence_index",), fields, iterate="$.o[].m[]")))
+    raw = '{"id":"s","o":[{"m":[{"x":{"a":"low","A":"up"},"y":{"z":"n"},"two words":"w","t":3},7,null]},{"m":[{"x":"no object","y":[1],"t":{"k":1}}]},{"m":5}]}'
+    records = spark.createDataFrame([(1, raw)], "line long, raw string").select("line", F.try_parse_json("raw").alias("v"))
+    n = normalize.normalise(records, own)
+    names = [f.target for f in fields]
+    want = [(0, "low", "up", "n", "w", 3), (1, *[None] * 5), (2, *[None] * 5)]
+    assert sorted(tuple(r) for r in n.model_call.select("source_index", *names).collect()) == want
+    assert sorted(tuple(r) for r in n.kept.filter("target = 'model_call'").select("source_index", *[f"model_call.{f}" for f in names]).collect()) == want
+    told = {(r["code"], r["field_path"].split("=")[-1].strip("]")) for r in n.issues.collect()}
+    assert told == {("TYPE_MISMATCH", "input_tokens"), ("ITERATE_NOT_A_LIST", "model_call].iterate")}

@@ -32,28 +32,35 @@ STRPTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm",
 
 
 NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
+#: What a variant may hold, known by its place from 1: numbers are cheaper to compare than names. Other types are 0.
+KINDS = (*NUMBERS, "STRING", "BOOLEAN", "OBJECT", "ARRAY")
 
 
 @dataclass(frozen=True)
 class Views:
     """What is asked of a variant again and again, best held in columns of their own."""
 
-    type: Column  # STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, OBJECT, ARRAY, VOID
+    type: Column  # the place in KINDS
     string: Column
     double: Column
     long: Column
 
 
 def type_of(v: Column) -> Column:
-    """The type's name, without what is in it."""
-    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    """The place of the type in KINDS, whatever is in it."""
+    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.array_position(F.array(*map(F.lit, KINDS)), name)
+
+
+def _among(kind: Column, *names: str) -> Column:
+    return kind.isin(*[KINDS.index(n) + 1 for n in names])
 
 
 def views_of(v: Column, kind: Column | None = None, path: str = "$") -> Views:
     """The views of what is at the path; ``kind`` is a column that holds its type already. Numbers are only read where numbers are held."""
     own = type_of(v) if kind is None else kind
-    of = lambda names, to: F.when(own.isin(*names), F.try_variant_get(v, path, to))
-    plain = F.when(~own.isin("OBJECT", "ARRAY"), F.try_variant_get(v, path, "string"))
+    of = lambda names, to: F.when(_among(own, *names), F.try_variant_get(v, path, to))
+    plain = F.when(~_among(own, "OBJECT", "ARRAY"), F.try_variant_get(v, path, "string"))
     return Views(own, plain, of(NUMBERS, "double"), of(NUMBERS[:4], "long"))
 
 
@@ -61,7 +68,7 @@ class Asked(Views):
     """Views of what is at names in a row, in columns of their own, of which only those asked for need be made: names
     them in ``used``. They are read from the row: a variant of each value would carry all names of its record along."""
 
-    def __init__(self, number: int, row: Column, names: tuple[str, ...]):
+    def __init__(self, number: str, row: Column, names: tuple[str, ...]):
         for k, v in {"number": number, "row": row, "names": names, "used": set()}.items():
             object.__setattr__(self, k, v)
 
@@ -73,8 +80,8 @@ class Asked(Views):
 
     def known_type(self) -> Column:
         """The type column: null where the value is absent or JSON null."""
-        own = type_of(paths.at(self.row, self.names))
-        return F.nullif(own, F.lit("VOID"))
+        own = paths.at(self.row, self.names)
+        return F.when(~F.is_variant_null(own), type_of(own))
 
     def made(self) -> dict[str, Column]:
         """The columns asked for but the type, which they need."""
@@ -99,17 +106,18 @@ class Value:
         return self.column.isNotNull() if self.held is None else self.held.type.isNotNull()
 
     def failed(self, when: Column, code: str) -> Value:
-        """Null, with a code, where ``when`` holds."""
+        """With a code where ``when`` holds, of a value that is null there; null where an earlier step has failed."""
         own = F.when(when, F.lit(code))
-        error = own if self.error is None else F.coalesce(self.error, own)
-        return replace(self, error=error, column=F.when(error.isNull(), self.column), held=None)
+        if self.error is None:
+            return replace(self, error=own, held=None)
+        return replace(self, error=F.coalesce(self.error, own), column=F.when(self.error.isNull(), self.column), held=None)
 
     def then(self, kind: str, column: Column) -> Value:
         return Value(kind, column, self.error)
 
 
 def _is(views: Views, *names: str) -> Column:
-    return F.coalesce(views.type.isin(*names), F.lit(False))
+    return F.coalesce(_among(views.type, *names), F.lit(False))
 
 
 def text(value: Value) -> Column:
