@@ -211,3 +211,24 @@ def test_good_records_of_the_language_tests_load_as_before(spark, tmp_path):
     put(source, "1.jsonl", *GOOD)
     take(spark, source, target, MAPPING)
     assert streams.loaded(spark, str(target), "session").count() == 2
+
+
+def test_a_load_writes_each_fact_few_times(spark, monkeypatch):
+    """The pass, the resolved facts and what is told of each entity are written, and nothing twice."""
+    from tracemill.operators import merge as merging
+    from tracemill.operators import normalize as normalizing
+    from tracemill.plans import traces
+
+    sf, wide = "/root/testdata/sf0.001", []
+
+    def counted(df, own=load.settled):
+        facts = any(c in df.columns for c in ("session_key", "sequence_index", "external_id"))
+        wide.append(df.columns) if facts else None
+        return own(df)
+
+    for module in (load, merging, normalizing):
+        monkeypatch.setattr(module, "settled", counted)
+    out = traces._load(spark, sf)
+    assert len(wide) == 6, wide
+    ids = [r["id"] for r in out.session.select("id").collect()]
+    assert len(set(ids)) == len(ids) > 0

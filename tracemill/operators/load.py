@@ -136,7 +136,7 @@ def load(records: DataFrame, mapping: Mapping, stored: Stored, create: bool = Tr
     if done is not None:
         records = settled(unstored_lines(records, done).select("line", "v"))
     n = normalise(records, mapping)
-    rows = settled(facts(n))
+    rows = facts(n)  # read from the pass, which is written
     names = settled(requested(rows))
     dimension = settled(grow(stored.dimension, names)) if create else stored.dimension
     resolved = settled(resolve(rows, dimension, names))
@@ -144,19 +144,18 @@ def load(records: DataFrame, mapping: Mapping, stored: Stored, create: bool = Tr
 
     own = fit.filter("target = 'session'").select("line", "session.*", F.col("ref_id").alias("agent_id"))
     sessions = settled(outcomes(own, stored.session, ["external_id"], ["line"]))
-    new_sessions = with_ids(sessions.filter("outcome = 'new'").drop("outcome"), stored.session)
-    new_sessions = settled(new_sessions)
+    new_sessions = settled(with_ids(sessions.filter("outcome = 'new'").drop("outcome"), stored.session, written=True))
     ids = stored.session.select(F.col("external_id").alias("session_key"), F.col("id").alias("session_id"))
     ids = ids.unionByName(new_sessions.select(F.col("external_id").alias("session_key"), F.col("id").alias("session_id")))
     made, counts = {}, sessions.select(F.lit("session").alias("target"), "outcome")
     for target, link in (("model_call", "model_id"), ("tool_call", "tool_id")):
         calls = fit.filter(F.col("target") == target)
         calls = calls.select("line", "source_index", "session_key", f"{target}.*", F.col("ref_id").alias(link)) if target in calls.columns else calls.select("line", "source_index", "session_key", F.lit(0).cast("long").alias("sequence_index"), F.col("ref_id").alias(link)).limit(0)
-        linked = settled(calls.join(ids, "session_key", "left"))
-        told = settled(outcomes(linked.filter("session_id IS NOT NULL"), getattr(stored, target), ["session_id", "sequence_index"], ["line", "source_index"]))
+        told = settled(outcomes(calls.join(ids, "session_key"), getattr(stored, target), ["session_id", "sequence_index"], ["line", "source_index"]))
         counts = counts.unionByName(told.select(F.lit(target).alias("target"), "outcome"))
-        counts = counts.unionByName(linked.filter("session_id IS NULL").select(F.lit(target).alias("target"), F.lit("unlinked").alias("outcome")))
-        made[target] = with_ids(told.filter("outcome = 'new'").drop("outcome", "session_key"), getattr(stored, target))
+        unlinked = calls.select("session_key").join(ids, "session_key", "left_anti")
+        counts = counts.unionByName(unlinked.select(F.lit(target).alias("target"), F.lit("unlinked").alias("outcome")))
+        made[target] = with_ids(told.filter("outcome = 'new'").drop("outcome", "session_key"), getattr(stored, target), written=True)
 
     told = F.col("outcome")
     again = (told == "existing") | ((told == "repeat") & (F.col("target") != "session"))

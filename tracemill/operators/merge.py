@@ -20,10 +20,11 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Data
     return ranked.filter("__rank = 1").drop("__rank"), ranked.filter("__rank > 1").drop("__rank")
 
 
-def with_ids(new: DataFrame, stored: DataFrame, to: str = "id") -> DataFrame:
-    """Number rows after the largest stored id, without a global sort."""
+def with_ids(new: DataFrame, stored: DataFrame, to: str = "id", written: bool = False) -> DataFrame:
+    """Number rows after the largest stored id, without a global sort. written: the rows are those of a settled table
+    already, filtered or projected at most, and need not be written again."""
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    return numbered(settled(new), to).withColumn(to, F.col(to) + F.lit(top))
+    return numbered(new if written else settled(new), to).withColumn(to, F.col(to) + F.lit(top))
 
 
 def merge(incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
