@@ -58,3 +58,19 @@ def test_new_files_alone_are_read(spark, tmp_path):
     kept = spark.read.parquet(target)
     assert kept.filter("path = '$'").count() == 3 and kept.agg(F.sum(F.when(F.col("path") == "$", F.col("rows")))).first()[0] == 72
     assert by_path(profile_states.profile_files(spark, str(source), target)) == second and spark.read.parquet(target).count() == kept.count()
+
+
+def test_no_sort_of_all_values(spark):
+    """Bounds are kept in a hash, and the window that takes the examples is given the first values alone; equal places lose none."""
+    from tracemill.plans import traces
+
+    plan = traces.QUERIES["file_profile_states"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate(keys=[file" in plan
+    some = spark.range(20_000, numPartitions=3).select(F.lit("f").alias("file"), (F.col("id") % 2).alias("leaf"), (20_000 - F.col("id")).alias("at"), F.col("id").cast("string").alias("value"))
+    few = profile_states._early(some)
+    assert few.count() < 200
+    for leaf, want in ((0, ["2", "4", "6"]), (1, ["1", "3", "5"])):
+        assert [str(r["at"]) for r in few.filter(F.col("leaf") == leaf).orderBy("at").limit(3).collect()] == want
+    two = spark.createDataFrame([(None, 0, 5, "a"), (None, 0, 5, "b")], "file string, leaf int, at long, value string")
+    assert profile_states._early(two).count() == 2
+    assert profile_states._early(two.union(two)).count() == 4

@@ -21,6 +21,8 @@ from tracemill.operators.profile import EXAMPLES, entries_of, leaves, type_name
 from tracemill.sources.readers import infer_format, scan_file
 
 LOG_K = 14
+#: Values of a leaf are dealt to so many lanes to find how far its first examples reach.
+LANES = 61
 RANK = "struct<near:double,whole:long>"
 STATE = f"file string, path string, kind string, rows long, total long, present long, distinct binary, low struct<rank:{RANK},value:string>, high struct<rank:{RANK},value:string>, examples array<struct<at:long,value:string>>"
 #: The path of a file's own row, which it has even if it has no leaf; ``rows`` is the number of the file's rows in each.
@@ -30,8 +32,9 @@ ROWS = "$"
 def states(df: DataFrame, file: str = "file", order: str | None = None) -> DataFrame:
     """The states of rows that carry the name of their file, and their order within it (the order read, if none).
 
-    Two scans: one for what is counted, one for the first examples, whose window keeps EXAMPLES rows a task and leaf.
-    The order column is not profiled. Null file names count as one file.
+    Three scans: one for what is counted, one for how far the first examples reach at most, one for them. A window sorts
+    all rows of its task before it keeps the first, so it is only given those up to that bound; without an order, whose
+    numbers need not be the same in two scans, it sorts all. The order column is not profiled. Null file names count as one file.
     """
     at = F.col(f"`{order}`") if order else F.monotonically_increasing_id()
     data = T.StructType([f for f in df.schema.fields if f.name not in (file, order)])
@@ -50,8 +53,11 @@ def states(df: DataFrame, file: str = "file", order: str | None = None) -> DataF
         F.count(F.lit(1)).alias("total"), F.count("value").alias("present"),
         F.hll_sketch_agg(F.when(F.col("value").isNotNull(), F.xxhash64("value")), LOG_K).alias("distinct"), F.min(bound).alias("low"), F.max(bound).alias("high"),
     )
+    # bounds always come with the sketch: beside it they are kept in a hash of objects, alone all rows would be sorted for them
+    counted = counted.withColumns({c: F.when(F.length("distinct") > 0, F.col(c)) for c in ("low", "high")})
     first = F.row_number().over(Window.partitionBy("file", "leaf").orderBy("at"))
-    few = own.filter(F.col("value").isNotNull()).withColumn("k", first).filter(F.col("k") <= EXAMPLES)
+    some = own.filter(F.col("value").isNotNull())
+    few = (_early(some) if order else some).withColumn("k", first).filter(F.col("k") <= EXAMPLES)
     shown = F.when(of(T.BinaryType), F.concat(F.lit("[BINARY:"), (F.length("value") / 2).cast("long").cast("string"), F.lit(" bytes]"))).otherwise(sanitized(F.col("value")))
     examples = few.groupBy("file", "leaf").agg(F.sort_array(F.collect_list(F.struct(F.col("k").cast("long").alias("at"), shown.alias("value")))).alias("examples"))
     names = df.sparkSession.createDataFrame([(-1, ROWS, "record"), *[(i, path, type_name(k)) for i, (path, k, _) in enumerate(found)]], "leaf int, path string, kind string")
@@ -62,6 +68,19 @@ def states(df: DataFrame, file: str = "file", order: str | None = None) -> DataF
     return out.withColumns(made).select(*T._parse_datatype_string(STATE).names)
 
 
+def _early(values: DataFrame) -> DataFrame:
+    """The values of each file and leaf that come first, EXAMPLES at least where there are as many, and few more.
+
+    The values of a leaf are dealt to LANES lanes. The smallest ``at`` of EXAMPLES lanes are of as many different values,
+    so no example comes after the EXAMPLES-th smallest of them. Where fewer lanes hold values, all values are kept.
+    """
+    lanes = values.withColumn("lane", F.monotonically_increasing_id() % LANES).groupBy("file", "leaf", "lane").agg(F.min("at").alias("at"))
+    reach = lanes.groupBy("file", "leaf").agg(F.get(F.sort_array(F.collect_list("at")), F.lit(EXAMPLES - 1)).alias("reach"))  # a value a lane
+    reach = reach.select(F.col("file").alias("own_file"), F.col("leaf").alias("own_leaf"), "reach")
+    met = values["file"].eqNullSafe(reach["own_file"]) & (values["leaf"] == reach["own_leaf"])
+    return values.join(F.broadcast(reach), met).filter(F.col("reach").isNull() | (F.col("at") <= F.col("reach"))).select(*values.columns)
+
+
 def merged(kept: DataFrame) -> DataFrame:
     """The profile over all files of the states: path, types, null_ratio, examples, min, max, distinct_ratio (estimated).
 
