@@ -323,3 +323,20 @@ def test_rows_are_read_by_one_walk(spark):
     assert sorted(tuple(r) for r in n.kept.filter("target = 'model_call'").select("source_index", *[f"model_call.{f}" for f in names]).collect()) == want
     told = {(r["code"], r["field_path"].split("=")[-1].strip("]")) for r in n.issues.collect()}
     assert told == {("TYPE_MISMATCH", "input_tokens"), ("ITERATE_NOT_A_LIST", "model_call].iterate")}
+
+
+def test_values_are_read_as_their_own_type_only(spark):
+    """No variant is made of a default or a mapped value to be read again, and a number is not read as text to be cast."""
+    n = normalize.normalise(traces.order_records(spark, "/root/testdata/sf0.001"), traces.ORDER_MAPPING)
+    plan = n.issues._jdf.queryExecution().optimizedPlan().toString()
+    assert "schemaOfVariant(__v" not in plan and "array_position" not in plan
+    assert "AS __stringmodel_call_2#" not in plan and "AS __doublemodel_call_2#" not in plan
+    raw = ",".join(f'{{"x":{v}}}' for v in ("7", '"x"', "true", "null", "1.50", "[1]"))
+    own = (m.Field("error_code", "$.x", False, ({"op": "default", "value": "ok"}, {"op": "map_values", "table": {"9": "nine"}, "on_unknown": "passthrough"})), m.Field("input_tokens", "$.x", False, ({"op": "cast", "to": "integer"},)))
+    mapping = m.Mapping("m", "jsonl", (m.Entity("session", ("external_id",), (m.Field("external_id", "$.id", True),)), m.Entity("model_call", ("sequence_index",), own, iterate="$.m[]")))
+    records = spark.createDataFrame([(1, f'{{"id":"s","m":[{raw}]}}')], "line long, raw string").select("line", F.try_parse_json("raw").alias("v"))
+    n = normalize.normalise(records, mapping)
+    got = {r["source_index"]: (r["error_code"], r["input_tokens"]) for r in n.model_call.collect()}
+    assert got == {0: ("7", 7), 1: ("x", None), 3: ("ok", None), 4: ("1.5", 1)}  # no boolean or list is text
+    told = {(r["code"], r["field_path"].split("=")[-1].strip("]")) for r in n.issues.collect()}
+    assert told == {("CAST_FAILED", "input_tokens"), ("TYPE_MISMATCH", "error_code")}

@@ -34,6 +34,8 @@ STRPTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm",
 NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT")
 #: What a variant may hold, known by its place from 1: numbers are cheaper to compare than names. Other types are 0.
 KINDS = (*NUMBERS, "STRING", "BOOLEAN", "OBJECT", "ARRAY")
+# What follows the name of a type that tells more.
+_OPENED = {"DECIMAL": "(", "OBJECT": "<", "ARRAY": "<"}
 
 
 @dataclass(frozen=True)
@@ -41,15 +43,25 @@ class Views:
     """What is asked of a variant again and again, best held in columns of their own."""
 
     type: Column  # the place in KINDS
-    string: Column
-    double: Column
-    long: Column
+    string: Column  # of what is no object or list
+    word: Column  # of strings and booleans only
+    double: Column  # of numbers
+    fraction: Column  # of numbers that are no whole ones by type
+    long: Column  # of whole numbers
+
+
+VIEWS = tuple(Views.__dataclass_fields__)
+#: What each view is read as, and where.
+READ_AS = {"word": ("string", ("STRING", "BOOLEAN")), "double": ("double", NUMBERS), "fraction": ("double", NUMBERS[4:]), "long": ("long", NUMBERS[:4])}
 
 
 def type_of(v: Column) -> Column:
-    """The place of the type in KINDS, whatever is in it."""
-    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
-    return F.array_position(F.array(*map(F.lit, KINDS)), name)
+    """The place of the type in KINDS, whatever is in it; null of null and of JSON null."""
+    name = F.schema_of_variant(v)
+    out = F.when(name.isNull() | (name == "VOID"), F.lit(None).cast("int"))
+    for kind in ("STRING", "BIGINT", "DOUBLE", *[k for k in KINDS if k not in ("STRING", "BIGINT", "DOUBLE")]):  # most frequent first
+        out = out.when(name.startswith(f"{kind}{_OPENED[kind]}") if kind in _OPENED else name == kind, KINDS.index(kind) + 1)
+    return out.otherwise(0)
 
 
 def _among(kind: Column, *names: str) -> Column:
@@ -59,29 +71,34 @@ def _among(kind: Column, *names: str) -> Column:
 def views_of(v: Column, kind: Column | None = None, path: str = "$") -> Views:
     """The views of what is at the path; ``kind`` is a column that holds its type already. Numbers are only read where numbers are held."""
     own = type_of(v) if kind is None else kind
-    of = lambda names, to: F.when(_among(own, *names), F.try_variant_get(v, path, to))
     plain = F.when(~_among(own, "OBJECT", "ARRAY"), F.try_variant_get(v, path, "string"))
-    return Views(own, plain, of(NUMBERS, "double"), of(NUMBERS[:4], "long"))
+    return Views(type=own, string=plain, **{k: F.when(_among(own, *names), F.try_variant_get(v, path, to)) for k, (to, names) in READ_AS.items()})
 
 
-class Asked(Views):
-    """Views of what is at names in a row, in columns of their own, of which only those asked for need be made: names
-    them in ``used``. They are read from the row: a variant of each value would carry all names of its record along."""
+class Held(Views):
+    """Views in columns of their own, of which only those asked for need be made: names them in ``used``."""
 
-    def __init__(self, number: str, row: Column, names: tuple[str, ...]):
-        for k, v in {"number": number, "row": row, "names": names, "used": set()}.items():
+    def __init__(self, number: str, **more):
+        for k, v in {"number": number, "used": set(), **more}.items():
             object.__setattr__(self, k, v)
 
     def __getattribute__(self, name: str):
-        if name in ("type", "string", "double", "long"):
+        if name in VIEWS:
             self.used.update((name, "type"))
             return F.col(f"__{name}{self.number}")
         return object.__getattribute__(self, name)
 
+
+class Asked(Held):
+    """Views of what is at names in a row. They are read from the row: a variant of each value would carry all names of
+    its record along."""
+
+    def __init__(self, number: str, row: Column, names: tuple[str, ...]):
+        super().__init__(number, row=row, names=names)
+
     def known_type(self) -> Column:
         """The type column: null where the value is absent or JSON null."""
-        own = paths.at(self.row, self.names)
-        return F.when(~F.is_variant_null(own), type_of(own))
+        return type_of(paths.at(self.row, self.names))
 
     def made(self) -> dict[str, Column]:
         """The columns asked for but the type, which they need."""
@@ -89,12 +106,25 @@ class Asked(Views):
         return {f"__{k}{self.number}": c for k, c in own.items() if k in self.used and k != "type"}
 
 
+class Either(Held):
+    """Views of one of two values, the first where ``first`` holds: no variant of it is made and none is read again."""
+
+    def __init__(self, number: str, first: Column, values: tuple[Value, Value]):
+        super().__init__(number, first=first, values=values)
+
+    def made(self) -> dict[str, Column]:
+        """The columns asked for, from the views of the two values."""
+        own = [v.views if v.kind == "variant" else typed_views(v) for v in self.values]
+        return {f"__{k}{self.number}": F.when(self.first, getattr(own[0], k)).otherwise(getattr(own[1], k)) for k in VIEWS if k in self.used}
+
+
 @dataclass(frozen=True)
 class Value:
     kind: str  # variant, string, long, double, boolean, timestamp
     column: Column
     error: Column | None = None  # code of the first failure, null if none
     held: Views | None = None  # of a variant
+    either: tuple[Column, tuple[Value, Value]] | None = None  # a variant that is the first of two values where a condition holds, else the second
 
     @property
     def views(self) -> Views:
@@ -109,13 +139,24 @@ class Value:
         """With a code where ``when`` holds, of a value that is null there; null where an earlier step has failed."""
         own = F.when(when, F.lit(code))
         if self.error is None:
-            return replace(self, error=own, held=None)
-        return replace(self, error=F.coalesce(self.error, own), column=F.when(self.error.isNull(), self.column), held=None)
+            return replace(self, error=own, held=None, either=None)
+        return replace(self, error=F.coalesce(self.error, own), column=F.when(self.error.isNull(), self.column), held=None, either=None)
 
     def then(self, kind: str, column: Column) -> Value:
         return Value(kind, column, self.error)
 
 
+#: Kinds of plain values and the place that a variant of them has in KINDS.
+_PLACES = {kind: KINDS.index(name) + 1 for kind, name in {"string": "STRING", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}.items()}
+
+
+def typed_views(value: Value) -> Views:
+    """The views that a variant of a plain value would have."""
+    c = value.column
+    of = lambda to, *kinds: c.cast(to) if value.kind in kinds else F.lit(None).cast(to)
+    return Views(type=F.when(c.isNotNull(), F.lit(_PLACES[value.kind])), string=c.cast("string"), word=of("string", "string", "boolean"), double=of("double", "long", "double"), fraction=of("double", "double"), long=of("long", "long"))
+
+
 def _is(views: Views, *names: str) -> Column:
     return F.coalesce(_among(views.type, *names), F.lit(False))
 
@@ -138,7 +179,7 @@ def is_blank(value: Value) -> Column:
     if value.kind == "string":
         return value.column.rlike(_BLANK)
     if value.kind == "variant":
-        return _is(value.views, "STRING") & F.coalesce(value.views.string.rlike(_BLANK), F.lit(False))
+        return _is(value.views, "STRING") & F.coalesce(value.views.word.rlike(_BLANK), F.lit(False))
     return F.lit(False)
 
 
@@ -146,12 +187,15 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def _of_boolean(v: Views) -> Column:
+    return F.when(_is(v, "BOOLEAN"), (v.word == "true").cast("double"))
+
+
 def _number(value: Value) -> Column:
     """As double: numbers, booleans and numeric strings."""
     if value.kind == "variant":
         v = value.views
-        whole = F.when(_is(v, "BOOLEAN"), (v.string == "true").cast("double"))
-        return F.when(_is(v, *NUMBERS), v.double).when(_is(v, "STRING"), _trimmed(v.string).try_cast("double")).otherwise(whole)
+        return F.when(_is(v, *NUMBERS), v.double).when(_is(v, "STRING"), _trimmed(v.word).try_cast("double")).otherwise(_of_boolean(v))
     if value.kind == "string":
         return _trimmed(value.column).try_cast("double")
     if value.kind == "timestamp":
@@ -164,20 +208,20 @@ def cast(value: Value, to: str, on_error: str = "reject") -> Value:
     if to == "string":
         return value.then("string", F.when(~is_blank(value), text(value)))
     v, there = value, value.there & ~is_blank(value)
-    spelt = _trimmed(text(v))
     if to == "integer":
-        whole = F.when(spelt.rlike(r"^[+-]?[0-9]+$"), spelt.try_cast("long"))
-        number = _number(v)
-        cut = F.when(F.abs(number) < 9.3e18, number.cast("long"))  # toward zero
-        if v.kind == "variant":
-            out = F.when(_is(v.views, "STRING"), whole).when(_is(v.views, *NUMBERS[:4]), v.views.long).otherwise(cut)
+        whole = lambda spelt: F.when(spelt.rlike(r"^[+-]?[0-9]+$"), spelt.try_cast("long"))
+        cut = lambda number: F.when(F.abs(number) < 9.3e18, number.cast("long"))  # noqa: E731  # toward zero
+        if v.kind == "variant":  # no value is read but as its own type
+            own = v.views
+            out = F.when(_is(own, "STRING"), whole(_trimmed(own.word))).when(_is(own, *NUMBERS[:4]), own.long)
+            out = out.when(_is(own, *NUMBERS[4:]), cut(own.fraction)).otherwise(cut(_of_boolean(own)))
         else:
-            out = {"string": whole, "long": v.column}.get(v.kind, cut)
+            out = whole(_trimmed(v.column)) if v.kind == "string" else v.column if v.kind == "long" else cut(_number(v))
         made = v.then("long", out)
     elif to == "float":
         made = v.then("double", _number(v))
     elif to == "boolean":
-        word = F.lower(spelt)
+        word = F.lower(_trimmed(text(v)))
         made = v.then("boolean", F.when(word.isin("true", "1", "yes"), True).when(word.isin("false", "0", "no"), False))
     else:
         raise ValueError(f"unknown cast target {to!r}")
@@ -242,15 +286,18 @@ def variant(value: Value) -> Column:
     return value.column if value.kind == "variant" else value.column.cast("variant")
 
 
-def _joined(first: Value, second: Value, choose: Callable[[Column, Column], Column]) -> Value:
-    """One of two values, typed if both are of one type."""
-    if first.kind == second.kind:
-        return first.then(first.kind, choose(first.column, second.column))
-    return first.then("variant", choose(variant(first), variant(second)))
+def _joined(first: Value, second: Value, when: Column | None = None) -> Value:
+    """The first of two values where the condition holds (where there is one, if none is given), else the second; typed
+    if both are of one type."""
+    own = first.there if when is None else when
+    if first.kind == second.kind != "variant":
+        return first.then(first.kind, F.when(own, first.column).otherwise(second.column))
+    made = first.then("variant", F.when(own, variant(first)).otherwise(variant(second)))
+    return replace(made, either=(own, (first, second))) if {first.kind, second.kind} <= {"variant", *_PLACES} else made
 
 
 def default(value: Value, v: object) -> Value:
-    return _joined(value, literal(v), lambda a, b: F.coalesce(a, b))
+    return _joined(value, literal(v))
 
 
 def trim(value: Value) -> Value:
@@ -293,14 +340,14 @@ def map_values(value: Value, table: dict[str, object], on_unknown: str, constant
     if on_unknown == "reject":
         return hit.failed(~known, "OPERATOR_FAILED")
     other = literal(constant) if on_unknown == "constant" else value
-    return replace(_joined(hit, other, lambda a, b: F.when(known, a).otherwise(b)), error=value.error)
+    return replace(_joined(hit, other, known), error=value.error)
 
 
 def first_of(sources: list[Value]) -> Value:
     """The first known value."""
     out = sources[0]
     for s in sources[1:]:
-        out = _joined(out, s, lambda a, b: F.coalesce(a, b))
+        out = _joined(out, s)
     return out
 
 
@@ -406,6 +453,6 @@ def gate(value: Value, target: str | None) -> tuple[Value, Column]:
         if value.kind == "variant":
             v = value.views
             whole = _is(v, *NUMBERS[:4])
-            fraction = _is(v, *NUMBERS[4:]) & F.coalesce(F.abs(v.double) < 9.2e18, F.lit(False))
-            return value.then("long", F.when(whole, v.long).when(fraction, F.rint(v.double).cast("long"))), value.there & ~(whole | fraction)
+            fraction = _is(v, *NUMBERS[4:]) & F.coalesce(F.abs(v.fraction) < 9.2e18, F.lit(False))
+            return value.then("long", F.when(whole, v.long).when(fraction, F.rint(v.fraction).cast("long"))), value.there & ~(whole | fraction)
     return value.then(target, none.cast(target)), value.there

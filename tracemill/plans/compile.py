@@ -106,6 +106,7 @@ def entity_steps(entity: Entity, row: Column, prefix: paths.Path | None, tag: st
         return Value("variant", paths.resolve(own.row, own.names), held=own)
 
     states = [lookup(f.source) for f in entity.fields]
+    eithers: list[tuple[dict[str, Column], values.Either]] = []
     for depth in range(max((len(f.operators) for f in entity.fields), default=0)):
         made = {}
         for i, f in enumerate(entity.fields):
@@ -114,14 +115,20 @@ def entity_steps(entity: Entity, row: Column, prefix: paths.Path | None, tag: st
                 made[f"__v{tag}{i}_{depth}"] = v.column
                 if v.error is not None:
                     made[f"__e{tag}{i}_{depth}"] = v.error
-                states[i] = Value(v.kind, F.col(f"__v{tag}{i}_{depth}"), F.col(f"__e{tag}{i}_{depth}") if v.error is not None else None)
+                held = None
+                if v.either is not None:
+                    held = values.Either(f"{tag}{i}_{depth}", *v.either)
+                    eithers.append((made, held))
+                states[i] = Value(v.kind, F.col(f"__v{tag}{i}_{depth}"), F.col(f"__e{tag}{i}_{depth}") if v.error is not None else None, held)
         rounds.append(made)
     fitted, held = {}, [v.there for v in states]
     for i, f in enumerate(entity.fields):
         v, mismatch = values.gate(states[i], TARGET_FIELDS[entity.target][f.target])
         fitted[f"__g{tag}{i}"] = v.column.cast(_sql_type(TARGET_FIELDS[entity.target][f.target]))
         fitted[f"__m{tag}{i}"] = F.coalesce(mismatch, F.lit(False))
-    # only now is it known which views are asked for
+    # only now is it known which views are asked for; those of later rounds ask for those of earlier ones
+    for made, own in reversed(eithers):
+        made.update(own.made())
     typed = {f"__type{v.number}": v.known_type() for v in views.values() if v.used}
     made = {k: c for v in views.values() for k, c in v.made().items()}
     out = {name: F.lit(None).cast(_sql_type(kind)) for name, kind in TARGET_FIELDS[entity.target].items()}
